@@ -20,7 +20,9 @@ _BLOCK = 256
 def redact(col: Column, patterns: Sequence[str] | None = None) -> Column:
     """Replace every match of each pattern, in order, by ``[REDACTED]``."""
     for pattern in vocab.REDACTION_PATTERNS if patterns is None else patterns:
-        col = F.regexp_replace(col, "(?iU)" + pattern, vocab.REDACTION_MARK)
+        replaced = F.regexp_replace(col, "(?iU)" + pattern, vocab.REDACTION_MARK)
+        # Texts without the one character an e-mail address needs skip its scan.
+        col = F.when(F.contains(col, F.lit("@")), replaced).otherwise(col) if "+@[" in pattern else replaced
     return col
 
 
@@ -86,14 +88,14 @@ def match_contexts(col: Column, pattern: str, length: int, group: int = 0, short
     half = length // 2
     keep = half + 1
     reach = math.ceil(keep / shortest)
-    found = all_groups(col, pattern, group)
-    parts = F.struct(
-        found.alias("found"), all_groups(col, pattern, 0).alias("m"), F.split(col, pattern, -1).alias("g")
-    )
+    arrays = {"m": all_groups(col, pattern, 0), "g": F.split(col, pattern, -1)}
+    if group:
+        arrays["found"] = all_groups(col, pattern, group)
+    parts = F.struct(*[v.alias(k) for k, v in arrays.items()])
 
     def windows(p: Column) -> Column:
         return F.struct(
-            p["found"].alias("found"),
+            p["found" if group else "m"].alias("found"),
             p["g"].alias("g"),
             F.zip_with(p["g"], p["m"], lambda g, m: F.concat(F.right(g, F.lit(keep)), F.right(m, F.lit(keep)))).alias(
                 "before"
