@@ -77,57 +77,65 @@ def context(col: Column, position: Column, length: int) -> Column:
     )
 
 
-def match_contexts(col: Column, pattern: str, length: int, group: int = 0, shortest: int = 1) -> Column:
-    """Every match of ``pattern`` as ``array<struct<n, found, context>>``.
-
-    ``context`` equals :func:`context` at the match start, but is pieced together
-    from the neighbouring gaps and matches, so one text costs time linear in its
-    length however many matches it holds. ``shortest`` is a lower bound on the
+def match_contexts(
+    col: Column, patterns: Sequence[str], length: int, group: int = 0, shortest: int = 1
+) -> Column:
+    """Every match of every pattern as ``array<struct<ord, n, found, context>>``.
+
+    ``ord`` numbers the patterns and ``n`` the matches of one pattern. ``context``
+    equals :func:`context` at the match start, but is pieced together from the
+    neighbouring gaps and matches, so one text costs time linear in its length
+    however many matches it holds. ``shortest`` is a lower bound on the
     characters of a match; it limits how many neighbours must be looked at.
     """
     half = length // 2
-    keep = half + 1
-    reach = math.ceil(keep / shortest)
-    arrays = {"m": all_groups(col, pattern, 0), "g": F.split(col, pattern, -1)}
-    if group:
-        arrays["found"] = all_groups(col, pattern, group)
-    parts = F.struct(*[v.alias(k) for k, v in arrays.items()])
+    keep = F.lit(half + 1)
+    reach = F.lit(math.ceil((half + 1) / shortest))
+    kind = "struct<ord: int, m: array<string>, g: array<string>, found: array<string>>"
+
+    def matched(ord_: int, pattern: str) -> Column:
+        whole = all_groups(col, pattern, 0)
+        found = all_groups(col, pattern, group) if group else whole
+        parts = F.struct(F.lit(ord_), whole, F.split(col, pattern, -1), found).cast(kind)
+        return F.when(F.rlike(col, F.lit(_existence(pattern))), parts)
 
     def windows(p: Column) -> Column:
-        return F.struct(
-            p["found" if group else "m"].alias("found"),
-            p["g"].alias("g"),
-            F.zip_with(p["g"], p["m"], lambda g, m: F.concat(F.right(g, F.lit(keep)), F.right(m, F.lit(keep)))).alias(
-                "before"
-            ),
-            F.zip_with(
-                p["m"],
-                F.slice(p["g"], 2, F.size(p["m"])),
-                lambda m, g: F.concat(F.left(m, F.lit(keep)), F.left(g, F.lit(keep))),
-            ).alias("after"),
+        before = F.zip_with(p["g"], p["m"], lambda g, m: F.concat(F.right(g, keep), F.right(m, keep)))
+        after = F.zip_with(
+            p["m"], F.slice(p["g"], 2, F.size(p["m"])), lambda m, g: F.concat(F.left(m, keep), F.left(g, keep))
         )
+        return F.struct(p["ord"].alias("ord"), p["found"].alias("found"), p["g"].alias("g"), before.alias("b"), after.alias("a"))
 
     def one(w: Column, text: Column, n: Column) -> Column:
-        seen = F.least(n, F.lit(reach))
-        before = F.right(
-            F.concat(F.array_join(F.slice(w["before"], n - seen + 1, seen), ""), F.get(w["g"], n)), F.lit(keep)
+        seen = F.least(n, reach)
+        before = F.right(F.concat(F.array_join(F.slice(w["b"], n - seen + 1, seen), ""), F.get(w["g"], n)), keep)
+        after = F.left(F.array_join(F.slice(w["a"], n + 1, reach), ""), keep)
+        around = let(
+            F.struct(before.alias("b"), after.alias("a")),
+            lambda s: F.concat(
+                F.when(F.length(s["b"]) > half, "...").otherwise(""),
+                strip(F.concat(F.right(s["b"], F.lit(half)), F.left(s["a"], F.lit(half)))),
+                F.when(F.length(s["a"]) > half, "...").otherwise(""),
+            ),
         )
-        after = F.left(F.array_join(F.slice(w["after"], n + 1, F.lit(reach)), ""), F.lit(keep))
-        around = F.struct(before.alias("b"), after.alias("a"))
-        return F.struct(
-            n.alias("n"),
-            text.alias("found"),
-            let(
-                around,
-                lambda s: F.concat(
-                    F.when(F.length(s["b"]) > half, "...").otherwise(""),
-                    strip(F.concat(F.right(s["b"], F.lit(half)), F.left(s["a"], F.lit(half)))),
-                    F.when(F.length(s["a"]) > half, "...").otherwise(""),
-                ),
-            ).alias("context"),
+        return F.struct(w["ord"].alias("ord"), n.alias("n"), text.alias("found"), around.alias("context"))
+
+    hits = F.array_compact(F.array(*[matched(i, p) for i, p in enumerate(patterns)]))
+    return F.flatten(
+        F.transform(
+            F.transform(hits, windows), lambda w: F.transform(w["found"], lambda text, n: one(w, text, n))
         )
+    )
+
 
-    return let(parts, lambda p: let(windows(p), lambda w: F.transform(w["found"], lambda t, n: one(w, t, n))))
+def _existence(pattern: str) -> str:
+    """A pattern that matches in the same texts as ``pattern``, at less cost.
+
+    A leading run of word characters is cut to its last one: the engine would
+    otherwise try that run again from each of its characters.
+    """
+    run = r"(\w+)"
+    return pattern.replace(run, r"\w", 1) if pattern.startswith((run, WORDS + run)) else pattern
 
 
 def extract_recommendations(col: Column, limit: int = 3) -> Column:

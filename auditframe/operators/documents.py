@@ -33,30 +33,10 @@ def _reading_order(order: str | None) -> Column:
     return F.col("path") if order is None else sort_key(F.col(order))
 
 
-def _gate(pattern: str) -> str:
-    """A pattern that matches wherever ``pattern`` does, at less cost.
-
-    A leading run of word characters is cut to its last one: the engine would
-    otherwise try that run again from each of its characters.
-    """
-    run = r"(\w+)"
-    return WORDS + (r"\w" + pattern[len(run):] if pattern.startswith(run) else pattern)
-
-
-def _matches_of(content: Column, ord_: int, pattern: str, width: int, group: int) -> Column:
-    found = F.transform(
-        match_contexts(content, WORDS + pattern, width, group, vocab.SHORTEST_DOCUMENT_MATCH),
-        lambda m: F.struct(
-            F.lit(ord_).alias("ord"), m["n"].alias("n"), m["found"].alias("found"), m["context"].alias("context")
-        ),
-    )
-    none = F.array().cast("array<struct<ord: int, n: int, found: string, context: string>>")
-    return F.when(F.rlike(content, F.lit(_gate(pattern))), found).otherwise(none)
-
-
 def _all_matches(content: Column, patterns: Sequence[str], width: int, group: int) -> Column:
     """Matches of every pattern as ``array<struct<ord, n, found, context>>``."""
-    return F.flatten(F.array(*[_matches_of(content, i, p, width, group) for i, p in enumerate(patterns)]))
+    flagged = [WORDS + p for p in patterns]
+    return match_contexts(content, flagged, width, group, vocab.SHORTEST_DOCUMENT_MATCH)
 
 
 def person_mentions(docs: DataFrame, order: str | None = None) -> DataFrame:
