@@ -41,7 +41,8 @@ def _with(needs: tuple[str, ...], body: str, recursive: bool) -> str:
     if not order:
         return body
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
+    body = body.strip()
+    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}{'' if body.startswith(',') else chr(10)}{body}"
 
 
 def check(name: str, *needs: str, sql: str | None = None, recursive: bool = False):
