@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from auditframe import vocab
 from auditframe.functions.paths import detect_language, extension
 from auditframe.operators.common import count_where, one_row
-from auditframe.session import materialize
+from auditframe.session import materialize, materialize_counted
 
 _LOG = logging.getLogger(__name__)
 
@@ -204,14 +204,13 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches
     sources in so many portions to bound that state; the result is the same.
     """
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    ids = materialize(ends if nodes is None else nodes.select("id").unionByName(ends).distinct(), "nodes")
+    ids, n = materialize_counted(ends if nodes is None else nodes.select("id").unionByName(ends).distinct(), "nodes")
     links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges")
     sources = links.select(F.col("src").alias("s")).distinct()
     parts = []
     for batch in range(source_batches):
         chosen = sources.where(F.pmod(F.hash("s"), F.lit(source_batches)) == batch) if source_batches > 1 else sources
         parts.extend(_dependencies(links, chosen))
-    n = ids.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if not parts:
         return ids.select("id", F.lit(0.0).alias("betweenness_centrality"))
@@ -236,8 +235,8 @@ def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
             .where(~F.col("seen"))
             .drop("seen")
         )
-        new = materialize(new, "level")
-        if new.isEmpty():
+        new, rows = materialize_counted(new, "level")
+        if rows == 0:
             break
         levels.append(new)
 
@@ -300,14 +299,14 @@ def simple_cycles(edges: DataFrame, max_len: int | None = None, peel_rounds: int
     search is exact without it. ``max_len`` bounds the length, and the number of
     circuits grows exponentially without it.
     """
-    links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges")
-    size = links.count()
+    links, size = materialize_counted(
+        edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges"
+    )
     for _ in range(peel_rounds):
         kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
             links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
         )
-        links = materialize(kept.select("src", "dst"), "edges")
-        left = links.count()
+        links, left = materialize_counted(kept.select("src", "dst"), "edges")
         if left == size:
             break
         size = left
@@ -320,14 +319,14 @@ def simple_cycles(edges: DataFrame, max_len: int | None = None, peel_rounds: int
     while max_len is None or length <= max_len:
         steps = open_paths.join(links, F.col("last") == F.col("src")).where(F.col("dst") >= F.col("start"))
         steps = steps.where((F.col("dst") == F.col("start")) | ~F.array_contains("path", F.col("dst")))
-        step = materialize(steps.select("start", "dst", "path"), "paths")
+        step, rows = materialize_counted(steps.select("start", "dst", "path"), "paths")
+        if rows == 0:
+            break
         closed = F.col("dst") == F.col("start")
         found.append(step.where(closed).select(F.size("path").alias("length"), "path"))
         open_paths = step.where(~closed).select(
             "start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")
         )
-        if open_paths.isEmpty():
-            break
         length += 1
     else:
         _LOG.warning("cycle search stopped at length %s; longer circuits were not searched", max_len)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
 
@@ -19,6 +20,7 @@ def build_session(app_name: str = "auditframe", cores: int | str = "*", **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -61,3 +63,23 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """:func:`materialize` plus the number of rows, counted while writing."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table, seen.get["rows"]
+
+
+def spread(df: DataFrame, small_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """Deal a small input out to all cores before costly per-row work.
+
+    A small table in one row group is read by one task. Inputs above
+    ``small_bytes`` have splits enough and are returned as they are, so no large
+    table is ever shuffled for this.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

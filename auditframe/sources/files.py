@@ -74,7 +74,7 @@ def scan_documents(spark: SparkSession, root: str, max_mb: int = vocab.MAX_DOCUM
     texts = files.select("path", "length", _utf8_text(F.col("content")).alias("content"))
     return texts.select(
         "path",
-        F.ltrim(F.lit("."), extension(F.col("path"))).alias("type"),
+        F.substring(extension(F.col("path")), 2, 16).alias("type"),
         document_title(F.col("content")).alias("title"),
         "content",
         F.create_map(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.operators import code, query_log
+from auditframe.session import spread
 from checks.views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,12 +71,16 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A given table dealt out to all cores."""
+        return spread(self.base(name))
+
     def sql(self, text: str) -> DataFrame:
         """Run Spark SQL over the given tables and the derived views."""
         used = [v for v in VIEWS if _names(v, text)]
         for name in BASE_TABLES:
             if any(_names(name, t) for t in [text, *(VIEWS[v] for v in used)]):
-                self.base(name).createOrReplaceTempView(name)
+                self.wide(name).createOrReplaceTempView(name)
         for v in used:
             self.spark.sql(VIEWS[v]).createOrReplaceTempView(v)
         return self.spark.sql(text)

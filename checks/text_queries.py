@@ -89,7 +89,7 @@ def flat_risks(df, *extra):
 
 @check("T1_redact_documents", sql=f"SELECT doc_id, {redacted('text')} AS content FROM documents")
 def _(t):
-    return redact_documents(t.base("documents").select("doc_id", F.col("text").alias("content")))
+    return redact_documents(t.wide("documents").select("doc_id", F.col("text").alias("content")))
 
 
 @check("T1_redact_custom_patterns", sql=r"""
@@ -136,7 +136,7 @@ def _(t):
 @check("T4_preview", sql="""
 SELECT doc_id, '**' || source || '** (' || lang || '):' || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN '...' ELSE '' END || chr(10) AS preview FROM documents""")
 def _(t):
-    return t.base("documents").select(
+    return t.wide("documents").select(
         "doc_id", text.preview(F.col("source"), F.col("lang"), F.col("text")).alias("preview")
     )
 
@@ -160,7 +160,7 @@ def _(t):
 
 @check("A7_corpus_metrics", sql=f"SELECT count(*) AS total_documents, CAST(sum(length({redacted('text')})) AS BIGINT) AS total_chars FROM documents")
 def _(t):
-    return documents.corpus_metrics(redact_documents(t.base("documents").select(F.col("text").alias("content"))))
+    return documents.corpus_metrics(redact_documents(t.wide("documents").select(F.col("text").alias("content"))))
 
 
 @check("A9_tribal_knowledge", "o_tribal", sql="SELECT * FROM o_tribal")
