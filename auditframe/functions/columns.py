@@ -26,8 +26,12 @@ def strip(col: Column) -> Column:
 
 
 def first_group(col: Column, pattern: str, group: int = 1) -> Column:
-    """The captured group of the first match, NULL where nothing matches."""
-    return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
+    """The captured group of the first match, NULL where nothing matches.
+
+    Dropping the empty text from a one-element array runs the pattern once,
+    where ``nullif`` would run it twice.
+    """
+    return F.get(F.array_remove(F.array(F.regexp_extract(col, pattern, group)), ""), F.lit(0))
 
 
 def all_groups(col: Column, pattern: str, group: int = 1) -> Column:
