@@ -115,7 +115,8 @@ def sql_occurrences(content: Column, language: Column) -> Column:
 
 def python_code_only(content: Column) -> Column:
     """Python text with string bodies and comments blanked, line by line intact."""
-    block = r'(?s)"""(?:\\.|[^\\])*?"""|' + r"'''(?:\\.|[^\\])*?'''"
+    # Possessive groups loop where greedy ones recurse, so long strings are safe.
+    block = r'(?s)"""(?:[^"\\]|\\.|"(?!""))*+"""|' + r"'''(?:[^'\\]|\\.|'(?!''))*+'''"
     parts = F.struct(all_groups(content, block, 0).alias("m"), F.split(content, block, -1).alias("g"))
 
     def join(p: Column) -> Column:
@@ -189,8 +190,8 @@ def import_occurrences(content: Column, language: Column, relative_ruby: bool =
 
 def _python_calls(content: Column, words: Sequence[str]) -> Column:
     any_word = "|".join(words)
-    dotted = r"(?U)(?<![\w.])(?<!def )(?<!class )([^\W\d]\w*(?:\s*\.\s*\w+)*)\s*\("
-    chained = r"(?U)[)\]]\s*\.\s*(\w+(?:\s*\.\s*\w+)*)\s*\("
+    dotted = r"(?U)(?<![\w.])(?<!def )(?<!class )([^\W\d]\w*(?:\s*\.\s*\w+)*+)\s*\("
+    chained = r"(?U)[)\]]\s*\.\s*(\w+(?:\s*\.\s*\w+)*+)\s*\("
 
     def of_line(s: Column) -> Column:
         found = F.concat(all_groups(s["t"], dotted), all_groups(s["t"], chained))
@@ -228,7 +229,7 @@ def class_occurrences(content: Column, language: Column) -> Column:
 
     A qualified base keeps its last part; Java classes carry no bases.
     """
-    head = r"(?mU)^[ \t]*class[ \t]+(\w+)[ \t]*(?:\(((?:[^()]|\([^()]*\))*)\))?[ \t]*:"
+    head = r"(?mU)^[ \t]*class[ \t]+(\w+)[ \t]*(?:\(((?:[^()]|\([^()]*+\))*+)\))?[ \t]*:"
 
     def bases(text: Column) -> Column:
         parts = F.transform(F.split(F.coalesce(text, F.lit("")), ",", -1), strip)
