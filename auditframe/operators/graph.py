@@ -77,14 +77,16 @@ def import_edges(code_imports: DataFrame, modules: DataFrame, match: str = "exac
     """``imports`` edges between Python modules.
 
     ``match="exact"`` needs the imported name to be the module's full dotted
-    path, ``match="suffix"`` also accepts its last part.
+    path, ``match="suffix"`` also accepts its last part where only one module has
+    it, so an import never fans out to all modules of a common name.
     """
     dotted = F.replace(F.regexp_replace("name", r"\.py$", ""), F.lit("/"), F.lit("."))
     targets = modules.where(F.endswith("name", F.lit(".py"))).select(F.col("id").alias("dst"), dotted.alias("module"))
     if match == "suffix":
-        targets = targets.unionByName(
-            targets.select("dst", F.substring_index("module", ".", -1).alias("module"))
-        ).distinct()
+        last = targets.groupBy(F.substring_index("module", ".", -1).alias("module")).agg(
+            F.min("dst").alias("dst"), F.count("*").alias("modules")
+        )
+        targets = targets.unionByName(last.where(F.col("modules") == 1).select("dst", "module")).distinct()
     elif match != "exact":
         raise ValueError(f"unknown match: {match}")
     imported = (
@@ -221,49 +223,37 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches
 
 
 def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Per distance, how much each source depends on each node it passes: v, delta."""
+    """Per distance, how much each source depends on each node it passes: v, delta.
+
+    The way out keeps the edges that shortest paths take, per source. The way back
+    follows only those, so a node with many predecessors costs no more than the
+    paths that really reach it.
+    """
     levels = [materialize(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")), "level")]
+    taken: list[DataFrame] = []
     while True:
         step = levels[-1].join(links, F.col("v") == F.col("src")).select(
-            "s", F.col("dst").alias("v"), "sigma", F.lit(False).alias("seen")
+            "s", F.col("v").alias("u"), F.col("dst").alias("v"), "sigma"
         )
-        seen = _union(levels).withColumn("seen", F.lit(True))
-        new = (
-            step.unionByName(seen)
-            .groupBy("s", "v")
-            .agg(F.sum("sigma").alias("sigma"), F.max("seen").alias("seen"))
-            .where(~F.col("seen"))
-            .drop("seen")
-        )
-        new, rows = materialize_counted(new, "level")
+        new, rows = materialize_counted(step.join(_union(levels).select("s", "v"), ["s", "v"], "left_anti"), "taken")
         if rows == 0:
             break
-        levels.append(new)
+        taken.append(new)
+        levels.append(materialize(new.groupBy("s", "v").agg(F.sum("sigma").alias("sigma")), "level"))
 
     done: list[DataFrame] = []
-    below = None
-    for level in reversed(levels[1:]):
-        own = level.select("s", "v", "sigma", F.lit(0.0).alias("inflow"))
-        if below is None:
-            deltas = own.select("s", "v", "sigma", F.lit(0.0).alias("delta"))
+    while len(taken) > 1:
+        edges, reached = taken.pop(), levels.pop().withColumnRenamed("sigma", "sigma_v")
+        if done:
+            reached = reached.join(done[-1], ["s", "v"], "left")
         else:
-            inflow = below.join(links, F.col("v") == F.col("dst")).select(
-                "s",
-                F.col("src").alias("v"),
-                F.lit(None).cast("double").alias("sigma"),
-                ((1.0 + F.col("delta")) / F.col("sigma")).alias("inflow"),
-            )
-            deltas = materialize(
-                own.unionByName(inflow)
-                .groupBy("s", "v")
-                .agg(F.max("sigma").alias("sigma"), F.sum("inflow").alias("inflow"))
-                .where(F.col("sigma").isNotNull())
-                .select("s", "v", "sigma", (F.col("sigma") * F.col("inflow")).alias("delta")),
-                "delta",
-            )
-            done.append(deltas.select("v", "delta"))
-        below = deltas
-    return done
+            reached = reached.withColumn("delta", F.lit(0.0))
+        share = F.col("sigma") * (1.0 + F.coalesce("delta", F.lit(0.0))) / F.col("sigma_v")
+        back = (
+            edges.join(reached, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(share).alias("delta"))
+        )
+        done.append(materialize(back, "delta"))
+    return [d.select("v", "delta") for d in done]
 
 
 def spofs(centrality: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float = vocab.SPOF_THRESHOLD) -> DataFrame:
