@@ -6,7 +6,7 @@ and without a shuffle (:func:`code_facts`). The flat tables explode it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,6 @@ _CLASS = "array<struct<name: string, bases: array<string>>>"
 _NAMES = "array<string>"
 
 _JAVASCRIPT = ("javascript", "typescript")
-_OWN_SQL = ("python", "java", *_JAVASCRIPT, "csharp", "php", "sql")
 _CASELESS = "(?idU)"
 _EXACT = "(?dU)"
 
@@ -32,85 +31,72 @@ def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def _numbered_lines(content: Column, gate: str) -> Column:
-    """Lines matching ``gate`` with their numbers from 1."""
+def _numbered_lines(content: Column, keep: Callable[[Column], Column]) -> Column:
+    """Lines for which ``keep`` holds, as ``array<struct<t, i>>`` with numbers from 1."""
     lines = F.transform(F.split(content, "\n", -1), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i")))
-    return F.filter(lines, lambda s: F.rlike(s["t"], F.lit(gate)))
+    return F.filter(lines, lambda s: keep(s["t"]))
 
 
-def _sql_row(query: Column, line: Column, kind: Column, places: Sequence[str]) -> Column:
-    return F.struct(
-        strip(query).alias("query"),
-        line.alias("line"),
-        kind.alias("type"),
-        F.coalesce(*[first_group(query, _CASELESS + p) for p in places]).alias("table"),
-    )
-
-
-def _sql_from_lines(
-    content: Column,
-    gate: str,
-    finders: Sequence[Callable[[Column], Column]],
-    kind: Callable[[Column], Column],
-    places: Sequence[str],
-) -> Column:
-    """SQL strings of one file: at most one per gated line and finder."""
-    def of_line(s: Column) -> Column:
-        found = F.filter(F.array(*[f(s["t"]) for f in finders]), lambda q: q.isNotNull())
-        return F.transform(found, lambda q: _sql_row(q, s["i"], kind(q), places))
-
-    return F.flatten(F.transform(_numbered_lines(content, gate), of_line))
-
-
-def _starts(q: Column) -> Column:
-    return query_type(q, vocab.STATEMENT_TYPES, "prefix", None)
-
+def _by_language(language: Column, choices: Mapping[str, Column], otherwise: Column) -> Column:
+    """The entry for a file's language; TypeScript goes with JavaScript."""
+    chain = None
+    for name, value in choices.items():
+        match = language.isin(*_JAVASCRIPT) if name == "javascript" else language == name
+        chain = F.when(match, value) if chain is None else chain.when(match, value)
+    return chain.otherwise(otherwise)
 
-def _contains(q: Column) -> Column:
-    return query_type(q, vocab.CONTAINED_TYPES, "contains", None)
 
+def sql_occurrences(content: Column, language: Column) -> Column:
+    """Embedded SQL per file as ``array<struct<query, line, type, table>>``.
 
-def _quoted(pattern: str, flags: str = _CASELESS) -> Callable[[Column], Column]:
-    return lambda line: first_group(line, flags + pattern)
+    At most one string per line and kind of quoting; which lines are looked at
+    and how a string is found depends on the language.
+    """
+    def like(line: Column, gate: str) -> Column:
+        return F.rlike(line, F.lit(_CASELESS + gate))
+
+    def gate(line: Column) -> Column:
+        code = like(line, vocab.CODE_SQL_GATE)
+        choices = {
+            "python": like(line, vocab.PYTHON_SQL_GATE), "java": like(line, vocab.JAVA_SQL_GATE),
+            "javascript": code, "csharp": code, "php": code,
+        }
+        return _by_language(language, choices, like(line, vocab.GENERIC_SQL_GATE))
+
+    def strings(line: Column) -> Column:
+        plain = first_group(line, _CASELESS + vocab.CODE_SQL_STRING)
+        template = first_group(line, _CASELESS + vocab.CODE_SQL_TEMPLATE)
+        called = first_group(line, _EXACT + vocab.PYTHON_SQL_EXECUTE)
+        choices = {
+            "python": F.array(F.coalesce(called, first_group(line, _EXACT + vocab.PYTHON_SQL_STRING))),
+            "java": F.array(first_group(line, _CASELESS + vocab.JAVA_SQL_STRING)),
+            "javascript": F.array(plain, template),
+            "csharp": F.array(first_group(line, _CASELESS + vocab.CSHARP_SQL_STRING)),
+            "php": F.array(plain),
+        }
+        return F.array_compact(_by_language(language, choices, F.array(F.coalesce(plain, template))))
+
+    def row(query: Column, line: Column) -> Column:
+        script = language.isin("python", "java")
+        kind = F.when(script, query_type(query, vocab.STATEMENT_TYPES, "prefix", None)).otherwise(
+            query_type(query, vocab.CONTAINED_TYPES, "contains", None)
+        )
+        after_into = first_group(query, _CASELESS + vocab.TABLE_AFTER_INTO)
+        after_update = first_group(query, _CASELESS + vocab.TABLE_AFTER_UPDATE)
+        table = F.coalesce(
+            first_group(query, _CASELESS + vocab.TABLE_AFTER_FROM),
+            F.when(script | language.isin(*_JAVASCRIPT), after_into),
+            F.when(script, after_update),
+        )
+        return F.struct(
+            strip(query).alias("query"), line.alias("line"), kind.alias("type"), table.alias("table")
+        )
 
+    def of_line(s: Column) -> Column:
+        return F.transform(strings(s["t"]), lambda q: row(q, s["i"]))
 
-def sql_occurrences(content: Column, language: Column) -> Column:
-    """Embedded SQL per file as ``array<struct<query, line, type, table>>``."""
-    after_any = (vocab.TABLE_AFTER_FROM, vocab.TABLE_AFTER_INTO, vocab.TABLE_AFTER_UPDATE)
-    plain, template = _quoted(vocab.CODE_SQL_STRING), _quoted(vocab.CODE_SQL_TEMPLATE)
-    python = _sql_from_lines(
-        content,
-        _CASELESS + vocab.PYTHON_SQL_GATE,
-        [lambda t: F.coalesce(
-            first_group(t, _EXACT + vocab.PYTHON_SQL_EXECUTE), first_group(t, _EXACT + vocab.PYTHON_SQL_STRING)
-        )],
-        _starts,
-        after_any,
-    )
-    java = _sql_from_lines(
-        content, _CASELESS + vocab.JAVA_SQL_GATE, [_quoted(vocab.JAVA_SQL_STRING)], _starts, after_any
-    )
-    gate = _CASELESS + vocab.CODE_SQL_GATE
-    javascript = _sql_from_lines(content, gate, [plain, template], _contains, after_any[:2])
-    csharp = _sql_from_lines(content, gate, [_quoted(vocab.CSHARP_SQL_STRING)], _contains, after_any[:1])
-    php = _sql_from_lines(content, gate, [plain], _contains, after_any[:1])
-    other = _sql_from_lines(
-        content,
-        _CASELESS + vocab.GENERIC_SQL_GATE,
-        [lambda t: F.coalesce(plain(t), template(t))],
-        _contains,
-        after_any[:1],
-    )
-    return (
-        F.when(language == "python", python)
-        .when(language == "java", java)
-        .when(language.isin(*_JAVASCRIPT), javascript)
-        .when(language == "csharp", csharp)
-        .when(language == "php", php)
-        .when(language == "sql", _empty(_SQL))
-        .otherwise(other)
-        .cast(_SQL)
-    )
+    found = F.flatten(F.transform(_numbered_lines(content, gate), of_line))
+    return F.when(language == "sql", _empty(_SQL)).otherwise(found.cast(_SQL))
 
 
 def python_code_only(content: Column) -> Column:
@@ -200,28 +186,34 @@ def _python_calls(content: Column, words: Sequence[str]) -> Column:
             wanted, lambda n: F.struct(F.regexp_replace(n, r"\s+", "").alias("name"), s["i"].alias("line"))
         )
 
-    gated = _numbered_lines(python_code_only(content), f"(?i)(?:{any_word})")
+    gated = _numbered_lines(python_code_only(content), lambda t: F.rlike(t, F.lit(f"(?i)(?:{any_word})")))
     return F.flatten(F.transform(gated, of_line)).cast(_CALL)
 
 
 def call_occurrences(content: Column, language: Column, python_words: Sequence[str] = vocab.PYTHON_CALL_WORDS) -> Column:
     """Database calls per file as ``array<struct<name, line>>``: one per line and pattern."""
-    def by_patterns(table: Sequence[tuple[str, str]]) -> Column:
-        gate = _EXACT + "|".join(f"(?:{p})" for p, _ in table)
-
-        def of_line(s: Column) -> Column:
-            hits = [F.when(F.rlike(s["t"], F.lit(_EXACT + p)), F.lit(name)) for p, name in table]
-            return F.transform(
-                F.array_compact(F.array(*hits)), lambda n: F.struct(n.alias("name"), s["i"].alias("line"))
-            )
+    tables = vocab.DATABASE_CALLS
 
-        return F.flatten(F.transform(_numbered_lines(content, gate), of_line)).cast(_CALL)
+    def gate(line: Column) -> Column:
+        any_call = {
+            name: F.rlike(line, F.lit(_EXACT + "|".join(f"(?:{p})" for p, _ in table))) for name, table in tables.items()
+        }
+        return _by_language(language, any_call, F.lit(False))
 
-    calls = F.when(language == "python", _python_calls(content, python_words))
-    for name, table in vocab.DATABASE_CALLS.items():
-        match = language.isin(*_JAVASCRIPT) if name == "javascript" else language == name
-        calls = calls.when(match, by_patterns(table))
-    return calls.otherwise(_empty(_CALL))
+    def of_line(s: Column) -> Column:
+        names = {
+            lang: F.array(*[F.when(F.rlike(s["t"], F.lit(_EXACT + p)), F.lit(name)) for p, name in table])
+            for lang, table in tables.items()
+        }
+        hit = F.array_compact(_by_language(language, names, _empty(_NAMES)))
+        return F.transform(hit, lambda n: F.struct(n.alias("name"), s["i"].alias("line")))
+
+    by_pattern = F.flatten(F.transform(_numbered_lines(content, gate), of_line)).cast(_CALL)
+    return (
+        F.when(language == "python", _python_calls(content, python_words))
+        .when(language.isin(*_JAVASCRIPT, *tables), by_pattern)
+        .otherwise(_empty(_CALL))
+    )
 
 
 def class_occurrences(content: Column, language: Column) -> Column:
