@@ -115,10 +115,14 @@ def fk_edges(columns: DataFrame) -> DataFrame:
     )
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """The distinct nodes that edges mention: id."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
 def implicit_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that only edges mention, of type ``unknown``."""
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    return ends.join(nodes.select("id"), "id", "left_anti").select(
+    return edge_ends(edges).join(nodes.select("id"), "id", "left_anti").select(
         "id", F.lit("unknown").alias("type"), F.col("id").alias("name"), _text_map().cast("map<string,string>").alias("metadata")
     )
 
@@ -145,14 +149,16 @@ def build_graph(
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
-    """In-, out- and total degree per node that has an edge: id, in_degree, out_degree, degree."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    out = edges.select(F.col("src").alias("id"), one.alias("o"), zero.alias("i"))
-    into = edges.select(F.col("dst").alias("id"), zero.alias("o"), one.alias("i"))
+    """In-, out- and total degree per node that has an edge: id, in_degree, out_degree, degree.
+
+    Both ends of an edge come from one read of it, and a hub's ends are summed
+    in each task before the shuffle.
+    """
+    ends = edges.select(F.posexplode(F.array("src", "dst")).alias("is_dst", "id"))
     return (
-        out.unionByName(into)
-        .groupBy("id")
-        .agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
+        ends.groupBy("id")
+        .agg(F.sum("is_dst").alias("in_degree"), F.count("*").alias("degree"))
+        .select("id", "in_degree", (F.col("degree") - F.col("in_degree")).alias("out_degree"), "degree")
     )
 
 
@@ -205,7 +211,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches
     executors costs no more than the current step. ``source_batches`` handles the
     sources in so many portions to bound that state; the result is the same.
     """
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    ends = edge_ends(edges)
     ids, n = materialize_counted(ends if nodes is None else nodes.select("id").unionByName(ends).distinct(), "nodes")
     links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges")
     sources = links.select(F.col("src").alias("s")).distinct()

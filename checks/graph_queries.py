@@ -101,8 +101,7 @@ def _(t):
 SELECT 'module:' || path AS id, 'module' AS type, path AS name FROM v_files
 UNION ALL SELECT 'table:' || table_name, 'table', table_name FROM v_tables
 UNION ALL SELECT 'table:' || name, 'table', name FROM (SELECT 'orders' AS name UNION ALL SELECT 'Customer' UNION ALL SELECT 'part') x
-UNION ALL SELECT 'table:users', 'unknown', 'table:users'
-UNION ALL SELECT DISTINCT dst, 'unknown', dst FROM o_fk WHERE dst <> 'table:users' AND substr(dst, 7) NOT IN (SELECT table_name FROM v_tables)""")
+UNION ALL SELECT DISTINCT dst, 'unknown', dst FROM o_fk WHERE substr(dst, 7) NOT IN (SELECT table_name FROM v_tables)""")
 def _(t):
     return _graph(t)[0].drop("metadata")
 

@@ -29,17 +29,17 @@ SELECT prefix || '_' || CAST(bucket AS STRING) AS table_name, min(event_id) AS s
 FROM (SELECT {_PREFIX} AS prefix, user_id % 7 AS bucket, event_id FROM events) t
 GROUP BY prefix, bucket""",
     "v_schema": f"""
-SELECT t.table_name AS table_name, c.column_name AS column_name,
-       (t.bucket % 2 = 0 AND c.column_name = 'user_id') AS indexed
-FROM (SELECT DISTINCT {_PREFIX} || '_' || CAST(user_id % 7 AS STRING) AS table_name, user_id % 7 AS bucket FROM events) t,
-     (SELECT 'user_id' AS column_name UNION ALL SELECT 'page' UNION ALL SELECT 'order_id' UNION ALL SELECT 'event_id') c""",
+WITH named AS (SELECT DISTINCT {_PREFIX} || '_' || CAST(user_id % 7 AS STRING) AS table_name, user_id % 7 AS bucket FROM events)
+SELECT table_name, 'user_id' AS column_name, bucket % 2 = 0 AS indexed FROM named
+UNION ALL SELECT table_name, 'page', false FROM named
+UNION ALL SELECT table_name, 'order_id', false FROM named
+UNION ALL SELECT table_name, 'event_id', false FROM named""",
     "v_columns": f"""
-SELECT t.table_name AS table_name, c.column_name AS column_name, c.fk_table AS fk_table, c.seq AS seq
-FROM (SELECT DISTINCT {_PREFIX} || '_' || CAST(user_id % 7 AS STRING) AS table_name FROM events) t,
-     (SELECT 'user_id' AS column_name, 'users' AS fk_table, CAST(0 AS BIGINT) AS seq
-      UNION ALL SELECT 'owner_id', 'users', CAST(1 AS BIGINT)
-      UNION ALL SELECT 'order_id', 'purchases_0', CAST(2 AS BIGINT)
-      UNION ALL SELECT 'page', CAST(NULL AS STRING), CAST(3 AS BIGINT)) c""",
+WITH named AS (SELECT DISTINCT {_PREFIX} || '_' || CAST(user_id % 7 AS STRING) AS table_name, 'users_' || CAST(user_id % 7 % 2 AS STRING) AS owner, 'purchases_' || CAST(user_id % 7 AS STRING) AS bought FROM events)
+SELECT table_name, 'user_id' AS column_name, owner AS fk_table, CAST(0 AS BIGINT) AS seq FROM named
+UNION ALL SELECT table_name, 'owner_id', owner, CAST(1 AS BIGINT) FROM named
+UNION ALL SELECT table_name, 'order_id', bought, CAST(2 AS BIGINT) FROM named
+UNION ALL SELECT table_name, 'page', CAST(NULL AS STRING), CAST(3 AS BIGINT) FROM named""",
     "v_docs": """
 SELECT doc_id, source || '/' || CAST(doc_id AS STRING) || '.md' AS path,
        text || ' Contact ops' || CAST(doc_id % 13 AS STRING) || ' for access.' ||
