@@ -7,14 +7,16 @@ and without a shuffle (:func:`code_facts`). The flat tables explode it.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe import vocab
 from auditframe.functions.columns import all_groups, first_group, let, strip
 from auditframe.functions.paths import detect_language, extension, file_name
 from auditframe.functions.sqltext import query_type
+from auditframe.sources.files import scan_source_files
 
 _IMPORT = "array<struct<kind: string, module: string, name: string>>"
 _SQL = "array<struct<query: string, line: int, type: string, table: string>>"
@@ -46,14 +48,15 @@ def _by_language(language: Column, choices: Mapping[str, Column], otherwise: Col
     return chain.otherwise(otherwise)
 
 
-def sql_occurrences(content: Column, language: Column) -> Column:
+def sql_occurrences(content: Column, language: Column, whole_words: bool = True) -> Column:
     """Embedded SQL per file as ``array<struct<query, line, type, table>>``.
 
     At most one string per line and kind of quoting; which lines are looked at
-    and how a string is found depends on the language.
+    and how a string is found depends on the language. ``whole_words=False``
+    also looks at lines where a keyword is part of a longer word ("selected").
     """
     def like(line: Column, gate: str) -> Column:
-        return F.rlike(line, F.lit(_CASELESS + gate))
+        return F.rlike(line, F.lit(_CASELESS + (gate if whole_words else gate.replace(r"\b", ""))))
 
     def gate(line: Column) -> Column:
         code = like(line, vocab.CODE_SQL_GATE)
@@ -277,6 +280,11 @@ def code_facts(files: DataFrame) -> DataFrame:
     )
 
 
+def scan_code(spark: SparkSession, root: str, **options) -> DataFrame:
+    """:func:`code_facts` of every file below ``root``; options go to the file scan."""
+    return code_facts(scan_source_files(spark, root, **options))
+
+
 def _flat(files: DataFrame, column: str, fact: Callable[[Column, Column], Column], *fields: str) -> DataFrame:
     """Explode one kind of fact, from source files or from a code_facts table."""
     if column in files.columns:
@@ -288,9 +296,10 @@ def _flat(files: DataFrame, column: str, fact: Callable[[Column, Column], Column
     return rows.select("path", "language", *fields)
 
 
-def code_imports(files: DataFrame) -> DataFrame:
+def code_imports(files: DataFrame, relative_ruby: bool = False) -> DataFrame:
     """One row per import: path, language, kind, module, name."""
-    return _flat(files, "imports", import_occurrences, "f.kind", "f.module", "f.name")
+    fact = partial(import_occurrences, relative_ruby=relative_ruby)
+    return _flat(files, "imports", fact, "f.kind", "f.module", "f.name")
 
 
 def python_imports(files: DataFrame) -> DataFrame:
@@ -298,9 +307,10 @@ def python_imports(files: DataFrame) -> DataFrame:
     return code_imports(files.where(extension(F.col("path")) == ".py"))
 
 
-def code_sql(files: DataFrame) -> DataFrame:
+def code_sql(files: DataFrame, whole_words: bool = True) -> DataFrame:
     """One row per embedded SQL string: path, language, query, line, type, table."""
-    return _flat(files, "sql_queries", sql_occurrences, "f.query", "f.line", "f.type", "f.table")
+    fact = partial(sql_occurrences, whole_words=whole_words)
+    return _flat(files, "sql_queries", fact, "f.query", "f.line", "f.type", "f.table")
 
 
 def python_sql(files: DataFrame) -> DataFrame:
@@ -308,9 +318,13 @@ def python_sql(files: DataFrame) -> DataFrame:
     return code_sql(files.where(extension(F.col("path")) == ".py"))
 
 
-def db_calls(files: DataFrame) -> DataFrame:
-    """One row per database call: path, language, name, line."""
-    return _flat(files, "db_calls", call_occurrences, "f.name", "f.line")
+def db_calls(files: DataFrame, python_words: Sequence[str] = vocab.PYTHON_CALL_WORDS) -> DataFrame:
+    """One row per database call: path, language, name, line.
+
+    ``python_words`` are the parts a Python call's name must contain one of.
+    """
+    fact = partial(call_occurrences, python_words=python_words)
+    return _flat(files, "db_calls", fact, "f.name", "f.line")
 
 
 def class_defs(files: DataFrame) -> DataFrame:

@@ -132,6 +132,27 @@ def test_database_calls(files):
     assert sorted(got["c.php"]) == [("execute", 4), ("mysqli_query", 3), ("prepare", 4)]
 
 
+def test_looser_variants(rows):
+    files = rows(
+        [("a.java", 's = "preselected rows";'), ("b.rb", "require_relative 'lib'"), ("c.py", "conn.commit()\nconn.execute('x')")],
+        "path string, content string")
+    assert code.code_sql(files).count() == 0
+    assert [r.query for r in code.code_sql(files, whole_words=False).collect()] == ["preselected rows"]
+    assert code.code_imports(files).count() == 0
+    assert [r.module for r in code.code_imports(files, relative_ruby=True).collect()] == ["lib"]
+    assert [r.name for r in code.db_calls(files, ("commit",)).collect()] == ["conn.commit"]
+
+
+def test_scan_of_a_tree(spark, tmp_path):
+    (tmp_path / "node_modules").mkdir()
+    for name, text in {"a.py": "import os\n", "b.xyz": "q = 'select 1 from t'", "c.dll": "x", "node_modules/d.py": "import no"}.items():
+        (tmp_path / name).write_text(text)
+    facts = {r.path: r for r in code.scan_code(spark, str(tmp_path)).collect()}
+    assert set(facts) == {"a.py", "b.xyz"}
+    assert [i.module for i in facts["a.py"].imports] == ["os"]
+    assert [(q.type, q.table) for q in facts["b.xyz"].sql_queries] == [("SELECT", "t")]
+
+
 def test_classes_and_tables(files):
     got = by_path(code.class_defs(files), "class_name", "bases")
     assert got == {"src/o.py": [("Order", ["Base", "Model"]), ("Plain", [])], "U.java": [("UserDao", [])]}
