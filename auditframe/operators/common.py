@@ -31,3 +31,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int
 def count_where(condition: Column) -> Column:
     """Number of rows meeting the condition, as BIGINT."""
     return F.count_if(condition).cast("bigint")
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of rows and tasks.
+
+    Values are added as decimals with ten places. Where one does not fit, or the
+    total overflows, the plain sum is taken.
+    """
+    exact = value.try_cast("decimal(28,10)")
+    total = F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double"))
+    return F.coalesce(total, F.sum(value))

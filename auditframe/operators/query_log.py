@@ -14,7 +14,7 @@ from auditframe.functions.sqltext import (
     normalize_query,
     query_type,
 )
-from auditframe.operators.common import count_where, one_row
+from auditframe.operators.common import count_where, exact_sum, one_row
 
 
 def query_stats(log: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def query_stats(log: DataFrame) -> DataFrame:
             F.min_by("query", "seq").alias("example_query"),
             F.min("seq").alias("first_seq"),
             F.count("*").alias("execution_count"),
-            F.sum("duration_ms").alias("total_duration_ms"),
+            exact_sum(F.col("duration_ms")).alias("total_duration_ms"),
             F.min("duration_ms").alias("min_duration_ms"),
             F.max("duration_ms").alias("max_duration_ms"),
         )
@@ -88,7 +88,7 @@ def workload_profile(log: DataFrame) -> DataFrame:
         log.select("duration_ms", query_type(F.col("query")).alias("kind"))
         .agg(
             F.count("*").alias("total_queries"),
-            F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_duration_ms"),
+            F.coalesce(exact_sum(F.col("duration_ms")), F.lit(0.0)).alias("total_duration_ms"),
             *[count_where(F.col("kind") == k).alias(f"{k.lower()}_count") for k in kinds],
         )
         .withColumn(

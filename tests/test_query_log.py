@@ -146,6 +146,15 @@ def test_workload_profile(log, rows):
     assert (empty.total_queries, empty.total_duration_ms, empty.avg_duration_ms) == (0, 0.0, 0.0)
 
 
+def test_totals_do_not_depend_on_row_order(rows):
+    values = [145.46, 1.15, 0.1, 0.2, 0.3, 54.75, 1e-3] * 40
+    for order in (values, values[::-1], sorted(values)):
+        log = rows([(i, "SELECT 1", v) for i, v in enumerate(order)], SCHEMA).repartition(3)
+        assert query_log.query_stats(log).collect()[0].total_duration_ms == 8078.44
+    odd = rows([(0, "SELECT 1", 1e300), (1, "SELECT 1", 1.0)], SCHEMA)
+    assert query_log.query_stats(odd).collect()[0].total_duration_ms == 1e300
+
+
 def test_slowest_queries_are_cut(rows):
     log = rows([(0, "a" * 101, 1.0, None), (1, "b" * 100, 9.0, None)], "seq bigint, query string, duration_ms double, ts timestamp")
     assert [r.query for r in query_log.slowest_queries(log).collect()] == ["b" * 100, "a" * 100 + "..."]
