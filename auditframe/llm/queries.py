@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditframe.llm import line_rules
+from auditframe.llm import language_id, line_rules, quality_mil, simhash_anchor
+from auditframe.llm.columns import remainder
+from auditframe.llm.fingerprints import as_hex
+from auditframe.llm.ship import ship
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,3 +37,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_rules.clean_lines(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+def learned_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_mil.BagModel | None:
+    """The classifier fitted on labelled rows outside the fold that is held out."""
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    return quality_mil.fit(docs, labels)
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_mil.score(docs, learned_quality(spark, docs, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op4_simhash_anchor")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
