@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import language_id, line_rules, quality_mil, simhash_anchor, substring_debruijn
+from auditframe.llm import language_id, line_rules, packing, quality_mil, simhash_anchor, substring_debruijn
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
@@ -69,3 +69,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_debruijn.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
