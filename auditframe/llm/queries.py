@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import language_id, line_rules, packing, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal
+from auditframe.llm import language_id, line_rules, packing, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
@@ -82,3 +82,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
     scored = toxicity_ordinal.score(docs, toxicity_ordinal.fit(docs, labels))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_severity", "severity", "score", "predicted")
+
+
+#: The rules that the pages are judged by.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op8_url_equivalence", url_equivalence.oracle_sql(URL_RULES))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_equivalence.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
