@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import ann_collisions, language_id, line_rules, packing, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
+from auditframe.llm import ann_collisions, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
@@ -100,3 +100,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann_collisions.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op2_piece_dropout")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
