@@ -57,8 +57,8 @@ def ngram_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         rows = np.array([g[0] for g in group])
         lengths = np.array([g[2] - g[1] for g in group])
         begin, stop = group[0][1], group[-1][2]
-        # Two more bytes complete the n-grams of a text that goes on in the next piece.
-        b = _letters(raw[begin : min(stop + max(ORDERS) - 1, len(raw))]).astype(np.uint32)
+        # A byte more in front and two behind, for a text that goes on in the pieces around.
+        b = _letters(raw[max(begin - 1, 0) : min(stop + max(ORDERS) - 1, len(raw))])[min(begin, 1) :].astype(np.uint32)
         n = stop - begin
         slot = np.repeat(np.arange(len(group)), lengths)
         left = np.repeat(at[rows + 1] - begin, lengths) - np.arange(n)

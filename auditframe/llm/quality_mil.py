@@ -87,7 +87,8 @@ def passage_features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
         use = (of_byte >= 0) & (stretch == owner[opens][np.maximum(of_byte, 0)])
         kinds = np.bincount((of_byte * _CLASSES + _KIND[b])[use], minlength=n * _CLASSES).reshape(n, _CLASSES)
         pair = ((b[:-1].astype(np.uint32) << np.uint32(8) | b[1:]) * np.uint32(2654435761)) >> np.uint32(32 - _PAIR_BITS)
-        pairs = np.bincount(((of_byte[:-1] << _PAIR_BITS) + pair)[use[:-1]], minlength=n << _PAIR_BITS).reshape(n, 1 << _PAIR_BITS)
+        within = use[:-1] & (stretch[1:] == stretch[:-1])
+        pairs = np.bincount(((of_byte[:-1] << _PAIR_BITS) + pair)[within], minlength=n << _PAIR_BITS).reshape(n, 1 << _PAIR_BITS)
         size = (last - first + 1).astype(np.float64)
         sums = np.append(np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWER[: len(b)], dtype=np.uint64))
         word = (sums[last + 1] - sums[first]) * _INVERSE[first]
