@@ -181,6 +181,14 @@ def _emit_paths(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.R
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["high", "low", "doc", "start"])
+        out.clear()
+        return made
+
+    held = 0
     for batch in batches:
         for doc, text, parts in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("parts")):
             starts, counts = (np.array([p[k] for p in parts.as_py()], np.int64) for k in ("start", "windows"))
@@ -191,8 +199,13 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if len(here):
                     high, low = known.hashes(words)
                     at = here - first
-                    hashes = [pa.array(_Ranges(h).of(at, at + WINDOW).view(np.int64)) for h in (high, low)]
-                    yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(len(here), doc)), pa.array(here)], ["high", "low", "doc", "start"])
+                    out.append((*[_Ranges(h).of(at, at + WINDOW).view(np.int64) for h in (high, low)], np.full(len(here), doc), here))
+                    held += len(here)
+                    if held >= 1 << 16:
+                        yield batch_of()
+                        held = 0
+    if out:
+        yield batch_of()
 
 
 def pieces(texts: DataFrame) -> DataFrame:
