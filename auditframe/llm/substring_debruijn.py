@@ -211,9 +211,10 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def pieces(texts: DataFrame) -> DataFrame:
     """Repeated pieces of ``texts(doc, text)``: doc, start, windows, source_doc and source_start; ``doc`` is never null."""
     here = F.struct("doc", "start")
-    counted = texts.mapInArrow(lambda b: _emit_paths(b, False), "minimizer bigint").groupBy("minimizer").count().where("count > 1")
+    counts = texts.mapInArrow(lambda b: _emit_paths(b, False), "minimizer bigint").groupBy("minimizer").count()
+    counted = materialize(counts.where("count > 1").select("minimizer"), "repeated-minimizers")  # a plain scan, so that the join can be split
     all_paths = texts.mapInArrow(lambda b: _emit_paths(b, True), "minimizer bigint, content bigint, doc bigint, start bigint, windows int")
-    shared = materialize(all_paths.join(counted.select("minimizer"), "minimizer"), "shared-paths")
+    shared = materialize(all_paths.join(counted, "minimizer"), "shared-paths")
     distinct = materialize(
         shared.groupBy("minimizer", "content").agg(F.min(here).alias("source"), F.count(F.lit(1)).alias("n"), F.min("windows").alias("windows")),
         "distinct-paths")
