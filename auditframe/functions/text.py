@@ -21,8 +21,9 @@ def redact(col: Column, patterns: Sequence[str] | None = None) -> Column:
     """Replace every match of each pattern, in order, by ``[REDACTED]``."""
     for pattern in vocab.REDACTION_PATTERNS if patterns is None else patterns:
         replaced = F.regexp_replace(col, "(?iU)" + pattern, vocab.REDACTION_MARK)
-        # Texts without the one character an e-mail address needs skip its scan.
-        col = F.when(F.contains(col, F.lit("@")), replaced).otherwise(col) if "+@[" in pattern else replaced
+        # A text without an @ skips the scan for the built-in e-mail pattern, and for no other.
+        is_email = pattern == vocab.REDACTION_PATTERNS[0]
+        col = F.when(F.contains(col, F.lit("@")), replaced).otherwise(col) if is_email else replaced
     return col
 
 
@@ -165,5 +166,6 @@ def document_title(content: Column) -> Column:
 
 
 def fingerprint(*names: str) -> Column:
-    """SHA-256 of the record as JSON with its keys in sorted order."""
-    return F.sha2(F.to_json(F.struct(*[F.col(n) for n in sorted(names)])), 256)
+    """SHA-256 of the record as JSON with its keys in sorted order; a NULL stays a key."""
+    record = F.struct(*[F.col(n) for n in sorted(names)])
+    return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256)

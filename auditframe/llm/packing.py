@@ -18,6 +18,8 @@ by itself, repeated rows too; a null id stays null. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,6 +27,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,20 @@ REMEMBERED = 500_000
 CUT = 1 << 20
 
 
+_PLAIN = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+_LETTERS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\s+")
+
+
+def _parts(run: bytes) -> list[str]:
+    """Parts of a run that the tokenizer would part as well; the run itself where that is not certain."""
+    if b"'" in run or b"<|" in run:
+        return [run.decode("utf-8")]
+    if run.isascii():
+        return _PLAIN.findall(run.decode("ascii").lower()) if run.isalnum() or min(run) > 0x20 else [run.decode("ascii")]
+    text = run.decode("utf-8")
+    return _LETTERS.findall(text) if unicodedata.is_normalized("NFC", text) and "\u0130" not in text else [text]
+
+
 class _Encoder:
     """Ids of texts, run by run."""
 
@@ -49,17 +66,37 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def _runs(self, runs: list[bytes]) -> list[int]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
         fresh = list(set(runs).difference(self.known))
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            found = self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in part], add_special_tokens=False)
-            self.known.update((r, tuple(e.ids)) for r, e in zip(part, found))
+        parts = [_parts(r) for r in fresh]
+        new = list(set(chain.from_iterable(parts)).difference(self.words))
+        for lo in range(0, len(new), 1024):
+            self._learn(new[lo : lo + 1024])
+        for run, words in zip(fresh, parts):
+            self.known[run] = tuple(chain.from_iterable(map(self.words.__getitem__, words)))
         return list(chain.from_iterable(map(self.known.__getitem__, runs)))
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one go where each is one word to the tokenizer, else one by one."""
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        owner = np.array(whole.word_ids, float)  # special tokens have no word
+        if len(owner) and not np.isnan(owner).any() and np.array_equal(np.unique(owner), np.arange(len(words))):
+            cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+            ids = whole.ids
+            self.words.update((w, tuple(ids[i:j])) for w, i, j in zip(words, cuts, cuts[1:]))
+        elif len(words) > 8:
+            half = len(words) // 2
+            self._learn(words[:half])
+            self._learn(words[half:])
+        else:
+            self.words.update((w, tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in words)
+
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text and the end id."""
         data = (text or "").encode("utf-8", "replace")

@@ -45,8 +45,12 @@ REMEMBERED = 600_000
 LONGEST = 64
 
 SPACE = "▁"
-_LONG = (1 << 64) - 1
 _STRETCH = re.compile("[ ]*[^ \n\t]+|[ ]+|[\n\t]")
+_LONG = (1 << 64) - 1
+_GONE = -2
+_NEVER = 1 << 40
+#: Characters up to which a list is the quicker agenda.
+SHORT = 48
 
 
 class Pieces:
@@ -58,7 +62,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.surface: list[bytes] = []
         self.byte = [0] * 256
-        self.rank: dict[str, tuple[float, int]] = {}
+        normal: dict[str, int] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -67,53 +71,102 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.surface.append(b"")
             else:
-                self.rank[piece] = (-model.get_score(i), i)
+                normal[piece] = i
                 self.surface.append(piece.replace(SPACE, " ").encode())
-        assert not any(c in p for p in self.rank for c in "\n\t") and not any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        assert not any(c in p for p in normal for c in "\n\t") and not any(SPACE in p.lstrip(SPACE) for p in normal)
+        # Ids in order of merging; the rank of each pair of pieces that make one; ids of single characters, a space as the text has it.
+        self.by_rank = sorted(normal.values(), key=lambda i: (-model.get_score(i), i))
+        rank = {i: r for r, i in enumerate(self.by_rank)}
+        self.pairs = {
+            normal[p[:k]] << 20 | normal[p[k:]]: rank[i] for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
+        self.single = {(" " if p == SPACE else p): i for p, i in normal.items() if len(p) == 1}
         self.known: dict[tuple[str, int], tuple[int, ...]] = {}
 
     def segment(self, stretch: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> tuple[int, ...]:
-        """Ids of one stretch."""
-        symbols = [SPACE if c == " " else ("\0" + c if c == SPACE else c) for c in stretch]
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        """Ids of one stretch; the agenda of a short one is a plain list."""
+        return (self._short if len(stretch) <= SHORT else self._long)(stretch, dropout, seed, variant)
+
+    def _short(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
+        """As ``_long``, with the rank of every neighbouring pair in a list."""
+        get, by_rank = self.pairs.get, self.by_rank
+        symbols = [self.single.get(c, -1) for c in stretch]
+        ranks = [get(a << 20 | b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        places = list(range(len(symbols)))
         limit = int(dropout * 2**32)
         key = xxhash.xxh64_intdigest(f"{variant}/{stretch}".encode("utf-8", "surrogatepass"), seed) if limit else 0
-        agenda: list[tuple[float, int, str]] = []
-
-        def offer(left: int) -> None:
-            if left >= 0 and after[left] < n:
-                both = symbols[left] + symbols[after[left]]
-                found = self.rank.get(both)
-                if found:
-                    heapq.heappush(agenda, (found[0], left, both))
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            if limit:
+                mixed = (key ^ (best << 32 | places[i])) * 0x9E3779B97F4A7C15 & _LONG
+                mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _LONG
+                if mixed >> 32 < limit:
+                    ranks[i] = _NEVER
+                    continue
+            merged = symbols[i] = by_rank[best]
+            del symbols[i + 1], places[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(merged << 20 | symbols[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] << 20 | merged, _NEVER)
+        if min(symbols) >= 0:
+            return tuple(symbols)
+        out: list[int] = []
+        for s, place in zip(symbols, places):
+            if s >= 0:
+                out.append(s)
+            else:
+                out += [self.byte[b] for b in stretch[place].encode("utf-8", "surrogatepass")]
+        return tuple(out)
 
+    def _long(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
+        pairs, n = self.pairs, len(stretch)
+        symbols = [self.single.get(c, -1) for c in stretch]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        limit = int(dropout * 2**32)
+        key = xxhash.xxh64_intdigest(f"{variant}/{stretch}".encode("utf-8", "surrogatepass"), seed) if limit else 0
+        # A candidate is one number: its rank, then its place.
+        agenda = []
         for i in range(n - 1):
-            offer(i)
+            if symbols[i] >= 0 and symbols[i + 1] >= 0:
+                found = pairs.get(symbols[i] << 20 | symbols[i + 1])
+                if found is not None:
+                    agenda.append(found << 32 | i)
+        heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, left, both = heapq.heappop(agenda)
-            if not symbols[left] or after[left] >= n or symbols[left] + symbols[after[left]] != both:
+            candidate = pop(agenda)
+            left, rank = candidate & 0xFFFFFFFF, candidate >> 32
+            right = after[left]
+            if right >= n or symbols[left] < 0 or pairs.get(symbols[left] << 20 | symbols[right]) != rank:
                 continue
             if limit:
-                mixed = (key ^ (left << 32 | len(both))) * 0x9E3779B97F4A7C15 & _LONG
+                mixed = (key ^ candidate) * 0x9E3779B97F4A7C15 & _LONG
                 mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _LONG
                 if mixed >> 32 < limit:
                     continue
-            right = after[left]
-            symbols[left], symbols[right] = both, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            offer(before[left])
-            offer(left)
+            merged = symbols[left] = self.by_rank[rank]
+            symbols[right] = _GONE
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                if symbols[right] >= 0:
+                    found = pairs.get(merged << 20 | symbols[right])
+                    if found is not None:
+                        push(agenda, found << 32 | left)
+            earlier = before[left]
+            if earlier >= 0 and symbols[earlier] >= 0:
+                found = pairs.get(symbols[earlier] << 20 | merged)
+                if found is not None:
+                    push(agenda, found << 32 | earlier)
         out: list[int] = []
-        for s in symbols:
-            if s:
-                found = self.rank.get(s)
-                if found:
-                    out.append(found[1])
-                else:
-                    out += [self.byte[b] for b in s.lstrip("\0" if len(s) > 1 else "").encode("utf-8", "surrogatepass")]
+        for i, s in enumerate(symbols):
+            if s >= 0:
+                out.append(s)
+            elif s == -1:
+                out += [self.byte[b] for b in stretch[i].encode("utf-8", "surrogatepass")]
         return tuple(out)
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = VARIANTS) -> list[int]:

@@ -36,9 +36,9 @@ def count_where(condition: Column) -> Column:
 def exact_sum(value: Column) -> Column:
     """Sum of doubles that does not depend on the order of rows and tasks.
 
-    Values are added as decimals with ten places. Where one does not fit, or the
-    total overflows, the plain sum is taken.
+    A value under 10^10 is added as a decimal with 18 places, a larger one as a
+    double; the two sums are added last.
     """
-    exact = value.try_cast("decimal(28,10)")
-    total = F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double"))
-    return F.coalesce(total, F.sum(value))
+    exact = value.try_cast("decimal(28,18)")
+    large = F.sum(F.when(exact.isNull(), value))
+    return F.coalesce(F.sum(exact).cast("double") + large, F.sum(exact).cast("double"), large)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +19,23 @@ from auditframe.functions.sqltext import (
 from auditframe.operators.common import count_where, exact_sum, one_row
 
 
-def query_stats(log: DataFrame) -> DataFrame:
+def query_stats(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Executions per statement pattern, with the first statement as example.
 
+    ``by`` names further columns that tell patterns apart, such as ``database``.
+
     One shuffle of partial aggregates; the hot pattern of a skewed log shrinks
     to one row per task before it.
     """
     return (
         log.select(
+            *by,
             normalize_query(F.col("query")).alias("pattern"),
             F.coalesce("query", F.lit("")).alias("query"),
             "seq",
             F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
         )
-        .groupBy("pattern")
+        .groupBy("pattern", *by)
         .agg(
             F.min_by("query", "seq").alias("example_query"),
             F.min("seq").alias("first_seq"),
@@ -57,6 +62,7 @@ def cost_drivers(stats: DataFrame) -> DataFrame:
         round_exact(total, 2).alias("total_cost_ms"),
         classify_impact(total).alias("impact"),
         "first_seq",
+        *[c for c in ("database",) if c in stats.columns],
     )
 
 
@@ -80,6 +86,13 @@ def cost_summary(stats: DataFrame, top_drivers: DataFrame) -> DataFrame:
     return one_row(overall, top)
 
 
+def cost_totals(drivers: DataFrame) -> DataFrame:
+    """Total cost and patterns per impact class over all drivers, as one row."""
+    return drivers.agg(
+        round_exact(F.coalesce(exact_sum(F.col("total_cost_ms")), F.lit(0.0)), 2).alias("total_cost_ms"),
+        *[count_where(F.col("impact") == i).alias(f"{i.lower()}_impact_count") for i in ("HIGH", "MEDIUM", "LOW")],
+    )
+
 
 def workload_profile(log: DataFrame) -> DataFrame:
     """Totals, mean duration and a count per statement type, as one row."""
@@ -113,11 +126,12 @@ def log_metrics(log: DataFrame) -> DataFrame:
 
 
 def indexed_columns(schema_indexes: DataFrame, include_schema_level: bool = False) -> DataFrame:
-    """Distinct indexed columns per table, both lower-cased; one row per table."""
+    """Distinct indexed columns per table, both lower-cased; one row per table (and database, if given)."""
+    database = [c for c in ("database",) if c in schema_indexes.columns]
     indexes = schema_indexes if include_schema_level else schema_indexes.where(F.col("level") == "table")
     return (
-        indexes.select(F.lower("table").alias("table"), F.explode("columns").alias("column"))
-        .groupBy("table")
+        indexes.select(*database, F.lower("table").alias("table"), F.explode("columns").alias("column"))
+        .groupBy("table", *database)
         .agg(F.collect_set(F.lower("column")).alias("indexed_columns"))
     )
 
@@ -126,11 +140,15 @@ def missing_indexes(drivers: DataFrame, schema_indexes: DataFrame, include_schem
     """Drivers with the WHERE columns their table has no index on, and advice.
 
     A table's indexed columns form one small array, so each driver needs a
-    single equi-join and a set test instead of a row per column.
+    single equi-join and a set test instead of a row per column. Where drivers and
+    indexes both name their database, a table's indexes count in that one only.
     """
+    same = [c for c in ("database",) if c in drivers.columns and c in schema_indexes.columns]
+    if not same:
+        schema_indexes = schema_indexes.drop("database")
     known = indexed_columns(schema_indexes, include_schema_level)
     joined = drivers.withColumn("where_columns", extract_where_columns(F.col("example_query"))).join(
-        known, "table", "left"
+        known, ["table", *same], "left"
     )
     none = F.array().cast("array<string>")
     indexed = F.coalesce("indexed_columns", none)

@@ -121,7 +121,7 @@ def prioritize(drivers: DataFrame, risks: DataFrame, k: int = 10, k_each: int =
             priority(F.lit("risk"), F.col("severity")).alias("priority"),
             "category",
             F.concat(F.lit("Mitigate: "), "title").alias("title"),
-            F.left("mitigation", F.lit(200)).alias("description"),
+            F.col("mitigation").alias("description"),
             F.col("severity").alias("impact"),
             estimate_effort(F.col("category")).alias("effort"),
             F.lit("risk_analysis").alias("source"),
@@ -147,6 +147,5 @@ def appendix_risks(risks: DataFrame, k: int = 10) -> DataFrame:
     """The first ``k`` CRITICAL and HIGH risks of the ranked register."""
     serious = risks.where(F.col("severity").isin("CRITICAL", "HIGH"))
     return _ranked(serious, k, *_risk_order()).select(
-        "position", "title", "severity", "category", "confidence", "description",
-        F.left("mitigation", F.lit(300)).alias("mitigation"),
+        "position", "title", "severity", "category", "confidence", "description", "mitigation",
     )

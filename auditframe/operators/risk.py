@@ -143,15 +143,9 @@ def score_risks(risks: DataFrame) -> DataFrame:
     return risks.withColumn("risk_score", risk_score(severity, confidence))
 
 
-def rank_risks(risks: DataFrame, k: int = 15, pre_rank_limit: int | None = None) -> DataFrame:
-    """The ``k`` highest-scored risks.
-
-    ``pre_rank_limit=5`` keeps only the first five risks in detection order
-    before ranking, as the audited tool does.
-    """
+def rank_risks(risks: DataFrame, k: int = 15) -> DataFrame:
+    """The ``k`` highest-scored risks of the whole register."""
     found = [F.col("detector_ord"), F.col("item_key")]
-    if pre_rank_limit is not None:
-        risks = risks.orderBy(*found).limit(pre_rank_limit)
     severity = severity_order(F.coalesce("severity", F.lit("MEDIUM")))
     return risks.orderBy(F.desc("risk_score"), severity, *found).limit(k)
 

@@ -19,10 +19,15 @@ def schema_metrics(tables: DataFrame, columns: DataFrame, indexes: DataFrame) ->
 
 
 def unindexed_tables(tables: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Tables that no index of either level covers: seq, table."""
-    covered = indexes.select(F.lower("table").alias("key")).distinct()
-    keyed = tables.select("seq", "table", F.lower("table").alias("key"))
-    return keyed.join(covered, "key", "left_anti").select("seq", "table")
+    """Tables that no index of either level covers: seq, table, and dump where both inputs have it.
+
+    A table is covered by indexes of its own dump only; drop the column for a
+    view that merges the dumps.
+    """
+    dump = ["dump"] if "dump" in tables.columns and "dump" in indexes.columns else []
+    covered = indexes.select(*dump, F.lower("table").alias("key")).distinct()
+    keyed = tables.select(*dump, "seq", "table", F.lower("table").alias("key"))
+    return keyed.join(covered, [*dump, "key"], "left_anti").select("seq", "table", *dump)
 
 
 def unindexed_risk(unindexed: DataFrame) -> DataFrame:

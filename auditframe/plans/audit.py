@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from auditframe.operators import code, documents, graph, query_log, report, risk, schema, security
 from auditframe.session import materialize
 from auditframe.sinks.artifacts import write_artifact
+from auditframe.sources.files import redact_documents
+from auditframe.sources.query_log import redact_query_log
 from auditframe.sources.schema import schema_columns, schema_indexes, schema_tables
 
 
@@ -25,7 +27,9 @@ def topology(files: DataFrame, dumps: DataFrame) -> dict[str, DataFrame]:
     nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
     centrality = materialize(graph.betweenness(edges, nodes), "centrality")
     spofs = materialize(graph.spofs(centrality, nodes, edges), "spofs")
+    cycles = graph.simple_cycles(edges)
     return {
+        "circular_dependencies": cycles,
         "nodes": nodes,
         "edges": edges,
         "spofs": spofs,
@@ -43,52 +47,64 @@ def cost_analysis(log: DataFrame, dumps: DataFrame, edges: DataFrame) -> dict[st
         "cost_drivers": top,
         "cost_components": query_log.affected_components(top.select("query_pattern", "table"), edges),
         "cost_summary": query_log.cost_summary(stats, top),
+        "cost_totals": query_log.cost_totals(query_log.cost_drivers(stats)),
     }
 
 
-def risk_analysis(files: DataFrame, docs: DataFrame, dumps: DataFrame, spofs: DataFrame,
-                  pre_rank_limit: int | None = None) -> dict[str, DataFrame]:
-    """The scored register, the ranked risks and their counts."""
+def risk_analysis(files: DataFrame, docs: DataFrame, dumps: DataFrame, spofs: DataFrame) -> dict[str, DataFrame]:
+    """The scored register with its counts, the ranked risks and the complete list behind the index risk."""
+    unindexed = materialize(schema.unindexed_tables(schema_tables(dumps), schema_indexes(dumps)), "unindexed")
     found = risk.risk_register(
         risk.spof_risks(spofs),
         documents.tribal_knowledge(docs),
         documents.manual_operations(docs),
         security.security_issues(files),
         risk.documentation_gap(files, docs),
-        schema.unindexed_risk(schema.unindexed_tables(schema_tables(dumps), schema_indexes(dumps))),
+        schema.unindexed_risk(unindexed),
     )
     register = materialize(found, "register")
-    ranked = materialize(risk.rank_risks(register, pre_rank_limit=pre_rank_limit), "ranked")
+    ranked = materialize(risk.rank_risks(register), "ranked")
     return {
         "risk_register": register,
         "risks": ranked,
-        "risk_summary": risk.risk_summary(ranked),
-        "risks_by_category": risk.risks_by_category(ranked),
+        "risk_summary": risk.risk_summary(register),
+        "risks_by_category": risk.risks_by_category(register),
+        "unindexed_tables": unindexed,
     }
 
 
 def synthesis(costs: Mapping[str, DataFrame], system: Mapping[str, DataFrame],
               risks: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Key figures, findings, recommendations and the phased plan."""
-    drivers, ranked = costs["cost_drivers"], risks["risks"]
+    drivers, ranked, register = costs["cost_drivers"], risks["risks"], risks["risk_register"]
     advice = materialize(report.prioritize(drivers, ranked), "advice")
     return {
-        "audit_metrics": report.audit_metrics(system["topology_statistics"], costs["cost_summary"], ranked),
+        "audit_metrics": report.audit_metrics(system["topology_statistics"], costs["cost_summary"], register),
         "top_findings": report.top_findings(drivers, ranked),
-        "business_value": report.business_value(drivers, ranked),
+        "business_value": report.business_value(drivers, register),
         "recommendations": advice,
         "action_plan": report.action_plan(advice),
-        "appendix_risks": report.appendix_risks(ranked),
+        "appendix_risks": report.appendix_risks(register),
     }
 
 
-def run_audit(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFrame,
-              pre_rank_limit: int | None = None) -> dict[str, DataFrame]:
-    """All tables of the audit by name."""
+def ingestion(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+    """Figures of the inputs."""
+    return {
+        "log_metrics": query_log.log_metrics(log),
+        "workload_profile": query_log.workload_profile(log),
+        "corpus_metrics": documents.corpus_metrics(docs),
+        "schema_metrics": schema.schema_metrics(schema_tables(dumps), schema_columns(dumps), schema_indexes(dumps)),
+    }
+
+
+def run_audit(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the audit by name. Texts are redacted first, so no result holds a secret."""
+    log, docs = redact_query_log(log), redact_documents(docs)
     system = topology(files, dumps)
     costs = cost_analysis(log, dumps, system["edges"])
-    risks = risk_analysis(files, docs, dumps, system["spofs"], pre_rank_limit)
-    return {**system, **costs, **risks, **synthesis(costs, system, risks)}
+    risks = risk_analysis(files, docs, dumps, system["spofs"])
+    return {**ingestion(log, dumps, files, docs), **system, **costs, **risks, **synthesis(costs, system, risks)}
 
 
 def write_audit(results: Mapping[str, DataFrame], root: str, engagement_id: str, fmt: str = "parquet") -> None:

@@ -70,16 +70,3 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     seen = Observation()
     table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
     return table, seen.get["rows"]
-
-
-def spread(df: DataFrame, small_bytes: int = 256 * 1024 * 1024) -> DataFrame:
-    """Deal a small input out to all cores before costly per-row work.
-
-    A small table in one row group is read by one task. Inputs above
-    ``small_bytes`` have splits enough and are returned as they are, so no large
-    table is ever shuffled for this.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > small_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -17,12 +17,11 @@ def write_artifact(
     sources: DataFrame | None = None,
     metrics: DataFrame | None = None,
     fmt: str = "parquet",
-    mode: str = "append",
 ) -> str:
     """Write one analysis below ``root`` and return its path.
 
     The data table is partitioned by engagement; sources and metrics go to
-    tables beside it.
+    tables beside it. Writing an engagement again replaces its partition alone.
     """
     if confidence not in CONFIDENCE_LEVELS:
         raise ValueError(f"unknown confidence: {confidence}")
@@ -30,7 +29,7 @@ def write_artifact(
 
     def put(df: DataFrame, path: str) -> None:
         tagged = df.withColumn("engagement_id", F.lit(engagement_id))
-        tagged.write.mode(mode).partitionBy("engagement_id").format(fmt).save(path)
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("engagement_id").format(fmt).save(path)
 
     put(data.withColumn("confidence", F.lit(confidence)), base)
     if sources is not None:

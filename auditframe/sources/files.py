@@ -44,21 +44,18 @@ def scan_source_files(
     root: str,
     extensions: Sequence[str] | None = None,
     skip_dirs: Sequence[str] = vocab.SKIP_DIRECTORIES,
-    max_bytes: int | None = vocab.MAX_SOURCE_BYTES,
-    limit: int | None = None,
 ) -> DataFrame:
     """Read a source tree: path (below ``root``), extension, size, content.
 
-    Suffixes are matched while listing and the size limit is pushed into the
-    reader, so skipped files are never opened for them.
+    Files of any size are read. Suffixes are matched while listing, and a
+    condition on the file's path leaves out skipped directories before any of
+    their files is opened.
     """
     files = _scan(spark, root, extensions)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
     path = _below(F.col("path"), root)
-    files = files.where(~in_directory(path, skip_dirs)) if skip_dirs else files
-    if limit is not None:
-        files = files.limit(limit)
+    if skip_dirs:
+        listed = _below(F.col("_metadata.file_path"), root)
+        files = files.where(~in_directory(listed, skip_dirs)).where(~in_directory(path, skip_dirs))
     return files.select(
         path.alias("path"),
         extension(path).alias("extension"),
@@ -67,10 +64,9 @@ def scan_source_files(
     )
 
 
-def scan_documents(spark: SparkSession, root: str, max_mb: int = vocab.MAX_DOCUMENT_MB,
-                   extensions: Sequence[str] = vocab.DOCUMENT_EXTENSIONS) -> DataFrame:
-    """Read text documents: path, type, title, content, metadata."""
-    files = _scan(spark, root, extensions).where(F.col("length") <= max_mb * 1024 * 1024)
+def scan_documents(spark: SparkSession, root: str, extensions: Sequence[str] = vocab.DOCUMENT_EXTENSIONS) -> DataFrame:
+    """Read text documents of any size: path, type, title, content, metadata."""
+    files = _scan(spark, root, extensions)
     texts = files.select("path", "length", _utf8_text(F.col("content")).alias("content"))
     return texts.select(
         "path",

@@ -1,12 +1,13 @@
 """Query logs: JSON and plain-text files to ``query_log`` rows.
 
 Columns: seq, ts, query, duration_ms, rows_affected, database, user.
-``seq`` follows file order within a split and only serves to break ties.
+``seq`` (file path, first byte of the split, number within it) follows log order
+wherever Spark places the splits; it serves to break ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe import vocab
@@ -15,27 +16,49 @@ from auditframe.functions.columns import first_group, strip
 COLUMNS = ("seq", "ts", "query", "duration_ms", "rows_affected", "database", "user")
 
 _JSON_FIELDS = (
-    "query STRING, timestamp STRING, duration_ms STRING, rows_affected STRING, database STRING, user STRING"
+    "query STRING, timestamp STRING, duration_ms STRING, rows_affected STRING, database STRING, user STRING, _corrupt STRING"
 )
 
 
-def scan_query_log_json(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
-    """Read JSON logs: one array or object per file, or one object per line.
+def _place() -> Column:
+    """Where a record lies; compares in log order."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def scan_query_log_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Read JSON logs: one object per line, or one array or object per file.
 
-    ``lines=True`` lets Spark split large files. A record whose timestamp or
-    duration is present but cannot be parsed is dropped; a missing duration is 0
+    Lines let Spark split large files; with ``lines=False`` a file is one task.
+    A record whose timestamp or duration is present but cannot be parsed is
+    left out and found in :func:`query_log_rejects`; a missing duration is 0
     and a missing timestamp stays NULL.
     """
+    typed, readable = _typed_json(spark, path, lines)
+    return typed.where(readable).select(*COLUMNS)
+
+
+def query_log_rejects(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Records that :func:`scan_query_log_json` leaves out: seq, reason, record."""
+    typed, readable = _typed_json(spark, path, lines)
+    rest = F.to_json(F.struct("query", F.col("_ts").alias("timestamp"), F.col("_duration").alias("duration_ms"), F.col("_rows").alias("rows_affected")))
+    reason = F.when(F.col("_corrupt").isNotNull(), "not JSON").otherwise("unreadable value")
+    return typed.where(~readable).select("seq", reason.alias("reason"), F.coalesce("_corrupt", rest).alias("record"))
+
+
+def _typed_json(spark: SparkSession, path: str, lines: bool) -> tuple[DataFrame, Column]:
     raw = (
         spark.read.schema(_JSON_FIELDS)
         .option("multiLine", not lines)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
     )
-    if limit is not None:
-        raw = raw.limit(limit)
     typed = raw.select(
-        F.monotonically_increasing_id().alias("seq"),
+        _place().alias("seq"),
         F.col("timestamp").try_cast("timestamp").alias("ts"),
         F.coalesce("query", F.lit("")).alias("query"),
         F.coalesce("duration_ms", F.lit("0")).try_cast("double").alias("duration_ms"),
@@ -44,30 +67,29 @@ def scan_query_log_json(spark: SparkSession, path: str, limit: int | None = None
         "user",
         F.col("timestamp").alias("_ts"),
         F.col("rows_affected").alias("_rows"),
+        F.col("duration_ms").alias("_duration"),
+        "_corrupt",
     )
     readable = (
-        F.col("duration_ms").isNotNull()
+        F.col("_corrupt").isNull()
+        & F.col("duration_ms").isNotNull()
         & (F.col("_ts").isNull() | F.col("ts").isNotNull())
         & (F.col("_rows").isNull() | F.col("rows_affected").isNotNull())
     )
-    return typed.where(readable).select(*COLUMNS)
+    return typed, readable
 
 
-def scan_query_log_text(spark: SparkSession, path: str, limit: int | None = None, fmt: str = "tagged") -> DataFrame:
-    """Read plain-text logs; ``limit`` counts lines, not events.
+def scan_query_log_text(spark: SparkSession, path: str, fmt: str = "tagged") -> DataFrame:
+    """Read plain-text logs.
 
     ``fmt="tagged"`` reads ``2024-01-01 12:00:00 [INFO] Query: ...; Duration: 123ms``,
     ``fmt="pipe"`` reads ``2024-01-01 12:00:00 | SELECT ... | 123ms``.
     """
-    return parse_text_lines(_limited(spark.read.text(path), limit), fmt)
-
-
-def _limited(df: DataFrame, limit: int | None) -> DataFrame:
-    return df if limit is None else df.limit(limit)
+    return parse_text_lines(spark.read.text(path).select("value", _place().alias("seq")), fmt)
 
 
 def parse_text_lines(lines: DataFrame, fmt: str = "tagged") -> DataFrame:
-    """Turn a table with one log line per row (column ``value``) into events."""
+    """Turn a table with one log line per row (columns ``value`` and ``seq``) into events."""
     line = F.col("value")
     if fmt == "tagged":
         stamp = first_group(line, "(?dU)" + vocab.TEXT_LOG_TIMESTAMP)
@@ -79,7 +101,7 @@ def parse_text_lines(lines: DataFrame, fmt: str = "tagged") -> DataFrame:
     else:
         raise ValueError(f"unknown log format: {fmt}")
     return lines.select(
-        F.monotonically_increasing_id().alias("seq"),
+        "seq",
         stamp.try_cast("timestamp").alias("ts"),
         query.alias("query"),
         F.coalesce(duration.try_cast("double"), F.lit(0.0)).alias("duration_ms"),

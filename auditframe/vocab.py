@@ -161,8 +161,6 @@ SKIP_DIRECTORIES = (
     ".git", ".svn", "node_modules", "__pycache__", "venv", "env", ".venv",
     "dist", "build", "target", ".idea", ".vscode",
 )
-MAX_SOURCE_BYTES = 1_000_000
-MAX_DOCUMENT_MB = 10
 
 # Embedded SQL and database calls in source code --------------------
 TABLE_AFTER_FROM = r"FROM\s+(\w+)"

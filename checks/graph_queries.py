@@ -172,9 +172,9 @@ def _(t):
 
 
 @check("K5_ranked_spofs", "o_spofs", recursive=True, sql="""
-SELECT node_id, betweenness_centrality FROM o_spofs ORDER BY betweenness_centrality DESC, node_id LIMIT 5""")
+SELECT node_id, betweenness_centrality FROM o_spofs""")
 def _(t):
-    return graph.ranked_spofs(_spofs(t)).select("node_id", "betweenness_centrality").limit(5)
+    return graph.ranked_spofs(_spofs(t)).select("node_id", "betweenness_centrality")
 
 
 @check("G4_simple_cycles", "v_cyclic", recursive=True, sql="""

@@ -205,6 +205,13 @@ def _(t):
     return query_log.cost_summary(stats, query_log.top_cost_drivers(query_log.cost_drivers(stats)))
 
 
+@check("A3_cost_totals", "o_drivers", sql=f"""
+SELECT {_r2('sum(CAST(total_cost_ms AS DECIMAL(18,2)))')} AS total_cost_ms, count(*) FILTER (impact = 'HIGH') AS high_impact_count,
+       count(*) FILTER (impact = 'MEDIUM') AS medium_impact_count, count(*) FILTER (impact = 'LOW') AS low_impact_count FROM o_drivers""")
+def _(t):
+    return query_log.cost_totals(t.drivers)
+
+
 @check("A4_workload_profile", "v_query_log", sql=f"""
 SELECT count(*) AS total_queries, {_r2('sum(CAST(duration_ms AS DECIMAL(18,4)))')} AS total_duration_ms, {_r2('avg(duration_ms)')} AS avg_duration_ms,
        count(*) FILTER (upper(query) LIKE 'SELECT%') AS select_count, count(*) FILTER (upper(query) LIKE 'INSERT%') AS insert_count,
@@ -258,16 +265,6 @@ def _(t):
     return query_log.affected_components(top, t.view("v_uses")).select("query_pattern", "table", "component")
 
 
-@check("K6_input_caps", "v_query_log", sql="SELECT count(*) AS n FROM (SELECT * FROM v_query_log LIMIT 1000) t")
-def _(t):
-    from auditframe.session import scratch_path
-    from auditframe.sources.query_log import scan_query_log_json
-
-    path = scratch_path(t.spark, "capped")
-    t.log.select("query", "duration_ms").write.json(path)
-    return scan_query_log_json(t.spark, path, limit=1000, lines=True).agg(F.count("*").alias("n"))
-
-
 @check("W1_first_per_group", "v_query_log", sql=f"""
 SELECT pattern, seq FROM (SELECT {_PATTERN} AS pattern, seq, row_number() OVER (PARTITION BY {_PATTERN} ORDER BY seq) AS rn FROM v_query_log) t WHERE rn = 1""")
 def _(t):

@@ -92,12 +92,6 @@ def _(t):
     return risk.rank_risks(_register(t)).select("title", "severity", "risk_score")
 
 
-@check("K2_rank_risks_first_five", "o_register", recursive=True, sql=f"""
-SELECT title, severity, risk_score FROM (SELECT * FROM o_register ORDER BY detector_ord, item_key LIMIT 5) f ORDER BY {_RISK_ORDER} LIMIT 15""")
-def _(t):
-    return risk.rank_risks(_register(t), pre_rank_limit=5).select("title", "severity", "risk_score")
-
-
 @check("A12_risk_summary", "v_findings", sql="""
 SELECT count(*) AS total_risks, count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'HIGH') AS high_count,
        count(*) FILTER (severity = 'MEDIUM') AS medium_count, count(*) FILTER (severity = 'LOW') AS low_count FROM v_findings""")
@@ -212,11 +206,9 @@ def _(t):
 
 @check("R3_review_summary", "o_latest", sql="""
 SELECT s.decision, count(l.artifact_id) AS artifact_count
-FROM (SELECT unnest(['pending', 'approved', 'rejected', 'request_changes']) AS decision) s LEFT JOIN (SELECT * FROM o_latest WHERE decision <> 'rejected') l ON s.decision = l.decision GROUP BY 1""")
+FROM (SELECT unnest(['pending', 'approved', 'rejected', 'request_changes']) AS decision) s LEFT JOIN o_latest l ON s.decision = l.decision GROUP BY 1""")
 def _(t):
-    # Artifacts last rejected are left out, so that one count must come out as zero.
-    last = lifecycle.latest_review_status(t.view("v_reviews")).where(F.col("decision") != "rejected")
-    return lifecycle.review_summary(last.withColumns({"ts": F.lit(0), "seq": F.lit(0)}))
+    return lifecycle.review_summary(t.view("v_reviews"))
 
 
 @check("W3_latest_state_per_key", "v_history", sql="SELECT engagement_id, arg_max(to_state, seq) AS state FROM v_history GROUP BY 1")

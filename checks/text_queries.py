@@ -89,7 +89,7 @@ def flat_risks(df, *extra):
 
 @check("T1_redact_documents", sql=f"SELECT doc_id, {redacted('text')} AS content FROM documents")
 def _(t):
-    return redact_documents(t.wide("documents").select("doc_id", F.col("text").alias("content")))
+    return redact_documents(t.base("documents").select("doc_id", F.col("text").alias("content")))
 
 
 @check("T1_redact_custom_patterns", sql=r"""
@@ -136,7 +136,7 @@ def _(t):
 @check("T4_preview", sql="""
 SELECT doc_id, '**' || source || '** (' || lang || '):' || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN '...' ELSE '' END || chr(10) AS preview FROM documents""")
 def _(t):
-    return t.wide("documents").select(
+    return t.base("documents").select(
         "doc_id", text.preview(F.col("source"), F.col("lang"), F.col("text")).alias("preview")
     )
 
@@ -147,6 +147,18 @@ def _(t):
     return t.base("customer").select("c_custkey", text.fingerprint("c_name", "c_mktsegment", "c_custkey").alias("fingerprint"))
 
 
+@check("T5_fingerprint_nulls", sql="""
+SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}') AS fingerprint FROM customer""")
+def _(t):
+    table = t.base("customer").withColumn("c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    return table.select("c_custkey", text.fingerprint("c_mktsegment", "c_custkey").alias("fingerprint"))
+
+
+@check("T1_redact_any_alternative", sql="SELECT doc_id, regexp_replace(text, '\\w+@[a-z]+|licensed', '[REDACTED]', 'gi') AS content FROM documents")
+def _(t):
+    return t.base("documents").select("doc_id", text.redact(F.col("text"), [r"\w+@[a-z]+|licensed"]).alias("content"))
+
+
 @check("T6_dates_arrays_maps_json", sql="""
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(year(ts) AS INTEGER) AS year, array_to_string(string_split(event_type || ',' || user_id, ',')[1:1], ',') AS head FROM events""")
 def _(t):
@@ -160,7 +172,7 @@ def _(t):
 
 @check("A7_corpus_metrics", sql=f"SELECT count(*) AS total_documents, CAST(sum(length({redacted('text')})) AS BIGINT) AS total_chars FROM documents")
 def _(t):
-    return documents.corpus_metrics(redact_documents(t.wide("documents").select(F.col("text").alias("content"))))
+    return documents.corpus_metrics(redact_documents(t.base("documents").select(F.col("text").alias("content"))))
 
 
 @check("A9_tribal_knowledge", "o_tribal", sql="SELECT * FROM o_tribal")

@@ -92,8 +92,8 @@ WHERE from_state IS NOT NULL""",
     # What each engagement has delivered.
     "v_artifacts": """
 SELECT DISTINCT user_id AS engagement_id,
-       CASE event_id % 9 WHEN 0 THEN 'repo_inventory' WHEN 1 THEN 'db_schema' WHEN 2 THEN 'topology' WHEN 3 THEN 'cost_drivers' WHEN 4 THEN 'risk_register' WHEN 5 THEN 'review_approval' WHEN 6 THEN 'executive_summary' WHEN 7 THEN 'technical_appendix' ELSE 'notes' END AS artifact_type
-FROM events WHERE user_id % 4 <> 0""",
+       CASE (event_id + user_id) % 23 WHEN 0 THEN 'repo_inventory' WHEN 1 THEN 'db_schema' WHEN 2 THEN 'topology' WHEN 3 THEN 'cost_drivers' WHEN 4 THEN 'risk_register' WHEN 5 THEN 'review_approval' WHEN 6 THEN 'executive_summary' WHEN 7 THEN 'technical_appendix' ELSE 'notes' END AS artifact_type
+FROM events""",
     # Findings of known severity, category and confidence.
     "v_findings": """
 SELECT event_id AS seq,

@@ -151,6 +151,8 @@ def test_totals_do_not_depend_on_row_order(rows):
     for order in (values, values[::-1], sorted(values)):
         log = rows([(i, "SELECT 1", v) for i, v in enumerate(order)], SCHEMA).repartition(3)
         assert query_log.query_stats(log).collect()[0].total_duration_ms == 8078.44
+    tiny = rows([(0, "SELECT 1", 1e-11), (1, "SELECT 1", 2e-11)], SCHEMA)
+    assert query_log.query_stats(tiny).collect()[0].total_duration_ms == 3e-11
     odd = rows([(0, "SELECT 1", 1e300), (1, "SELECT 1", 1.0)], SCHEMA)
     assert query_log.query_stats(odd).collect()[0].total_duration_ms == 1e300
 

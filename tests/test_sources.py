@@ -8,7 +8,7 @@ from auditframe.operators import schema as schema_ops
 from auditframe.sinks.artifacts import read_artifact, write_artifact
 from auditframe.sources import schema as schema_source
 from auditframe.sources.files import redact_documents, scan_documents, scan_source_files
-from auditframe.sources.query_log import redact_query_log, scan_query_log_json, scan_query_log_text
+from auditframe.sources.query_log import query_log_rejects, redact_query_log, scan_query_log_json, scan_query_log_text
 from tests.conftest import one
 
 EVENTS = [
@@ -24,18 +24,34 @@ def test_json_array_object_and_lines(spark, tmp_path):
     (tmp_path / "array.json").write_text(json.dumps(EVENTS, indent=1))
     (tmp_path / "object.json").write_text(json.dumps(EVENTS[0]))
     (tmp_path / "lines.json").write_text("\n".join(json.dumps(e) for e in EVENTS) + "\n{broken\n")
-    array = scan_query_log_json(spark, str(tmp_path / "array.json")).orderBy("seq").collect()
+    array = scan_query_log_json(spark, str(tmp_path / "array.json"), lines=False).orderBy("seq").collect()
     assert [(r.query, r.duration_ms) for r in array] == [("SELECT 1", 45.2), ("INSERT 4", 0.0), ("", 1000.0)]
     assert (array[0].ts, array[0].rows_affected, array[0].database) == (dt.datetime(2024, 1, 1, 12), 3, "d")
-    assert scan_query_log_json(spark, str(tmp_path / "object.json")).count() == 1
+    assert scan_query_log_json(spark, str(tmp_path / "object.json"), lines=False).count() == 1
     lines = scan_query_log_json(spark, str(tmp_path / "lines.json"), lines=True)
     assert [r.query for r in lines.orderBy("seq").collect()] == ["SELECT 1", "INSERT 4", ""]
     assert one(redact_query_log(lines.limit(1)).select("user")) == "[REDACTED]"
 
 
-def test_json_limit_counts_records(spark, tmp_path):
-    (tmp_path / "l.json").write_text(json.dumps(EVENTS))
-    assert scan_query_log_json(spark, str(tmp_path / "l.json"), limit=3).count() == 1
+def test_json_rejects_are_kept(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"query": "a", "duration_ms": "1"}\n{broken\n{"query": "b", "duration_ms": "slow"}\n')
+    assert [r.query for r in scan_query_log_json(spark, str(tmp_path / "l.json")).collect()] == ["a"]
+    assert [(r.reason, "slow" in r.record) for r in query_log_rejects(spark, str(tmp_path / "l.json")).orderBy("seq").collect()] == [
+        ("not JSON", False), ("unreadable value", True)]
+
+
+def test_seq_follows_the_log(spark, tmp_path):
+    (tmp_path / "2024-01.log").write_text("Query: JAN ;\n" * 3)
+    (tmp_path / "2024-02.log").write_text("Query: FEB ;\n" * 4000)
+    got = [r.query for r in scan_query_log_text(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == ["JAN"] * 3 + ["FEB"] * 4000
+
+
+def test_large_files_are_read(spark, tmp_path):
+    (tmp_path / "big.py").write_text("x = 1\n" * 400_000)
+    (tmp_path / "big.md").write_text("word " * 2_500_000)
+    assert [r["size"] for r in scan_source_files(spark, str(tmp_path), extensions=[".py"]).collect()] == [2_400_000]
+    assert scan_documents(spark, str(tmp_path)).select(F.length("content")).collect()[0][0] == 12_500_000
 
 
 LOG = """2024-01-01 12:00:00 [INFO] Query: SELECT * FROM users; Duration: 123ms
@@ -51,7 +67,6 @@ def test_text_log(spark, tmp_path):
     got = scan_query_log_text(spark, str(tmp_path / "q.log")).orderBy("seq").collect()
     assert [(r.query, r.duration_ms, r.ts) for r in got] == [
         ("SELECT * FROM users", 123.0, dt.datetime(2024, 1, 1, 12)), ("SELECT 2", 1.5, None), ("UPDATE t SET a = 1", 0.0, None)]
-    assert scan_query_log_text(spark, str(tmp_path / "q.log"), limit=2).count() == 1
 
 
 def test_pipe_log(spark, tmp_path):
@@ -66,19 +81,16 @@ def test_source_tree(spark, tmp_path):
     root = tmp_path / "repo"
     for path, data in {
         "a.py": b"x = 1\r\ny = 2\r", "lib/B.JAVA": "é".encode(), "node_modules/n.js": b"no", "lib/.git/c.py": b"no",
-        "big.py": b"z" * 2000, "bad.py": b"ok\xff\xfeok", "README.md": b"doc", "my build/ok.py": b"1",
+        "bad.py": b"ok\xff\xfeok", "README.md": b"doc", "my build/ok.py": b"1",
     }.items():
         target = root / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(data)
-    files = scan_source_files(spark, str(root), extensions=[".py", ".java", ".js"], max_bytes=1000)
+    files = scan_source_files(spark, str(root), extensions=[".py", ".java", ".js"])
     got = {r.path: (r.extension, r.size, r.content) for r in files.collect()}
     assert got == {
         "a.py": (".py", 13, "x = 1\ny = 2\n"), "lib/B.JAVA": (".java", 2, "é"), "bad.py": (".py", 6, "okok"), "my build/ok.py": (".py", 1, "1")}
-    assert scan_source_files(spark, str(root)).count() == 6
-    assert scan_source_files(spark, str(root), limit=2).count() == 2
-    plan = files._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,1000)" in plan  # large files are never opened
+    assert scan_source_files(spark, str(root)).count() == 5
 
 
 def test_documents(spark, tmp_path):
@@ -93,7 +105,6 @@ def test_documents(spark, tmp_path):
     assert (got["b.TXT"].type, got["b.TXT"].title, got["b.TXT"].metadata["file_size"]) == ("txt", "only line", "9")
     clean = redact_documents(docs).where(F.col("type") == "md").collect()[0]
     assert clean.content.endswith("body [REDACTED]\n")
-    assert scan_documents(spark, str(tmp_path), max_mb=0).count() == 0
 
 
 SCHEMA = {
