@@ -6,10 +6,9 @@ P(grade > k) = sigmoid(w.x - threshold_k). The result is the expected severity,
 the sum of these probabilities.
 
 Words (ASCII-lower-cased, outer punctuation off) are hashed to 2 ** BUCKET_BITS
-buckets. Document counts of every bucket are taken over all labelled rows; the
-``n_features`` buckets with the largest chi-square become features, with
-log(1 + count) as value. The model fits on ``max_documents`` labelled rows
-(smallest hash of the id).
+buckets. Features and model are fitted on ``max_documents`` labelled rows (smallest
+hash of the id): the ``n_features`` buckets whose document counts have the largest
+chi-square become features, with log(1 + count) as value.
 
 Labels that only say toxic or not are graded by evidence: a toxic row's grade
 grows with its occurrences of buckets that toxic rows have at least LIFT times as
@@ -33,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append, sigmoid
+from auditframe.session import materialize
 
 #: Parameters.
 BUCKET_BITS = 18
 N_FEATURES = 1024
-MAX_DOCUMENTS = 6000
+MAX_DOCUMENTS = 10_000
 MIN_DOCUMENTS = 3
 LIFT = 8
 GRADE_HITS = (3, 6)
 STEPS = 300
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 CUT = 1 << 20
 REMEMBERED = 300_000
 
@@ -137,10 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = dict(texts.dtypes)["id"]
-    rows = texts.join(known, "id")
-    counts = rows.select("y", "text").mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
+    ids = materialize(known.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_documents), "sample")
+    sample = texts.join(F.broadcast(ids), "id")  # max_documents ids at most
+    counts = sample.select("y", "text").mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = known.agg(F.sum(F.when(F.col("y") > 0, 1.0)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1.0)).alias("clean")).first()
+    n = ids.agg(F.sum(F.when(F.col("y") > 0, 1.0)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1.0)).alias("clean")).first()
     if not n["toxic"]:
         return None
     n_toxic, n_clean = n["toxic"], n["clean"] or 1.0
@@ -151,31 +152,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     strong = np.array([r["toxic"] / n_toxic > LIFT * max(r["clean"], 0.5) / n_clean for r in best], bool)
     model = OrdinalModel(buckets, np.zeros(len(buckets)), np.zeros(1))
     column = model.columns()
-    ids = known.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_documents)
-    sample = texts.join(F.broadcast(ids), "id")  # max_documents ids at most
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words = _Buckets()
         for batch in batches:
-            cells = [_values(known_words, column, len(buckets), t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
+            cells = [np.minimum(_values(known_words, column, len(buckets), t.as_py()), 65535).astype(np.uint16).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(cells, pa.binary())], ["id", "y", "x"])
 
     found = sample.select("id", "y", "text").mapInArrow(encode, f"id {kind}, y int, x binary").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["x"])))
     if not found or not len(buckets):
         return None
-    hits = np.array([np.frombuffer(r["x"], np.int32) for r in found])
+    hits = np.array([np.frombuffer(r["x"], np.uint16) for r in found])
     y = np.array([r["y"] for r in found])
     if graded:
         grade = np.maximum(y, 0)
     else:
-        evidence = (hits * strong).sum(axis=1)
+        evidence = hits[:, strong].sum(axis=1, dtype=np.int64)
         grade = np.where(y > 0, 1 + sum((evidence >= g).astype(int) for g in GRADE_HITS), 0)
     if not grade.any():
         return None
     _, grade = np.unique(np.append(grade, 0), return_inverse=True)  # grades without a row close up
     grade = grade[:-1]
-    model.weights, model.thresholds = fit_ordinal(np.log1p(hits).astype(np.float32), grade, int(grade.max()) + 1)
+    model.weights, model.thresholds = fit_ordinal(np.log1p(hits, dtype=np.float32), grade, int(grade.max()) + 1)
     return model
 
 
