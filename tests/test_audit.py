@@ -50,6 +50,9 @@ def test_whole_audit(rows, spark, tmp_path):
     plan = sorted(table("action_plan"), key=lambda r: (r["phase"], r["item"]))
     assert plan[0]["title"] == "Optimize users performance"
     assert len(table("top_findings")) == 4
+    assert table("risk_summary")[0]["total_risks"] == len(table("risk_register"))
+    assert table("cost_totals")[0]["high_impact_count"] == 1 and table("log_metrics")[0]["total_queries"] == 3
+    assert results["circular_dependencies"].count() == 0 and [r["table"] for r in table("unindexed_tables")] == ["orders"]
 
 
 def test_contract(spark):
