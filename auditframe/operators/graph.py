@@ -205,20 +205,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches: int = 1) -> DataFrame:
     """Betweenness centrality of every node: id, betweenness_centrality.
 
-    Shortest paths are counted from all sources at once, one join with the edges
-    per distance; dependencies then flow back, one join per distance. The state
-    has a row per (source, reached node) and lives in written tables, so losing
-    executors costs no more than the current step. ``source_batches`` handles the
-    sources in so many portions to bound that state; the result is the same.
+    Shortest paths are counted from many sources at once, one join with the edges
+    per distance; dependencies then flow back, one join per distance. Sources that
+    nothing points at and that point at the same nodes count as one source with a
+    weight. The state has a row per (source, reached node) and lives in written
+    tables, so losing executors costs no more than the current step.
+    ``source_batches`` handles the sources in so many portions to bound that state;
+    each portion is summed up per node before the next. The result is the same.
     """
     ends = edge_ends(edges)
     ids, n = materialize_counted(ends if nodes is None else nodes.select("id").unionByName(ends).distinct(), "nodes")
     links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges")
-    sources = links.select(F.col("src").alias("s")).distinct()
+    sources = materialize(_folded_sources(links), "sources")
     parts = []
     for batch in range(source_batches):
         chosen = sources.where(F.pmod(F.hash("s"), F.lit(source_batches)) == batch) if source_batches > 1 else sources
-        parts.extend(_dependencies(links, chosen))
+        flows = _dependencies(links, chosen.select("s"))
+        if flows:
+            weighed = _union(flows).join(chosen, "s").groupBy("v").agg(F.sum(F.col("delta") * F.col("weight")).alias("delta"))
+            parts.append(materialize(weighed, "dependencies"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if not parts:
         return ids.select("id", F.lit(0.0).alias("betweenness_centrality"))
@@ -228,8 +233,25 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches
     )
 
 
+def _folded_sources(links: DataFrame) -> DataFrame:
+    """Sources to start from and how many sources each stands for: s, weight.
+
+    Paths out of a node without predecessors depend on its successors alone. Sets of
+    successors are compared by their size and two sums of 64-bit hashes.
+    """
+    reached = links.select(F.col("dst").alias("src")).distinct().withColumn("inner", F.lit(True))
+    wide = "decimal(38,0)"
+    out = links.groupBy("src").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("dst").cast(wide)).alias("one"),
+        F.sum(F.xxhash64(F.concat("dst", F.lit("/"))).cast(wide)).alias("two"),
+    ).join(reached, "src", "left")
+    alone = F.when(F.col("inner"), F.col("src"))
+    return out.groupBy("n", "one", "two", alone.alias("alone")).agg(F.min("src").alias("s"), F.count(F.lit(1)).alias("weight")).select("s", "weight")
+
+
 def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Per distance, how much each source depends on each node it passes: v, delta.
+    """Per distance, how much each source depends on each node it passes: s, v, delta.
 
     The way out keeps the edges that shortest paths take, per source. The way back
     follows only those, so a node with many predecessors costs no more than the
@@ -259,7 +281,7 @@ def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
             edges.join(reached, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(share).alias("delta"))
         )
         done.append(materialize(back, "delta"))
-    return [d.select("v", "delta") for d in done]
+    return [d.select("s", "v", "delta") for d in done]
 
 
 def spofs(centrality: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float = vocab.SPOF_THRESHOLD) -> DataFrame:
