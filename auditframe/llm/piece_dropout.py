@@ -80,6 +80,8 @@ class Pieces:
         self.pairs = {
             normal[p[:k]] << 20 | normal[p[k:]]: rank[i] for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
         self.single = {(" " if p == SPACE else p): i for p, i in normal.items() if len(p) == 1}
+        #: Neighbouring characters of some piece; no merge reaches over others.
+        self.inside = {t[k : k + 2] for t in (p.replace(SPACE, " ") for p in normal) for k in range(len(t) - 1)}
         self.known: dict[tuple[str, int], tuple[int, ...]] = {}
 
     def segment(self, stretch: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> tuple[int, ...]:
@@ -169,6 +171,23 @@ class Pieces:
                 out += [self.byte[b] for b in stretch[i].encode("utf-8", "surrogatepass")]
         return tuple(out)
 
+    def _parted(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
+        """Ids of a stretch from those of its parts, which no piece joins and which are remembered too."""
+        inside, known = self.inside, self.known
+        cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in inside]
+        if not cuts:
+            return self.segment(stretch, dropout, seed, variant)
+        out: list[int] = []
+        for i, j in zip([0, *cuts], [*cuts, len(stretch)]):
+            draw = (stretch[i:j], variant)
+            ids = known.get(draw)
+            if ids is None:
+                ids = self.segment(draw[0], dropout, seed, variant)
+                if j - i <= LONGEST:
+                    known[draw] = ids
+            out += ids
+        return tuple(out)
+
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = VARIANTS) -> list[int]:
         """Ids of a text; ``key`` tells apart texts that should vary."""
         if not text:
@@ -187,7 +206,7 @@ class Pieces:
         for draw in zip(stretches, drawn):
             ids = known.get(draw)
             if ids is None:
-                ids = self.segment(draw[0], dropout, seed, draw[1])
+                ids = self._parted(draw[0], dropout, seed, draw[1])
                 if len(draw[0]) <= LONGEST:
                     known[draw] = ids
             out.append(ids)
