@@ -51,9 +51,9 @@ def cost_analysis(log: DataFrame, dumps: DataFrame, edges: DataFrame) -> dict[st
     }
 
 
-def risk_analysis(files: DataFrame, docs: DataFrame, dumps: DataFrame, spofs: DataFrame) -> dict[str, DataFrame]:
+def risk_analysis(files: DataFrame, docs: DataFrame, tables: DataFrame, indexes: DataFrame, spofs: DataFrame) -> dict[str, DataFrame]:
     """The scored register with its counts, the ranked risks and the complete list behind the index risk."""
-    unindexed = materialize(schema.unindexed_tables(schema_tables(dumps), schema_indexes(dumps)), "unindexed")
+    unindexed = materialize(schema.unindexed_tables(tables, indexes), "unindexed")
     found = risk.risk_register(
         risk.spof_risks(spofs),
         documents.tribal_knowledge(docs),
@@ -103,7 +103,7 @@ def run_audit(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFram
     log, docs = redact_query_log(log), redact_documents(docs)
     system = topology(files, dumps)
     costs = cost_analysis(log, dumps, system["edges"])
-    risks = risk_analysis(files, docs, dumps, system["spofs"])
+    risks = risk_analysis(files, docs, schema_tables(dumps), schema_indexes(dumps), system["spofs"])
     return {**ingestion(log, dumps, files, docs), **system, **costs, **risks, **synthesis(costs, system, risks)}
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from auditframe.plans import audit
 from auditframe.operators import documents, graph, lifecycle, query_log, report, risk, schema, security
 from checks.code_queries import code_files
 from checks.graph_queries import _spofs
@@ -99,6 +100,14 @@ def _(t):
     return risk.risk_summary(t.view("v_findings"))
 
 
+@check("A12_audit_totals", "o_register", recursive=True, sql="""
+SELECT count(*) AS total_risks, count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'HIGH') AS high_count,
+       count(*) FILTER (severity = 'MEDIUM') AS medium_count, count(*) FILTER (severity = 'LOW') AS low_count FROM o_register""")
+def _(t):
+    # The composition that run_audit uses, over the whole register.
+    return audit.risk_analysis(code_files(t), t.docs, t.schema_tables, t.schema_indexes, materialize(_spofs(t), "spofs"))["risk_summary"]
+
+
 @check("A12_risks_by_category", "v_findings", sql="SELECT category, count(*) AS risk_count FROM v_findings GROUP BY 1")
 def _(t):
     return risk.risks_by_category(t.view("v_findings"))
