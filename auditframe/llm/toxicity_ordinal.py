@@ -8,7 +8,7 @@ the sum of these probabilities.
 Words (ASCII-lower-cased, outer punctuation off) are hashed to 2 ** BUCKET_BITS
 buckets. Features and model are fitted on ``max_documents`` labelled rows (smallest
 hash of the id): the ``n_features`` buckets whose document counts have the largest
-chi-square become features, with log(1 + count) as value.
+chi-square (MIN_CHI_SQUARE at least, so that chance plays no part) become features, with log(1 + count) as value.
 
 Labels that only say toxic or not are graded by evidence: a toxic row's grade
 grows with its occurrences of buckets that toxic rows have at least LIFT times as
@@ -38,7 +38,7 @@ from auditframe.session import materialize
 BUCKET_BITS = 18
 N_FEATURES = 1024
 MAX_DOCUMENTS = 10_000
-MIN_DOCUMENTS = 3
+MIN_CHI_SQUARE = 24
 LIFT = 8
 GRADE_HITS = (3, 6)
 STEPS = 300
@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
         return None
     n_toxic, n_clean = n["toxic"], n["clean"] or 1.0
     a, b = F.col("toxic"), F.col("clean")
-    apart = F.pow(a * (n_clean - b) - b * (n_toxic - a), F.lit(2.0)) / ((a + b) * (n_toxic + n_clean - a - b + 1))
-    best = counts.where(a + b >= MIN_DOCUMENTS).select("bucket", "toxic", "clean", apart.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(n_features).collect()
+    rows = n_toxic + n_clean
+    apart = F.pow(a * (n_clean - b) - b * (n_toxic - a), F.lit(2.0)) / ((a + b) * (rows - a - b + 1)) * (rows / (n_toxic * n_clean))
+    best = counts.select("bucket", "toxic", "clean", apart.alias("chi")).where(F.col("chi") >= MIN_CHI_SQUARE).orderBy(F.desc("chi"), "bucket").limit(n_features).collect()
     buckets = np.array([r["bucket"] for r in best], np.int64)
     strong = np.array([r["toxic"] / n_toxic > LIFT * max(r["clean"], 0.5) / n_clean for r in best], bool)
     model = OrdinalModel(buckets, np.zeros(len(buckets)), np.zeros(1))
