@@ -40,7 +40,7 @@ POOL = 512
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Distinct runs a worker remembers, and bytes of text encoded at once; they bound memory only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 CUT = 1 << 20
 
 
