@@ -2,20 +2,20 @@
 
 A BPE model of pieces merges symbols by an agenda: the candidate with the best
 score, leftmost on ties, comes first. With dropout a candidate is skipped when a
-keyed hash of the seed, the variant, the stretch and the candidate's place falls below the dropout
-rate, so segmentations vary, any worker gives the same one, and every one decodes
-to the text. At rate 0 the result is the model's own encoding.
+keyed hash of the seed, the document, the stretch's place in the text and the candidate falls
+below the dropout rate, so every occurrence of a word is drawn for itself, any worker gives
+the same one, and every one decodes to the text. At rate 0 the result is the model's own encoding.
 
 No piece crosses from a letter into a space, nor holds a line feed or tab, so a text
-is segmented in stretches (spaces and the word behind them). Each occurrence of a
-stretch draws one of ``VARIANTS`` variants by hash of seed, id and place; variants of
-frequent stretches are remembered by the worker.
+is segmented in stretches (spaces and the word behind them), and those in parts that no
+piece joins. A worker remembers the merges of a part without dropout, and what follows when
+one of them is skipped; which ones an occurrence skips is hashed for each occurrence.
 
 A literal U+2581, which the model would confuse with a space, is written as bytes,
 so that decoding is exact for every text.
 
 Nulls, empties, repeats: a null text has null ids and decodes to null, an empty one
-has none. Rows of one id and text get equal ids. Columns other than the text pass through.
+has none. Rows of one id and text get equal ids; a null id is told apart by its text. Columns other than the text pass through.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,20 +40,35 @@ from auditframe.llm.batches import append
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 4
-#: Stretches a worker remembers, and their longest; they bound memory only.
+#: Segmentations a worker remembers, their longest part, and parts drawn at once; they bound memory only.
 REMEMBERED = 600_000
 LONGEST = 64
+BLOCK = 1 << 15
 
 SPACE = "▁"
 _STRETCH = re.compile("[ ]*[^ \n\t]+|[ ]+|[\n\t]")
 _LONG = (1 << 64) - 1
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _GONE = -2
 _NEVER = 1 << 40
 #: Characters up to which a list is the quicker agenda.
 SHORT = 48
 
 
+def _draw(key, candidate):
+    """32 bits for a candidate of an occurrence; numbers or arrays."""
+    mixed = (key ^ candidate) * _ODD[0] & _LONG
+    return ((mixed ^ mixed >> 29) * _ODD[1] & _LONG) >> 32
+
+
+def _keys(bases: list[int], spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """A key for each part from its text and its place in it; ``spans`` are (text, first place, parts)."""
+    mixed = np.concatenate([np.arange(lo, lo + n, dtype=np.uint64) * np.uint64(_ODD[0]) + np.uint64(bases[t]) for t, lo, n in [*spans, (0, 0, 0)]])
+    mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(_ODD[1])
+    mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(_ODD[2])
+    return mixed ^ mixed >> np.uint64(31)
+
+
 class Pieces:
     """A piece model with its agenda."""
 
@@ -82,31 +98,40 @@ class Pieces:
         self.single = {(" " if p == SPACE else p): i for p, i in normal.items() if len(p) == 1}
         #: Neighbouring characters of some piece; no merge reaches over others.
         self.inside = {t[k : k + 2] for t in (p.replace(SPACE, " ") for p in normal) for k in range(len(t) - 1)}
-        self.known: dict[tuple[str, int], tuple[int, ...]] = {}
-
-    def segment(self, stretch: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> tuple[int, ...]:
-        """Ids of one stretch; the agenda of a short one is a plain list."""
-        return (self._short if len(stretch) <= SHORT else self._long)(stretch, dropout, seed, variant)
-
-    def _short(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
+        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """A node is a part and the candidates it skips: its ids, and its merges behind the last one skipped."""
+        self.known.clear()
+        self.roots: dict[str, int] = {}
+        self.after: dict[int, int] = {}
+        self.parts: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.agreed: list[int] = []
+        self.ids: list[tuple[int, ...]] = []
+        self.first, self.count, self.merges = array("q"), array("q"), array("Q", [0])
+
+    def segment(self, stretch: str, limit: int = 0, key: int = 0, skips: tuple[int, ...] = (), trace: list[int] | None = None) -> tuple[int, ...]:
+        """Ids of one part without the candidates that ``skips`` names or whose hash with ``key`` falls below ``limit``; ``trace`` takes its merges."""
+        return (self._short if len(stretch) <= SHORT else self._long)(stretch, limit, key, skips, [] if trace is None else trace)
+
+    def _short(self, stretch: str, limit: int, key: int, skips: tuple[int, ...], trace: list[int]) -> tuple[int, ...]:
         """As ``_long``, with the rank of every neighbouring pair in a list."""
         get, by_rank = self.pairs.get, self.by_rank
         symbols = [self.single.get(c, -1) for c in stretch]
         ranks = [get(a << 20 | b, _NEVER) for a, b in zip(symbols, symbols[1:])]
         places = list(range(len(symbols)))
-        limit = int(dropout * 2**32)
-        key = xxhash.xxh64_intdigest(f"{variant}/{stretch}".encode("utf-8", "surrogatepass"), seed) if limit else 0
         while ranks:
             best = min(ranks)
             if best == _NEVER:
                 break
             i = ranks.index(best)
-            if limit:
-                mixed = (key ^ (best << 32 | places[i])) * 0x9E3779B97F4A7C15 & _LONG
-                mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _LONG
-                if mixed >> 32 < limit:
-                    ranks[i] = _NEVER
-                    continue
+            candidate = best << 32 | places[i]
+            if candidate in skips or limit and _draw(key, candidate) < limit:
+                ranks[i] = _NEVER
+                continue
+            trace.append(candidate)
             merged = symbols[i] = by_rank[best]
             del symbols[i + 1], places[i + 1], ranks[i]
             if i < len(ranks):
@@ -123,12 +148,10 @@ class Pieces:
                 out += [self.byte[b] for b in stretch[place].encode("utf-8", "surrogatepass")]
         return tuple(out)
 
-    def _long(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
+    def _long(self, stretch: str, limit: int, key: int, skips: tuple[int, ...], trace: list[int]) -> tuple[int, ...]:
         pairs, n = self.pairs, len(stretch)
         symbols = [self.single.get(c, -1) for c in stretch]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        limit = int(dropout * 2**32)
-        key = xxhash.xxh64_intdigest(f"{variant}/{stretch}".encode("utf-8", "surrogatepass"), seed) if limit else 0
         # A candidate is one number: its rank, then its place.
         agenda = []
         for i in range(n - 1):
@@ -144,11 +167,9 @@ class Pieces:
             right = after[left]
             if right >= n or symbols[left] < 0 or pairs.get(symbols[left] << 20 | symbols[right]) != rank:
                 continue
-            if limit:
-                mixed = (key ^ candidate) * 0x9E3779B97F4A7C15 & _LONG
-                mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _LONG
-                if mixed >> 32 < limit:
-                    continue
+            if candidate in skips or limit and _draw(key, candidate) < limit:
+                continue
+            trace.append(candidate)
             merged = symbols[left] = self.by_rank[rank]
             symbols[right] = _GONE
             right = after[left] = after[right]
@@ -171,46 +192,99 @@ class Pieces:
                 out += [self.byte[b] for b in stretch[i].encode("utf-8", "surrogatepass")]
         return tuple(out)
 
-    def _parted(self, stretch: str, dropout: float, seed: int, variant: int) -> tuple[int, ...]:
-        """Ids of a stretch from those of its parts, which no piece joins and which are remembered too."""
-        inside, known = self.inside, self.known
-        cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in inside]
-        if not cuts:
-            return self.segment(stretch, dropout, seed, variant)
-        out: list[int] = []
-        for i, j in zip([0, *cuts], [*cuts, len(stretch)]):
-            draw = (stretch[i:j], variant)
-            ids = known.get(draw)
-            if ids is None:
-                ids = self.segment(draw[0], dropout, seed, variant)
-                if j - i <= LONGEST:
-                    known[draw] = ids
-            out += ids
-        return tuple(out)
-
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = VARIANTS) -> list[int]:
+    def _node(self, part: str, skips: tuple[int, ...] = (), agreed: int = 0) -> int:
+        """A new node, whose first ``agreed`` merges are decided."""
+        trace: list[int] = []
+        self.ids.append(self.segment(part, skips=skips, trace=trace))
+        self.first.append(len(self.merges))
+        self.count.append(len(trace) - agreed)
+        self.merges.extend(trace[agreed:])
+        self.parts.append(part)
+        self.skips.append(skips)
+        self.agreed.append(agreed)
+        return len(self.ids) - 1
+
+    def _step(self, step: int) -> int:
+        """The node behind a node (``step`` by 64) that skips one more of its merges (the rest)."""
+        node, k = step >> 6, step & 63
+        self.after[step] = found = self._node(self.parts[node], (*self.skips[node], self.merges[self.first[node] + k]), self.agreed[node] + k)
+        return found
+
+    def _split(self, stretch: str) -> list[str]:
+        """Parts of a stretch that no piece joins."""
+        cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in self.inside]
+        return [stretch[i:j] for i, j in zip([0, *cuts], [*cuts, len(stretch)])]
+
+    def _drawn(self, nodes: list[int], keys: np.ndarray, limit: int) -> list[int]:
+        """The node of each part once its skips are drawn; all parts take their next skip together."""
+        at, todo = np.array(nodes, np.int64), np.flatnonzero(np.array(nodes, np.int64) >= 0)
+        while len(todo):
+            here = at[todo]
+            count, first = np.frombuffer(self.count, np.int64)[here], np.frombuffer(self.first, np.int64)[here]
+            owner = np.repeat(np.arange(len(todo)), count)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            hit = np.flatnonzero(_draw(keys[todo][owner], np.frombuffer(self.merges, np.uint64)[first[owner] + place]) < np.uint64(limit))
+            who = owner[hit]
+            fresh = np.ones(len(hit), bool)
+            fresh[1:] = who[1:] != who[:-1]
+            hit, who = hit[fresh], who[fresh]
+            todo, steps, after = todo[who], (here[who] << 6 | place[hit]).tolist(), self.after
+            at[todo] = [after[s] if s in after else self._step(s) for s in steps]
+        return at.tolist()
+
+    def encode_all(self, texts: list[str | None], dropout: float = 0.0, seed: int = 0, keys: list[int] | None = None) -> list[list[int]]:
+        """Ids of each text; ``keys`` tell apart texts that should vary."""
+        limit, out = int(dropout * 2**32), [[] for _ in texts]
+        bases = [xxhash.xxh64_intdigest(f"{seed}/{k}") for k in keys or [0] * len(texts)]
+        nodes: list[int] = []
+        spans: list[tuple[int, int, int]] = []
+        unremembered: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            hashed = _keys(bases, spans) if limit else None
+            ids = list(map(self.ids.__getitem__, self._drawn(nodes, hashed, limit) if limit and nodes else nodes))
+            for i, part in unremembered:
+                ids[i] = self.segment(part, limit, int(hashed[i]) if limit else 0)
+            lo = 0
+            for text, _, n in spans:
+                out[text].extend(chain.from_iterable(ids[lo : lo + n]))
+                lo += n
+            for done in (nodes, spans, unremembered):
+                done.clear()
+            if len(self.ids) > REMEMBERED or len(self.known) > REMEMBERED:
+                self._forget()
+
+        for t, text in enumerate(texts):
+            stretches = _STRETCH.findall(" " + text) if text else []
+            place = 0
+            for lo in range(0, len(stretches), BLOCK):
+                begun = len(nodes)
+                for stretch in stretches[lo : lo + BLOCK]:
+                    found = self.known.get(stretch)
+                    if found is None:
+                        made = []
+                        for part in self._split(stretch):
+                            node = self.roots.get(part)
+                            if len(part) > LONGEST:
+                                node = -1
+                                unremembered.append((len(nodes) + len(made), part))
+                            elif node is None:
+                                node = self.roots[part] = self._node(part)
+                            made.append(node)
+                        found = tuple(made)
+                        if len(stretch) <= LONGEST:
+                            self.known[stretch] = found
+                    nodes += found
+                spans.append((t, place, len(nodes) - begun))
+                place += len(nodes) - begun
+                if len(nodes) >= BLOCK:
+                    flush()
+        flush()
+        return out
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0) -> list[int]:
         """Ids of a text; ``key`` tells apart texts that should vary."""
-        if not text:
-            return []
-        stretches = _STRETCH.findall(" " + text)
-        n = len(stretches)
-        if dropout:
-            mixed = (np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{seed}/{key}"))) * np.uint64(0x9E3779B97F4A7C15)
-            drawn = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(variants)
-            drawn = drawn.tolist()
-        else:
-            drawn = [0] * n
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
-        for draw in zip(stretches, drawn):
-            ids = known.get(draw)
-            if ids is None:
-                ids = self._parted(draw[0], dropout, seed, draw[1])
-                if len(draw[0]) <= LONGEST:
-                    known[draw] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return self.encode_all([text], dropout, seed, [key])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text: surfaces joined, without the space put before it."""
@@ -218,40 +292,53 @@ class Pieces:
         return whole[1:] if whole.startswith(" ") else whole
 
 
-_loaded: dict[tuple, Pieces] = {}
+_loaded: dict[str, Pieces] = {}
 
 
-def pieces(path: str, *setting) -> Pieces:
-    """One model for each file, setting and worker, as remembered stretches depend on the setting."""
-    if (path, *setting) not in _loaded:
+def pieces(path: str) -> Pieces:
+    """One model for each file and worker."""
+    if path not in _loaded:
         _loaded.clear()
-        _loaded[(path, *setting)] = Pieces(path)
-    return _loaded[(path, *setting)]
+        _loaded[path] = Pieces(path)
+    return _loaded[path]
 
 
-def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text: str = "text", doc_id: str = "doc_id",
+def _groups(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Keys and texts in groups that have some ``BLOCK`` parts."""
+    some_keys, some, chars = [], [], 0
+    for k, t in zip(keys.to_pylist(), texts):
+        some_keys.append(k)
+        some.append(t.as_py())
+        chars += len(some[-1] or "")
+        if chars >= 4 * BLOCK:
+            yield some_keys, some
+            some_keys, some, chars = [], [], 0
+    if some:
+        yield some_keys, some
+
+
+def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", doc_id: str = "doc_id",
            model: str | None = None, digest: bool = False) -> DataFrame:
     """``docs`` without its text, with ids; or, as ``digest``, with n_pieces, pieces_crc32 and lossless."""
     path = model or public_tokenizers.path(MODEL)
     made = ("n_pieces", "pieces_crc32", "lossless") if digest else ("ids",)
     rest = [c for c in docs.columns if c.lower() not in made and c != text]
-    key = F.coalesce(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(0))
+    key = F.xxhash64(F.col(f"`{doc_id}`"), F.when(F.col(f"`{doc_id}`").isNull(), F.col(f"`{text}`")))
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], key.alias("_key"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, dropout, seed, variants)
+        model = pieces(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out = []
-                for k, t in zip(part.column("_key").to_pylist(), part.column("_text")):
-                    value = t.as_py()
-                    ids = None if value is None else model.encode(value, dropout, seed, k, variants)
-                    if digest:
-                        crc = zlib.crc32(np.array(ids or [], "<u4").tobytes())
-                        out.append((len(ids or ()), crc, value is None or model.decode(ids) == value))
-                    else:
-                        out.append((ids,))
+                for k, t in _groups(part.column("_key"), part.column("_text")):
+                    for value, ids in zip(t, model.encode_all(t, dropout, seed, k)):
+                        if digest:
+                            crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+                            out.append((len(ids), crc, value is None or model.decode(ids) == value))
+                        else:
+                            out.append((None if value is None else ids,))
                 kinds = (pa.int64(), pa.int64(), pa.bool_()) if digest else (pa.list_(pa.int32()),)
                 yield append(part.select(rest), **{n: pa.array(c, kind) for n, c, kind in zip(made, zip(*out), kinds)})
 
