@@ -6,7 +6,8 @@ redirects and canonical links are edges, and connected components carry decision
 to all aliases. In a component an explicit allow wins over any block; a component
 without a decision is allowed.
 
-Edges are the page's own canonical link and immediate refresh (from its HTML), the
+Edges are the page's own canonical links and refreshes (every such tag of its HTML, its
+attributes in any order; relative targets resolve against the page's url or its base), the
 redirects that nearly every site makes (scheme, www. or m., trailing slash, .html,
 index, fragment, tracking parameters: both URLs have one ``canonical`` form), and
 any table of known redirects. Components run by joins over 64-bit hashes of
@@ -34,6 +35,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SITE_PREFIX = "^(www|m)[.]"
 PAGE_SUFFIX = "(/index)?([.]html?)?/*$"
 TRACKING = "(^|&)(utm_[^&=]*|ref|fbclid|gclid)=[^&]*"
+#: A whole tag, whose quoted values may hold a >; and its attributes.
+TAGS = "(?i)<(?:link|meta|base)(?=[\\s/])(?:[^>\"'=]++|=\\s*+\"[^\"]*+\"|=\\s*+'[^']*+'|[^>])*+>"
+ATTRIBUTES = "[^\\s\"'<>/=]++(?:\\s*+=\\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\\s>]++))?+"
+REFRESH_TARGET = "(?is)^\\s*(?:[0-9.]+\\s*[;,\\s]\\s*(?:url\\s*=\\s*)?|[;,]?\\s*url\\s*=\\s*)(.*)$"
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Patterns of the SQL, which knows links of the plainest form only.
 CANONICAL_LINK = "(?i)<link[^>]{0,200}rel=.?canonical[^>]{0,200}href=[\"']([^\"'>]*)"
 REFRESH = "(?i)<meta[^>]{0,200}http-equiv=.?refresh[^>]{0,200}url=([^\"'>]*)"
 
@@ -75,19 +82,71 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule: string, action: string>")
 
 
+def _unquoted(value: Column) -> Column:
+    """What stands in the quotes that a value begins with, or the value itself."""
+    quote = F.substring(value, 1, 1)
+    inner = F.when(quote == '"', F.regexp_extract(value, '^"([^"]*)', 1)).when(quote == "'", F.regexp_extract(value, "^'([^']*)", 1))
+    return F.trim(F.coalesce(inner, value))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The first value of an attribute of a tag (``name`` and ``attributes``), null for none."""
+    values = F.filter(tag["attributes"], lambda a: F.lower(F.regexp_extract(a, "^[^=\\s]*", 0)) == name)
+    value = F.regexp_replace(F.get(values, F.lit(0)), "^[^=]*=?\\s*", "")
+    return F.regexp_replace(_unquoted(value), "(?i)&(amp|#38|#x26);", "&")
+
+
+def _tags(html: Column) -> Column:
+    """Link, meta and base tags as structs of name and attributes."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAGS), F.lit(0))
+    return F.transform(found, lambda t: F.struct(
+        F.lower(F.substring(t, 2, 4)).alias("name"),
+        F.regexp_extract_all(F.regexp_replace(t, "^<[A-Za-z]+|>$", ""), F.lit(ATTRIBUTES), F.lit(0)).alias("attributes")))
+
+
+def _linked(tag: Column) -> Column:
+    """The target that a tag names as canonical or by a refresh, as written; null for none."""
+    canonical_link = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), "\\s+"), "canonical")
+    refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
+    return F.when((tag["name"] == "link") & canonical_link, _attribute(tag, "href")).when(
+        (tag["name"] == "meta") & refresh, _unquoted(F.regexp_extract(_attribute(tag, "content"), REFRESH_TARGET, 1)))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its segments . and .., as far as the root."""
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == ".", kept).when(segment == "..", up).otherwise(F.concat(kept, F.array(segment)))
+
+    end = F.when(path.rlike("/[.]{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    plain = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(segments, F.array().cast("array<string>"), step), end), "/"))
+    return F.when(path.rlike("/[.]{1,2}(/|$)"), plain).otherwise(path)
+
+
 def _target(url: Column, found: Column) -> Column:
-    """An absolute url for a link found on a page, null for none."""
-    scheme = F.regexp_extract(url, "^[^:/]*", 0)
-    absolute = F.when(found.startswith("//"), F.concat(scheme, F.lit(":"), found)).when(
-        found.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), found))
-    return F.when(found == "", None).otherwise(F.coalesce(absolute, F.when(F.instr(found, "://") > 0, found)))
+    """An absolute url for a link found on the page ``url``; null for none, the page itself, and other schemes than those with a host."""
+    scheme, host = F.regexp_extract(url, "^[^:/]*", 0), host_of(url)
+    path = F.regexp_extract(found, "^[^?#]*", 0)
+    after = F.substring(found, F.length(path) + 1, F.length(found))
+    directory = F.regexp_extract(path_of(url), "^.*/", 0)
+    whole = F.when(path == "", path_of(url)).when(path.startswith("/"), path).otherwise(
+        F.concat(F.when(directory == "", "/").otherwise(directory), path))
+    inside = F.when(host != "", F.concat(scheme, F.lit("://"), host, _without_dots(whole), after))
+    return F.when((found == "") | found.startswith("#"), None).when(found.rlike(SCHEME), F.when(found.rlike(SCHEME + "//"), found)).when(
+        found.startswith("//"), F.concat(scheme, F.lit(":"), found)).otherwise(inside)
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict and url for every page; ``redirects`` are further edges (from_url, to_url)."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    links = F.array(*[_target(u, F.trim(F.regexp_extract(F.coalesce(h, F.lit("")), p, 1))) for p in (CANONICAL_LINK, REFRESH)])
-    base = pages.select(F.col(f"`{page_id}`").alias("page_id"), u.alias("url"), F.array_compact(links).alias("links"))
+    tagged = pages.select(F.col(f"`{page_id}`").alias("page_id"), u.alias("url"), _tags(h).alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t["name"] == "base"), lambda t: _attribute(t, "href")), lambda b: b.isNotNull())
+    found = tagged.select(
+        "page_id", "url", F.coalesce(_target(F.col("url"), F.get(bases, F.lit(0))), F.col("url")).alias("from"),
+        F.array_distinct(F.array_compact(F.transform("tags", _linked))).alias("found"))
+    links = F.array_compact(F.transform("found", lambda f: _target(F.col("from"), f)))
+    base = found.select("page_id", "url", links.alias("links"))
     rows = materialize(base.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select(
         "*", F.xxhash64(canonical(F.col("url"))).alias("node"), longest_rule(F.col("host"), F.col("path"), rules).alias("own")), "pages")
     edges = rows.select("url", F.explode("links").alias("to_url")).where("url IS NOT NULL")

@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from auditframe.llm import piece_dropout
+from auditframe.llm import piece_dropout, url_equivalence
+from auditframe.llm.queries import URL_RULES
 
 
 def test_every_occurrence_draws_its_own_skips():
@@ -33,3 +34,31 @@ def test_null_ids_are_told_apart_by_text(spark):
     rows = piece_dropout.encode(docs).collect()
     assert len({tuple(r["ids"][:3]) for r in rows if r["doc_id"] is None}) > 4
     assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 1}) == 1
+
+
+def test_links_of_every_form_carry_verdicts(spark):
+    blocked, long = "http://b.net/fr/1", "x" * 500
+    links = [
+        f'<link href="{blocked}" rel="canonical">', f'<link rel="canonical" data-a="{long}" href="{blocked}">', f"<link rel=canonical href={blocked}>",
+        f"<link title='a > b, rel=x' href='{blocked}' rel='alternate Canonical' />", f'<meta content="0; url={blocked}" http-equiv="refresh">',
+        f"<meta http-equiv='refresh' data-a='{long}' content='0;URL=\"{blocked}\"'>", f'<link rel="canonical" href="http://o.org/"><link rel="canonical" href="{blocked}">',
+        f'<base href="http://b.net/fr/x/">\n<link\nrel="canonical"\nhref="../1">']
+    rows = [(i, f"http://a{i}.org/p", h) for i, h in enumerate(links)]
+    rows += [(90, "http://a90.org/", f'<link title="rel=canonical" href="{blocked}">'), (91, "http://a91.org/", f'<meta name="refresh" content="0; url={blocked}">'),
+             (92, "nourl", '<link rel="canonical" href="x">'), (93, None, links[0])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    verdict = {r["page_id"]: r["verdict"] for r in url_equivalence.judge(pages, URL_RULES).collect()}
+    assert verdict == {**{i: "block" for i in range(len(links))}, 90: "allow", 91: "allow", 92: "allow", 93: "allow"}
+
+
+def test_relative_targets_resolve_against_the_page(spark):
+    page = "http://A.org/d/e/f.php?q=1"
+    want = {
+        "g.php": "http://a.org/d/e/g.php", "../x": "http://a.org/d/x", "../../../x": "http://a.org/x", "./": "http://a.org/d/e/", "..": "http://a.org/d/",
+        "?id=1": "http://a.org/d/e/f.php?id=1", "/z/../y?a=../b": "http://a.org/y?a=../b", "//h.org/i": "http://h.org/i", "g?u=http://x.org": "http://a.org/d/e/g?u=http://x.org",
+        "HTTPS://k.org/": "HTTPS://k.org/", "": None, "#top": None, "mailto:a@b": None}
+    rows = spark.createDataFrame(list({k: page for k in want}.items()), "found string, url string")
+    got = rows.select("found", url_equivalence._target(rows["url"], rows["found"]).alias("to")).collect()
+    assert {r["found"]: r["to"] for r in got} == want
+    bare = spark.createDataFrame([("http://a.org", "x")], "url string, found string")
+    assert bare.select(url_equivalence._target(bare["url"], bare["found"])).collect()[0][0] == "http://a.org/x"
