@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from auditframe.llm import piece_dropout, url_equivalence
+from auditframe.llm import piece_dropout, simhash_anchor, url_equivalence
 from auditframe.llm.queries import URL_RULES
 
 
@@ -62,3 +62,15 @@ def test_relative_targets_resolve_against_the_page(spark):
     assert {r["found"]: r["to"] for r in got} == want
     bare = spark.createDataFrame([("http://a.org", "x")], "url string, found string")
     assert bare.select(url_equivalence._target(bare["url"], bare["found"])).collect()[0][0] == "http://a.org/x"
+
+
+def test_null_and_repeated_ids_keep_one_row_a_component(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[0], "b"), (None, texts[1], None), (None, texts[2], "a"), (None, texts[2], "a"),
+            (7, texts[3], "a"), (7, texts[4], "a"), (8, texts[4], "a"), (9, texts[5], "a"), (None, texts[5], "a"), (7, texts[4], "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    kept = simhash_anchor.keep_one(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
