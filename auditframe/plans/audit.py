@@ -52,11 +52,12 @@ def cost_analysis(log: DataFrame, dumps: DataFrame, edges: DataFrame) -> dict[st
 
 
 def risk_analysis(files: DataFrame, docs: DataFrame, tables: DataFrame, indexes: DataFrame, spofs: DataFrame) -> dict[str, DataFrame]:
-    """The scored register with its counts, the ranked risks and the complete list behind the index risk."""
+    """The scored register with its counts, the ranked risks and the complete lists behind the index and person risks."""
     unindexed = materialize(schema.unindexed_tables(tables, indexes), "unindexed")
+    mentions = materialize(documents.person_mentions(docs), "mentions")
     found = risk.risk_register(
         risk.spof_risks(spofs),
-        documents.tribal_knowledge(docs),
+        documents.tribal_risks(mentions),
         documents.manual_operations(docs),
         security.security_issues(files),
         risk.documentation_gap(files, docs),
@@ -70,6 +71,7 @@ def risk_analysis(files: DataFrame, docs: DataFrame, tables: DataFrame, indexes:
         "risk_summary": risk.risk_summary(register),
         "risks_by_category": risk.risks_by_category(register),
         "unindexed_tables": unindexed,
+        "tribal_files": documents.tribal_files(mentions),
     }
 
 
