@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import ann_collisions, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
+from auditframe.llm import ann_collisions, chat_grammar, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
@@ -105,3 +105,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_piece_dropout")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+@query("op13_chat_grammar", chat_grammar.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    #: Fixed value of the contract: a conversation whose texts hold control strings.
+    hard = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat_grammar.digests(chat_grammar.read_back(chat_grammar.render(given.unionByName(planted))))
