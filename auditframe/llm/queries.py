@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import ann_collisions, chat_grammar, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, substring_debruijn, toxicity_ordinal, url_equivalence
+from auditframe.llm import ann_collisions, chat_grammar, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, structure_repair, substring_debruijn, toxicity_ordinal, url_equivalence
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
+from auditframe.session import materialize
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -116,3 +117,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     return chat_grammar.digests(chat_grammar.read_back(chat_grammar.render(given.unionByName(planted))))
+
+
+@query("op12_structure_repair", structure_repair.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = structure_repair.damage(given)
+    found = materialize(structure_repair.diagnose(damaged), "diagnosed")
+    digests = structure_repair.digests(structure_repair.apply(damaged, found))
+    ids = given.select(F.col("conv_id").alias("id")).distinct()
+    rows = ids.join(found, F.col("id").eqNullSafe(found["conv_id"]), "left").drop("conv_id")
+    rows = rows.join(digests, F.col("id").eqNullSafe(digests["conv_id"]), "left")
+    figures = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("id").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
