@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import ann_collisions, chat_grammar, language_id, line_rules, packing, piece_dropout, quality_mil, simhash_anchor, structure_repair, substring_debruijn, toxicity_ordinal, url_equivalence
+from auditframe.llm import ann_collisions, chat_grammar, language_id, line_rules, packing, piece_dropout, prefix_trie, quality_mil, simhash_anchor, structure_repair, substring_debruijn, toxicity_ordinal, url_equivalence
 from auditframe.llm.columns import remainder
 from auditframe.llm.fingerprints import as_hex
 from auditframe.llm.ship import ship
@@ -131,3 +131,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select(F.col("id").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"),
                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op11_prefix_trie", prefix_trie.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
