@@ -10,7 +10,7 @@ under ``CAPACITY`` tokens is written as sequences whose lengths are powers of tw
 Packing needs no shuffle: sequences are numbered within their task.
 
 Tokens come from a vocabulary file. The tokenizer splits at white space and drops
-it, so runs between ASCII spaces are encoded once each and remembered.
+it, so runs between ASCII spaces are encoded once each, by themselves, and remembered.
 
 Nulls, empties, repeats: a null or empty text is one end token. Every row is packed
 by itself, repeated rows too; a null id stays null. Other columns are ignored.
@@ -19,15 +19,13 @@ by itself, repeated rows too; a null id stays null. Other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,76 +37,115 @@ MAX_LOSS = 2048
 POOL = 512
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Distinct runs a worker remembers, and bytes of text encoded at once; they bound memory only.
-REMEMBERED = 200_000
+_SPACE = re.compile(rb"[ \t-\r]")
+_SIMPLE = re.compile(rb"[!-&(-~]+").fullmatch
+#: Distinct runs and bytes of them that a worker remembers, and bytes of text encoded at once; they bound memory only.
+REMEMBERED = 800_000
+REMEMBERED_BYTES = 1 << 24
 CUT = 1 << 20
 
 
-_PLAIN = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
-_LETTERS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\s+")
+class _Places(dict):
+    """The place of each run in the order they were first seen; ``fresh`` are those not encoded yet."""
 
+    def __init__(self):
+        self.fresh: list[bytes] = []
 
-def _parts(run: bytes) -> list[str]:
-    """Parts of a run that the tokenizer would part as well; the run itself where that is not certain."""
-    if b"'" in run or b"<|" in run:
-        return [run.decode("utf-8")]
-    if run.isascii():
-        return _PLAIN.findall(run.decode("ascii").lower()) if run.isalnum() or min(run) > 0x20 else [run.decode("ascii")]
-    text = run.decode("utf-8")
-    return _LETTERS.findall(text) if unicodedata.is_normalized("NFC", text) and "\u0130" not in text else [text]
+    def __missing__(self, run: bytes) -> int:
+        self.fresh.append(run)
+        place = self[run] = len(self)
+        return place
 
 
 class _Encoder:
-    """Ids of texts, run by run."""
+    """Ids of texts. Each distinct run between ASCII spaces is encoded by itself, many runs in one call, and remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _runs(self, runs: list[bytes]) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        fresh = list(set(runs).difference(self.known))
-        parts = [_parts(r) for r in fresh]
-        new = list(set(chain.from_iterable(parts)).difference(self.words))
-        for lo in range(0, len(new), 1024):
-            self._learn(new[lo : lo + 1024])
-        for run, words in zip(fresh, parts):
-            self.known[run] = tuple(chain.from_iterable(map(self.words.__getitem__, words)))
-        return list(chain.from_iterable(map(self.known.__getitem__, runs)))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in one go where each is one word to the tokenizer, else one by one."""
-        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        owner = np.array(whole.word_ids, float)  # special tokens have no word
-        if len(owner) and not np.isnan(owner).any() and np.array_equal(np.unique(owner), np.arange(len(words))):
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-            ids = whole.ids
-            self.words.update((w, tuple(ids[i:j])) for w, i, j in zip(words, cuts, cuts[1:]))
-        elif len(words) > 8:
-            half = len(words) // 2
-            self._learn(words[:half])
-            self._learn(words[half:])
-        else:
-            self.words.update((w, tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in words)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text and the end id."""
-        data = (text or "").encode("utf-8", "replace")
-        out, position = [], 0
-        while position < len(data):
-            stop = position + CUT
-            if stop < len(data):
-                spaces = [p for p in (data.find(s, stop) for s in (b" ", b"\n", b"\t")) if p >= 0]
-                stop = min(spaces, default=len(data))
-            out.append(np.array(self._runs(data[position:stop].split()), np.uint32))
-            position = stop
-        return np.concatenate([*out, np.array([END], np.uint32)])
+        # What the tokenizer's patterns come to on small printable ASCII without apostrophes and special tokens.
+        self.simple = Tokenizer.from_file(path)
+        self.simple.normalizer = normalizers.Sequence([])
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.Punctuation(behavior="contiguous")])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = _Places()
+        self.bytes = 0
+        self.cuts = array("q", [0])  # the run at place i has the ids from cuts[i] to cuts[i + 1]
+        self.ids = array("I")
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """Encode runs; ``word_ids`` of input in words name the word of each id."""
+        simple = [k for k, r in enumerate(runs) if _SIMPLE(r) and b"<|" not in r]
+        other = sorted(set(range(len(runs))).difference(simple))
+        ids, owner = [], []
+        for tokenizer, mine, words in (
+            (self.simple, simple, [runs[k].decode("ascii").lower() for k in simple]),
+            (self.tokenizer, other, [runs[k].decode("utf-8") for k in other]),
+        ):
+            if mine:
+                found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(found.ids, np.uint32))
+                owner.append(np.array(mine, np.int64)[np.array(found.word_ids, np.int64)])
+        whose = np.concatenate(owner)
+        self.ids.frombytes(np.concatenate(ids)[np.argsort(whose, kind="stable")].tobytes())
+        self.cuts.frombytes((self.cuts[-1] + np.cumsum(np.bincount(whose, minlength=len(runs)))).astype(np.int64).tobytes())
+        self.bytes += sum(map(len, runs))
+
+    def _of_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs, one after another, and how many each has."""
+        if len(self.places) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+            self._forget()
+        at = np.fromiter(map(self.places.__getitem__, runs), np.int64, len(runs))
+        fresh, self.places.fresh = self.places.fresh, []
+        for lo in range(0, len(fresh), 1024):
+            self._learn(fresh[lo : lo + 1024])
+        cuts, ids = np.array(self.cuts, np.int64), np.array(self.ids, np.uint32)
+        sizes = cuts[at + 1] - cuts[at]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(cuts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id."""
+        runs: list[bytes] = []
+        counts: list[int] = []
+        held = 0
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
+            if held and held + len(data) > CUT:
+                yield from self._parted(runs, counts)
+                runs, counts, held = [], [], 0
+            if len(data) > CUT:
+                parts = [self._of_runs(data[i:j].split())[0] for i, j in _stretches(data)]
+                yield np.concatenate([*parts, np.array([END], np.uint32)])
+                continue
+            if b"\xcc" not in data and b"<|" not in data:  # no mark that would join a small letter, but not a capital one
+                data = data.lower()
+            before = len(runs)
+            runs += data.split()
+            counts.append(len(runs) - before)
+            held += len(data)
+        yield from self._parted(runs, counts)
+
+    def _parted(self, runs: list[bytes], counts: list[int]) -> Iterator[np.ndarray]:
+        ids, sizes = self._of_runs(runs)
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts, dtype=np.int64)]
+        begin = 0
+        for end in ends.tolist():
+            yield np.append(ids[begin:end], np.uint32(END))
+            begin = end
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, int]]:
+    """Stretches of about CUT bytes that end before a space."""
+    position = 0
+    while position < len(data):
+        space = _SPACE.search(data, position + CUT)
+        stop = space.start() if space else len(data)
+        yield position, stop
+        position = stop
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -144,6 +181,8 @@ class Packer:
     """Greedy dot-product packing of a stream of documents into lists of pieces."""
 
     def __init__(self, capacity: int = CAPACITY, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, pool: int = POOL):
+        if min(capacity, segments, loss, pool) < 1:
+            raise ValueError("limits must be at least 1")
         self.limits = (capacity, segments, loss)
         self.size = pool
         self.pool: list[_Piece] = []
@@ -220,6 +259,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prompt_tok
 
     The first ``prompt_tokens`` ids of a document (one where no column is named or it is null) bear no loss.
     """
+    Packer(capacity, max_segments, max_loss)  # limits that cannot be kept are refused here
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     quiet = F.coalesce(F.col(f"`{prompt_tokens}`").cast("long"), F.lit(1)) if prompt_tokens else F.lit(1).cast("long")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), quiet.alias("quiet"))
@@ -251,8 +291,9 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prompt_tok
         of = None
         for b in batches:
             of = b.column("doc_id").type
-            for row, value, silent in zip(b.column("doc_id"), b.column("text"), b.column("quiet")):
-                write(packer.add(row.as_py(), encode.ids(value.as_py()), silent.as_py()))
+            encoded = encode.texts(value.as_py() for value in b.column("text"))
+            for row, ids, silent in zip(b.column("doc_id").to_pylist(), encoded, b.column("quiet").to_pylist()):
+                write(packer.add(row, ids, silent))
                 if len(out) >= 4096:
                     yield batch(of)
         write(packer.finish())

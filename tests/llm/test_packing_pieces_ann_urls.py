@@ -64,11 +64,44 @@ def test_packer_keeps_every_limit():
     assert all(len(s) <= 4 and sum(p.loss() for p in s) <= 40 and sum(len(p.ids) for p in s) <= 64 for s in out)
 
 
-def test_runs_encode_as_whole_texts():
+SPACES = [c for c in map(chr, range(0x3100)) if c.isspace() or c in "\u180e\u200b\u2060\ufeff"]
+
+
+def hard_texts():
+    rng = random.Random(7)
+    fixed = ["Hello  World's\x1cfoo <|endoftext|> x<|startoftext|>y", "ΟΔΟΣ ΣΑΣ. é́ ́a", "'s 't I'll 123 4a5 ¿?!", "\x85a b", "<|ENDOFTEXT|> A<|b", "J\u030c j\u030c A\u030a",
+             "\u0130 I\u0307 x\u0130's", "ǅ ﬁ K Å", "a" * 700 + "'s", None, "", " "]
+    fixed += [f"it's {c} fine {c}'s{c}I'M" for c in SPACES] + [f"it's{c}cd don't {c}{c} x" for c in SPACES]
+    letters = [*"abcXYZ019.,!-_'\u0130\u0301\u030cçÉßŒ日ж\U0001f642", "'s", "'LL", "<|", "|>", "  ", "\n", *SPACES]
+    return fixed + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_runs_encode_as_whole_texts(order):
+    """With an encoder that knows nothing yet and with one that has met every text before, in either order."""
     path = public_tokenizers.path(packing.VOCABULARY)
-    tokenizer, encoder = Tokenizer.from_file(path), packing.encoder(path)
-    for t in ["Hello  World's\x1cfoo <|endoftext|> x<|startoftext|>y", "ΟΔΟΣ ΣΑΣ. é́ ́a", "'s 't I'll 123 4a5 ¿?!", "\x85a b"]:
-        assert encoder.ids(t).tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    tokenizer, encoder, texts = Tokenizer.from_file(path), packing._Encoder(path), hard_texts()[::order]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.texts(texts)] == want
+    for t, w in zip(texts[:200], want):
+        encoder._forget()
+        assert [ids.tolist() for ids in encoder.texts([t])] == [w]
+
+
+def test_long_texts_and_a_small_memory(monkeypatch):
+    path = public_tokenizers.path(packing.VOCABULARY)
+    texts = ["it's one  two's\u2003three " * 30, "x", "no_space" * 40, *hard_texts()[:300]]
+    want = [ids.tolist() for ids in packing._Encoder(path).texts(texts)]
+    monkeypatch.setattr(packing, "CUT", 64)
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    assert [ids.tolist() for ids in packing._Encoder(path).texts(texts)] == want
+
+
+@pytest.mark.parametrize("limit", ["capacity", "max_segments", "max_loss"])
+def test_limits_below_one_are_refused(spark, odd, limit):
+    with pytest.raises(ValueError):
+        packing.pack(odd, **{limit: 0})
 
 
 def test_pieces_without_dropout_are_the_models_own(spark):
