@@ -22,9 +22,10 @@ combine before each shuffle and the joins are split by size, so a passage with a
 third of all rows loads no single task.
 
 Nulls, empties, repeats: null texts have no words; texts under 20 words keep all.
-A null id comes before all others. Rows that share an id count as one document and
-all get its spans, so ids should be unique. Long texts are read in overlapping
-pieces of bounded size. Other columns pass through.
+Every row is a document of its own. Documents are ordered by id, nulls first; rows that share
+an id, null ids among them, by hash of the text and place. Ids that are not unique long
+numbers are replaced by the rows' places in that order, written once. Long texts are read in
+overlapping pieces of bounded size. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -277,42 +278,59 @@ def _cut(data: bytes, spans: list[tuple[int, int, int, int]]) -> tuple[int, int,
     return len(begin), int(gone.sum()), digest.hexdigest(), b"".join(out)
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """``docs`` as key, id, text and in_0, in_1, ...; a row's key is a long of its own in the order of documents. And whether keys are the ids."""
+    rest = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), *rest)
+    if dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
+        if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+            return rows.withColumn("key", F.col("id").cast("bigint")), True
+    order = ["id", "hash", "place"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(rows.drop("hash", "place").withColumn("key", F.monotonically_increasing_id()), "keyed-documents"), False
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256, spans and, if asked for, kept_text.
 
-    ``spans`` lists (start, n_words, source_doc, source_start) of the repeated stretches; a source_doc of the smallest long is a null id.
+    ``spans`` lists (start, n_words, source_doc, source_start) of the repeated stretches. Columns of ``docs`` with these names are replaced.
     """
+    rows, by_id = _keyed(docs, doc_id, text)
+    found = pieces(rows.select(F.col("key").alias("doc"), "text"))
+    if by_id:
+        found = found.withColumn("source_id", F.col("source_doc"))
+    else:
+        found = found.join(rows.select(F.col("key").alias("source_doc"), F.col("id").alias("source_id")), "source_doc")
+    found = found.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("start", "windows", "source_doc", "source_start", "source_id")).alias("found"))
     made = ("n_words", "n_removed", "kept_sha256", "spans", "kept_text")
-    rest = [c for c in docs.columns if c.lower() not in made and (with_text or c != text)]
-    key = F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).cast("bigint")
-    texts = docs.select(key.alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = pieces(texts).groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "source_doc", "source_start")).alias("found"))
-    renamed = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(rest) if c not in (doc_id, text)]
-    rows = docs.select(key.alias("doc"), F.col(f"`{text}`").alias("text"), *renamed).join(found, "doc", "left")
-    names = [f"in_{k}" for k, c in enumerate(rest) if c not in (doc_id, text)]
+    places = [k for k, c in enumerate(docs.columns) if c.lower() not in made and (with_text or c != text)]
+    passed = [f"in_{k}" for k in places if docs.columns[k] != text]
+    joined = rows.select("key", "text", *passed).join(found, "key", "left").drop("key")
+    through = (["text"] if with_text else []) + passed
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())])
         for batch in batches:
+            source = batch.schema.field("found").type.value_type.field("source_id").type
+            span = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_doc", source), ("source_start", pa.int64())])
             out = []
             for t, f in zip(batch.column("text"), batch.column("found")):
-                spans = compact(f.as_py() or [])
+                parts = f.as_py() or []
+                spans, ids = compact(parts), {p["source_doc"]: p["source_id"] for p in parts}
                 value = t.as_py()
                 n, removed, digest, kept = _cut((value or "").encode("utf-8", "surrogatepass"), spans)
-                out.append((n, removed, digest, [dict(zip(("start", "n_words", "source_doc", "source_start"), s)) for s in spans],
+                out.append((n, removed, digest, [{"start": a, "n_words": w, "source_doc": ids[d], "source_start": b} for a, w, d, b in spans],
                             (kept.decode("utf-8", "surrogatepass") if value is not None else None) if with_text else None))
             n, removed, digest, spans, kept = zip(*out) if out else ((),) * 5
             more = {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()),
                     "spans": pa.array(spans, pa.list_(span))}
             if with_text:
                 more["kept_text"] = pa.array(kept, pa.string())
-            yield append(batch.select(["doc", *(["text"] if with_text else []), *names]), **more)
+            yield append(batch.select(through), **more)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("doc", *(["text"] if with_text else []), *names).schema.fields]
+    kind = "bigint" if by_id else dict(rows.dtypes)["id"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*through).schema.fields]
     fields += ["n_words bigint", "n_removed bigint", "kept_sha256 string",
-               "spans array<struct<start: bigint, n_words: bigint, source_doc: bigint, source_start: bigint>>"]
-    result = rows.mapInArrow(finish, ", ".join(fields + ["kept_text string"] * with_text))
-    kind = dict(docs.dtypes)[doc_id]
-    back = {doc_id: F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind), text: F.col("text")}
-    back |= {c: F.col(f"in_{k}") for k, c in enumerate(rest) if c not in (doc_id, text)}
-    return result.select(*[back[c].alias(c) for c in rest], "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * with_text)
+               f"spans array<struct<start: bigint, n_words: bigint, source_doc: {kind}, source_start: bigint>>"]
+    result = joined.mapInArrow(finish, ", ".join(fields + ["kept_text string"] * with_text))
+    back = [F.col("text" if docs.columns[k] == text else f"in_{k}").alias(docs.columns[k]) for k in places]
+    return result.select(*back, "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * with_text)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -130,6 +131,49 @@ def test_repeats_query(spark, odd, nothing):
     assert substring_debruijn.remove_repeats(nothing).count() == 0
 
 
+def in_order(rows):
+    """Rows as documents 0, 1, ... in the order that the operator gives them: id (nulls first), hash of the text."""
+    def hashed(text):
+        if text is None:
+            return 42
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, hashed(r[1])))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_repeats_with_null_and_repeated_ids(spark, kind):
+    rng = random.Random(11)
+    vary = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared = [vary(40) for _ in range(4)]
+    ids = [None] * 4 + [7] * 3 + list(range(8, 14))
+    rows = [(rng.choice(ids), f"{vary(rng.randrange(15))} {rng.choice(shared)} {vary(rng.randrange(40))}") for _ in range(60)]
+    alone = [(None, vary(60)), (7, vary(60)), (9, vary(60))]
+    rows += alone + [(7, shared[0])] * 3 + [(None, shared[1])] * 3 + [(None, None), (None, None), (7, None), (7, ""), (9, "x")]
+    if kind == "string":
+        rows = [(None if i is None else f"d{i:02d}", t) for i, t in rows]
+    placed = in_order(rows) if kind == "bigint" else sorted(in_order([(None if i is None else int(i[1:]), t) for i, t in rows]), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = brute_repeats(list(enumerate(t for _, t in placed)))
+    name = (lambda i: i) if kind == "bigint" else (lambda i: None if i is None else f"d{i:02d}")
+    table = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], f"doc_id {kind}, text string, key int, found int").repartition(5)
+    got = substring_debruijn.remove_repeats(table)
+    assert got.columns == ["doc_id", "text", "key", "found", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
+    got = got.collect()
+    assert sorted(r["key"] for r in got) == list(range(len(rows))) and all((r["doc_id"], r["text"]) == rows[r["key"]] for r in got)
+    key = lambda r: repr(r)
+    assert sorted(((r["doc_id"], r["text"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=key) == sorted(
+        ((name(i), t, *want[k]) for k, (i, t) in enumerate(placed)), key=key)
+    assert all(r["n_removed"] == 0 for r in got if r["text"] in {t for _, t in alone})
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").split())
+    for r in got:
+        for s in r["spans"]:
+            mine = r["text"].split()[s["start"] : s["start"] + s["n_words"]]
+            assert any(t[s["source_start"] : s["source_start"] + s["n_words"]] == mine for t in texts[s["source_doc"]])
+
+
 def test_long_texts_in_stretches(monkeypatch):
     """A text cut into many stretches has the windows of the whole."""
     text = " ".join(random.Random(5).choice("abcdefgh") * 3 for _ in range(900))
