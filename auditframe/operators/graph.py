@@ -6,7 +6,6 @@ edges. Ids are ``module:<path>`` and ``table:<name>``.
 
 from __future__ import annotations
 
-import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +14,13 @@ from pyspark.sql import functions as F
 from auditframe import vocab
 from auditframe.functions.paths import detect_language, extension
 from auditframe.operators.common import count_where, one_row
-from auditframe.session import materialize, materialize_counted
+from auditframe.operators.cycles import cycle_search, least_labels
+from auditframe.session import materialize, materialize_counted, scratch_path
 
-_LOG = logging.getLogger(__name__)
+
+#: Parameters of betweenness: rows of (source, reached node) that one portion of sources may have, and rounds of folding leaves.
+MAX_STATE = 20_000_000
+FOLD_ROUNDS = 32
 
 
 def _text_map(**values: Column) -> Column:
@@ -202,39 +205,126 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame | None = None, source_batches: int = 1) -> DataFrame:
+def betweenness(
+    edges: DataFrame, nodes: DataFrame | None = None, source_batches: int | None = None, max_state: int = MAX_STATE, fold_rounds: int = FOLD_ROUNDS
+) -> DataFrame:
     """Betweenness centrality of every node: id, betweenness_centrality.
 
-    Shortest paths are counted from many sources at once, one join with the edges
-    per distance; dependencies then flow back, one join per distance. Sources that
-    nothing points at and that point at the same nodes count as one source with a
-    weight. The state has a row per (source, reached node) and lives in written
-    tables, so losing executors costs no more than the current step.
-    ``source_batches`` handles the sources in so many portions to bound that state;
-    each portion is summed up per node before the next. The result is the same.
+    **Pendant trees** are folded first. A node with one neighbour is between others only where its own branches meet,
+    which counts alone decide: how many nodes of a branch reach the node, and how many the node reaches there.
+    Leaves are folded into their neighbours round by round, with these two counts as weights; ``fold_rounds``
+    ends that early, which costs time but changes no result.
+
+    **The core** that is left is searched from all its nodes, a join a distance; dependencies flow back along the edges that
+    shortest paths took. Nodes stand for what was folded into them, as sources and as targets; sources that nothing points at and
+    that point at the same nodes count as one. The state has a row per (source, reached node), in one written table per portion of
+    sources. Sources are split into as many portions as ``max_state`` rows need, counted as sources times nodes of each
+    weakly connected part; ``source_batches`` sets the number instead. Losing executors costs the current step only.
     """
     ends = edge_ends(edges)
     ids, n = materialize_counted(ends if nodes is None else nodes.select("id").unionByName(ends).distinct(), "nodes")
     links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges")
-    sources = materialize(_folded_sources(links), "sources")
+    pairs, weights, folds = _folded_trees(links, fold_rounds)
+    whole = materialize(_core_flows(pairs, weights, source_batches, max_state), "core")
+
+    # What reaches a node and what it reaches in all: known in the core, then leaf by leaf from the last round back.
+    totals = [materialize(whole.select("v", "inw", "outw", (F.col("inw") + F.col("rin")).alias("all_in"), (F.col("outw") + F.col("rout")).alias("all_out"), "delta"), "totals")]
+    for leaves in reversed(folds):
+        above = _union(totals)
+        own = leaves.withColumnRenamed("x", "v").join(above.select(F.col("v").alias("y"), "all_in", "all_out"), "y")
+        totals.append(materialize(own.select(
+            "v", "inw", "outw",
+            (F.col("inw") + F.when(F.col("down"), F.col("all_in") - F.when(F.col("up"), F.col("inw")).otherwise(0)).otherwise(0)).alias("all_in"),
+            (F.col("outw") + F.when(F.col("up"), F.col("all_out") - F.when(F.col("down"), F.col("outw")).otherwise(0)).otherwise(0)).alias("all_out"),
+            F.lit(0.0).alias("delta")), "totals"))
+    meeting = [
+        leaves.where("up and down").select(F.col("y").alias("v"), (F.col("inw").cast("double") * F.col("outw")).alias("same")) for leaves in folds]
+    both = _union(totals)
+    if meeting:
+        both = both.join(_union(meeting).groupBy("v").agg(F.sum("same").alias("same")), "v", "left")
+    else:
+        both = both.withColumn("same", F.lit(0.0))
+    rest_in, rest_out = F.col("all_in") - F.col("inw"), F.col("all_out") - F.col("outw")
+    # Pairs in different branches, the rest of the graph being one; pairs within the rest are the core's.
+    across = (F.col("all_in") - 1).cast("double") * (F.col("all_out") - 1) - F.coalesce("same", F.lit(0.0)) - rest_in.cast("double") * rest_out
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    scores = both.select(F.col("v").alias("id"), (across + F.col("delta")).alias("score"))
+    return ids.join(scores, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * scale).alias("betweenness_centrality"))
+
+
+def _folded_trees(links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links of the core; nodes with weights (v, inw, outw) that are not folded; and the leaves of each round.
+
+    Leaves: x, its neighbour y, whether x points at y (up) and y at x (down), and the weights of x: how many nodes of its
+    tree reach it and how many it reaches there, itself included.
+    """
+    sides = F.explode(F.array(
+        F.struct(F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(True).alias("up"), F.lit(False).alias("down")),
+        F.struct(F.col("dst").alias("v"), F.col("src").alias("w"), F.lit(False).alias("up"), F.lit(True).alias("down"))))
+    pairs = materialize(links.select(sides.alias("e")).select("e.*").groupBy("v", "w").agg(F.max("up").alias("up"), F.max("down").alias("down")), "pairs")
+    one = F.lit(1).cast("bigint")
+    weights = materialize(pairs.select("v").distinct().select("v", one.alias("inw"), one.alias("outw")), "weights")
+    folds: list[DataFrame] = []
+    while len(folds) < rounds:
+        alone = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("y"), F.max("up").alias("up"), F.max("down").alias("down")).where("n = 1")
+        # Of two that have only each other, the smaller stays.
+        twins = alone.select(F.col("v").alias("y"), F.col("y").alias("v"), F.lit(True).alias("twin"))
+        alone = alone.join(twins, ["v", "y"], "left").where(F.col("twin").isNull() | (F.col("v") > F.col("y")))
+        leaves, found = materialize_counted(alone.join(weights, "v").select(F.col("v").alias("x"), "y", "up", "down", "inw", "outw"), "leaves")
+        if not found:
+            break
+        folds.append(leaves)
+        gained = leaves.groupBy(F.col("y").alias("v")).agg(
+            F.sum(F.when(F.col("up"), F.col("inw")).otherwise(0)).alias("more_in"), F.sum(F.when(F.col("down"), F.col("outw")).otherwise(0)).alias("more_out"))
+        gone = leaves.select(F.col("x").alias("v"))
+        weights = materialize(weights.join(gone, "v", "left_anti").join(gained, "v", "left").select(
+            "v", (F.col("inw") + F.coalesce("more_in", F.lit(0))).alias("inw"), (F.col("outw") + F.coalesce("more_out", F.lit(0))).alias("outw")), "weights")
+        pairs = materialize(pairs.join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "w"), "w", "left_anti").select("v", "w", "up", "down"), "pairs")
+    return pairs.where("up").select(F.col("v").alias("src"), F.col("w").alias("dst")), weights, folds
+
+
+def _core_flows(links: DataFrame, weights: DataFrame, source_batches: int | None, max_state: int) -> DataFrame:
+    """Per node that is not folded: v, inw, outw, rin and rout (what reaches it and what it reaches elsewhere) and delta, its share of paths inside the core."""
+    links, size = materialize_counted(links.join(weights.select(F.col("v").alias("dst"), "outw"), "dst").select("src", "dst", "outw"), "core-edges")
+    if not size:
+        return weights.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("rin", "rout")], F.lit(0.0).alias("delta"))
+    members = materialize(_folded_sources(links, weights), "sources")
+    sources, n_sources = materialize_counted(members.groupBy("s").agg(F.sum("inw").alias("weight")), "sources")
+    if source_batches is None:
+        source_batches = _portions(links, sources, max_state)
     parts = []
     for batch in range(source_batches):
         chosen = sources.where(F.pmod(F.hash("s"), F.lit(source_batches)) == batch) if source_batches > 1 else sources
-        flows = _dependencies(links, chosen.select("s"))
+        visited, flows = _dependencies(links, chosen.select("s"))
+        pairs = visited.join(chosen, "s").join(weights.select("v", "outw"), "v").where(F.col("s") != F.col("v"))
+        reached = pairs.groupBy("v").agg(F.sum("weight").alias("rin")).select("v", "rin", _zero("rout"), F.lit(0.0).alias("delta"))
+        reaching = pairs.groupBy("s").agg(F.sum("outw").alias("rout")).join(members.select("s", "v"), "s").select("v", _zero("rin"), "rout", F.lit(0.0).alias("delta"))
+        found = [reached, reaching]
         if flows:
-            weighed = _union(flows).join(chosen, "s").groupBy("v").agg(F.sum(F.col("delta") * F.col("weight")).alias("delta"))
-            parts.append(materialize(weighed, "dependencies"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if not parts:
-        return ids.select("id", F.lit(0.0).alias("betweenness_centrality"))
-    total = _union(parts).groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("delta"))
-    return ids.join(total, "id", "left").select(
-        "id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness_centrality")
-    )
+            found.append(_union(flows).join(chosen, "s").where(F.col("s") != F.col("v")).groupBy("v").agg(F.sum(F.col("delta") * F.col("weight")).alias("delta"))
+                         .select("v", _zero("rin"), _zero("rout"), "delta"))
+        parts.append(materialize(_union(found), "dependencies"))
+    total = _union(parts).groupBy("v").agg(F.sum("rin").alias("rin"), F.sum("rout").alias("rout"), F.sum("delta").alias("delta"))
+    return weights.join(total, "v", "left").select(
+        "v", "inw", "outw", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rin", "rout")], F.coalesce("delta", F.lit(0.0)).alias("delta"))
+
+
+def _zero(name: str) -> Column:
+    return F.lit(0).cast("bigint").alias(name)
+
 
+def _portions(links: DataFrame, sources: DataFrame, max_state: int) -> int:
+    """Portions of sources whose state is expected within ``max_state`` rows: a source reaches no more than its weakly connected part."""
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    parts = least_labels(both).select("node", "f")
+    sizes = parts.join(sources.select(F.col("s").alias("node"), F.lit(1).alias("is_source")), "node", "left").groupBy("f").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count("is_source").alias("sources"))
+    work = sizes.agg(F.sum(F.col("nodes").cast("double") * F.col("sources"))).first()[0] or 0.0
+    return max(1, -int(-work // max_state))
 
-def _folded_sources(links: DataFrame) -> DataFrame:
-    """Sources to start from and how many sources each stands for: s, weight.
+
+def _folded_sources(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """The nodes of the core and the source that each is searched as: s, v, inw.
 
     Paths out of a node without predecessors depend on its successors alone. Sets of
     successors are compared by their size and two sums of 64-bit hashes.
@@ -246,28 +336,39 @@ def _folded_sources(links: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("dst").cast(wide)).alias("one"),
         F.sum(F.xxhash64(F.concat("dst", F.lit("/"))).cast(wide)).alias("two"),
     ).join(reached, "src", "left")
-    alone = F.when(F.col("inner"), F.col("src"))
-    return out.groupBy("n", "one", "two", alone.alias("alone")).agg(F.min("src").alias("s"), F.count(F.lit(1)).alias("weight")).select("s", "weight")
+    keys = ["n", "one", "two", "alone"]
+    out = out.select("src", "n", "one", "two", F.coalesce(F.when(F.col("inner"), F.col("src")), F.lit("")).alias("alone"))
+    least = out.groupBy(*keys).agg(F.min("src").alias("s"))
+    return out.join(least, keys).select("s", F.col("src").alias("v")).join(weights.select("v", "inw"), "v")
 
 
-def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Per distance, how much each source depends on each node it passes: s, v, delta.
+def _dependencies(links: DataFrame, sources: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The visited pairs (s, v, sigma), and per distance how much each source depends on each node it passes: s, v, delta.
 
-    The way out keeps the edges that shortest paths take, per source. The way back
-    follows only those, so a node with many predecessors costs no more than the
-    paths that really reach it.
+    Levels are parts of one written table, which tells what was visited. The way out keeps the edges that shortest
+    paths take, per source. The way back follows only those, so a node with many predecessors costs no more than
+    the paths that really reach it.
     """
-    levels = [materialize(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")), "level")]
+    spark = links.sparkSession
+    root = scratch_path(spark, "visited")
+    first = sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"))
+
+    def written(rows: DataFrame, level: int) -> DataFrame:
+        rows.write.parquet(f"{root}/level={level}")
+        return spark.read.schema(first.schema).parquet(f"{root}/level={level}")
+
+    def visited() -> DataFrame:
+        return spark.read.schema(first.schema).parquet(root).select("s", "v", "sigma")
+
+    levels = [written(first, 0)]
     taken: list[DataFrame] = []
     while True:
-        step = levels[-1].join(links, F.col("v") == F.col("src")).select(
-            "s", F.col("v").alias("u"), F.col("dst").alias("v"), "sigma"
-        )
-        new, rows = materialize_counted(step.join(_union(levels).select("s", "v"), ["s", "v"], "left_anti"), "taken")
+        step = levels[-1].join(links, F.col("v") == F.col("src")).select("s", F.col("v").alias("u"), F.col("dst").alias("v"), "outw", "sigma")
+        new, rows = materialize_counted(step.join(visited().select("s", "v"), ["s", "v"], "left_anti"), "taken")
         if rows == 0:
             break
         taken.append(new)
-        levels.append(materialize(new.groupBy("s", "v").agg(F.sum("sigma").alias("sigma")), "level"))
+        levels.append(written(new.groupBy("s", "v").agg(F.sum("sigma").alias("sigma")), len(levels)))
 
     done: list[DataFrame] = []
     while len(taken) > 1:
@@ -276,12 +377,12 @@ def _dependencies(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
             reached = reached.join(done[-1], ["s", "v"], "left")
         else:
             reached = reached.withColumn("delta", F.lit(0.0))
-        share = F.col("sigma") * (1.0 + F.coalesce("delta", F.lit(0.0))) / F.col("sigma_v")
+        share = F.col("sigma") * (F.col("outw") + F.coalesce("delta", F.lit(0.0))) / F.col("sigma_v")
         back = (
             edges.join(reached, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(share).alias("delta"))
         )
         done.append(materialize(back, "delta"))
-    return [d.select("s", "v", "delta") for d in done]
+    return visited(), [d.select("s", "v", "delta") for d in done]
 
 
 def spofs(centrality: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float = vocab.SPOF_THRESHOLD) -> DataFrame:
@@ -309,43 +410,10 @@ def ranked_spofs(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("betweenness_centrality"), "node_id")
 
 
-def simple_cycles(edges: DataFrame, max_len: int | None = None, peel_rounds: int = 8) -> DataFrame:
-    """All elementary circuits of at least two nodes: length, path.
+def simple_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """All elementary circuits of at least two nodes, of ``max_len`` nodes at most: length, path.
 
-    A circuit starts at its smallest node, so it is found once. Nodes that
-    cannot lie on a circuit are peeled off first; peeling only saves work, the
-    search is exact without it. ``max_len`` bounds the length, and the number of
-    circuits grows exponentially without it.
+    A circuit starts at its smallest node. Their number can be exponential; ``cycles.cycle_search`` can give up
+    on single components and reports which are complete.
     """
-    links, size = materialize_counted(
-        edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "edges"
-    )
-    for _ in range(peel_rounds):
-        kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
-        )
-        links, left = materialize_counted(kept.select("src", "dst"), "edges")
-        if left == size:
-            break
-        size = left
-
-    open_paths = links.where(F.col("src") < F.col("dst")).select(
-        F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")
-    )
-    found = [open_paths.where(F.lit(False)).select(F.size("path").alias("length"), "path")]
-    length = 2
-    while max_len is None or length <= max_len:
-        steps = open_paths.join(links, F.col("last") == F.col("src")).where(F.col("dst") >= F.col("start"))
-        steps = steps.where((F.col("dst") == F.col("start")) | ~F.array_contains("path", F.col("dst")))
-        step, rows = materialize_counted(steps.select("start", "dst", "path"), "paths")
-        if rows == 0:
-            break
-        closed = F.col("dst") == F.col("start")
-        found.append(step.where(closed).select(F.size("path").alias("length"), "path"))
-        open_paths = step.where(~closed).select(
-            "start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")
-        )
-        length += 1
-    else:
-        _LOG.warning("cycle search stopped at length %s; longer circuits were not searched", max_len)
-    return _union(found)
+    return cycle_search(edges, max_len)[0].select("length", "path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
@@ -65,8 +65,14 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_measured(df: DataFrame, label: str = "table", **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize` plus aggregates of the rows, taken while writing."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), label)
+    return table, seen.get
+
+
 def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
     """:func:`materialize` plus the number of rows, counted while writing."""
-    seen = Observation()
-    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return table, seen.get["rows"]
+    table, seen = materialize_measured(df, label, rows=F.count(F.lit(1)))
+    return table, seen["rows"]

@@ -1,4 +1,3 @@
-import itertools
 import random
 from collections import deque
 
@@ -45,42 +44,56 @@ def shortest_path_shares(edges):
     return {v: x / ((n - 1) * (n - 2)) if n > 2 else x for v, x in score.items()}
 
 
-@pytest.mark.parametrize("name", GRAPHS)
-def test_betweenness_equals_path_enumeration(rows, name):
-    edges = rows(GRAPHS[name], "src string, dst string")
-    got = {r.id: r.betweenness_centrality for r in graph.betweenness(edges).collect()}
-    assert got == pytest.approx(shortest_path_shares(GRAPHS[name]))
+def with_trees(seed, core, links, hung):
+    """A random digraph with trees hung on it, whose edges point up, down or both ways."""
+    rng = random.Random(seed)
+    names = [f"t{seed}n{i:02d}" for i in range(core + hung)]
+    out = {(a, b) for a, b in (rng.choices(names[:core], k=2) for _ in range(links))}
+    for i in range(core, core + hung):
+        a, b = names[i], names[rng.randrange(i) if rng.random() < 0.5 else rng.randrange(min(core, i))]
+        out |= {0: {(a, b)}, 1: {(b, a)}, 2: {(a, b), (b, a)}}[rng.randrange(3)]
+    return sorted(out)
 
 
-def test_betweenness_in_batches_and_with_lonely_nodes(rows):
-    edges = rows(GRAPHS["random"], "src string, dst string")
-    whole = {r.id: r.betweenness_centrality for r in graph.betweenness(edges).collect()}
-    parts = {r.id: r.betweenness_centrality for r in graph.betweenness(edges, source_batches=3).collect()}
-    assert parts == pytest.approx(whole)
-    none = rows([], "src string, dst string")
-    assert [tuple(r) for r in graph.betweenness(none, rows([("x",)], "id string")).collect()] == [("x", 0.0)]
+GRAPHS |= {f"trees {k}": with_trees(k, core, links, 14) for k, core, links in ((1, 6, 14), (2, 1, 0), (3, 9, 14), (4, 2, 2))}
+GRAPHS["both ways"] = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d")]
+GRAPHS["one leads, many follow"] = [("h", f"x{i}") for i in range(4)] + [(f"y{i}", "h") for i in range(4)] + [("y0", "y9"), ("y9", "y8"), ("z", "y8")]
+#: All side by side, so that one search covers them.
+SIDE_BY_SIDE = [(f"{k:02d}{a}", f"{k:02d}{b}") for k, g in enumerate(GRAPHS.values()) for a, b in g]
 
 
-def circuits(edges):
-    links = {e for e in edges if e[0] != e[1]}
-    nodes = sorted({n for e in links for n in e})
-    found = set()
-    for k in range(2, len(nodes) + 1):
-        for p in itertools.permutations(nodes, k):
-            if p[0] == min(p) and all(e in links for e in zip(p, p[1:] + p[:1])):
-                found.add(p)
-    return found
+@pytest.mark.parametrize("settings", [{}, {"fold_rounds": 0}, {"fold_rounds": 1, "source_batches": 3}, {"max_state": 300}])
+def test_betweenness_equals_path_enumeration(rows, settings):
+    got = {r.id: r.betweenness_centrality for r in graph.betweenness(rows(SIDE_BY_SIDE, "src string, dst string"), **settings).collect()}
+    assert got == pytest.approx(shortest_path_shares(SIDE_BY_SIDE), abs=1e-12)
 
 
-DENSE = sorted({(a, b) for a in "abcde" for b in "abcde" if (ord(a) * 7 + ord(b) * 3) % 4})
+def test_betweenness_of_tiny_graphs(rows):
+    for name in ("two nodes", "path", "cycle with loop"):
+        got = {r.id: r.betweenness_centrality for r in graph.betweenness(rows(GRAPHS[name], "src string, dst string")).collect()}
+        assert got == pytest.approx(shortest_path_shares(GRAPHS[name]))
+    none = rows([], "src string, dst string")
+    assert [tuple(r) for r in graph.betweenness(none, rows([("x",)], "id string")).collect()] == [("x", 0.0)]
 
 
-@pytest.mark.parametrize("edges", [GRAPHS["path"], GRAPHS["cycle with loop"], DENSE, DENSE + [("e", "z"), ("y", "a")]])
-def test_cycles_equal_enumeration(rows, edges):
-    got = [tuple(r.path) for r in graph.simple_cycles(rows(edges, "src string, dst string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == circuits(edges)
-    short = graph.simple_cycles(rows(edges, "src string, dst string"), max_len=3).collect()
-    assert {tuple(r.path) for r in short} == {c for c in circuits(edges) if len(c) <= 3}
+def test_state_of_a_portion_is_bounded(rows, monkeypatch):
+    """Sources are split by counted work; trees take no state at all."""
+    sizes, real = [], graph._dependencies
+
+    def watched(links, sources):
+        visited, flows = real(links, sources)
+        sizes.append(visited.count())
+        return visited, flows
+
+    monkeypatch.setattr(graph, "_dependencies", watched)
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 8:02d}") for i in range(8)]
+    got = graph.betweenness(rows(ring, "src string, dst string"), max_state=20).collect()
+    assert len(sizes) == 4 and sum(sizes) == 8 * 8 and max(sizes) <= 2 * 20
+    assert all(r.betweenness_centrality == pytest.approx(0.5) for r in got)
+    sizes.clear()
+    star = [(f"s{i}", "hub") for i in range(200)] + [("hub", f"t{i}") for i in range(200)] + [("t0", "end")]
+    got = {r.id: r.betweenness_centrality for r in graph.betweenness(rows(star, "src string, dst string")).collect()}
+    assert sizes == [] and got["hub"] == pytest.approx(200 * 201 / (401 * 400)) and got["t0"] == pytest.approx(201 / (401 * 400))
 
 
 @pytest.fixture
