@@ -15,6 +15,7 @@ from auditframe import vocab
 from auditframe.functions.paths import detect_language, extension
 from auditframe.operators.common import count_where, one_row
 from auditframe.operators.cycles import cycle_search, least_labels
+from auditframe.operators.scope import is_scoped, node_of, resolved, table_ids
 from auditframe.session import materialize, materialize_counted, scratch_path
 
 
@@ -39,12 +40,19 @@ def module_nodes(files: DataFrame) -> DataFrame:
 
 
 def table_nodes(tables: DataFrame) -> DataFrame:
-    """A node per table of the schema."""
-    return tables.select(
-        F.concat(F.lit("table:"), "table").alias("id"),
+    """A node per table of the schema; where tables name dump and database, per table of each dump that shares its name."""
+    if is_scoped(tables):
+        ids = table_ids(tables).select("id", *[F.col(c).alias(f"_{c}") for c in ("dump", "database", "table")])
+        same = (F.col("table") == F.col("_table")) & F.col("dump").eqNullSafe(F.col("_dump")) & F.col("database").eqNullSafe(F.col("_database"))
+        named = tables.join(ids, same)
+        place = {"database": F.when(F.col("id") != node_of(F.col("table")), F.col("database"))}
+    else:
+        named, place = tables.select(node_of(F.col("table")).alias("id"), "table", "n_columns", "n_indexes"), {}
+    return named.select(
+        "id",
         F.lit("table").alias("type"),
         F.col("table").alias("name"),
-        _text_map(columns=F.col("n_columns"), indexes=F.col("n_indexes")).alias("metadata"),
+        F.map_filter(_text_map(columns=F.col("n_columns"), indexes=F.col("n_indexes"), **place), lambda k, v: (k != "database") | v.isNotNull()).alias("metadata"),
     ).dropDuplicates(["id"])
 
 
@@ -52,11 +60,13 @@ def code_db_edges(code_sql: DataFrame, nodes: DataFrame) -> DataFrame:
     """``uses`` edges from modules to the tables their SQL names.
 
     Both nodes must exist; the last occurrence in a file describes the edge.
-    Names meet by lower case on both sides.
+    Names meet by lower case on both sides. Code does not say which database it means, so a name that several
+    databases share leads to the node of the name itself, ``table:<name>`` in lower case.
     """
-    tables = nodes.where(F.col("type") == "table").select(
-        F.col("id").alias("dst"), F.lower("name").alias("key")
-    )
+    tables = nodes.where(F.col("type") == "table").select("id", F.lower("name").alias("key"))
+    plain = F.lower("id") == node_of(F.col("key"))
+    tables = tables.where(plain).select(F.col("id").alias("dst"), "key").unionByName(
+        tables.where(~plain).select(node_of(F.col("key")).alias("dst"), "key").distinct())
     modules = nodes.where(F.col("type") == "module").select(F.col("id").alias("src"))
     used = code_sql.where(
         F.col("table").isNotNull() & extension(F.col("path")).isin(*vocab.DATABASE_USER_EXTENSIONS)
@@ -103,19 +113,20 @@ def import_edges(code_imports: DataFrame, modules: DataFrame, match: str = "exac
     return edges.select("src", "dst", F.lit("imports").alias("type"), _text_map(**{"import": F.col("module")}).alias("metadata"))
 
 
-def fk_edges(columns: DataFrame) -> DataFrame:
-    """``references`` edges from foreign keys; the last column of a pair describes it."""
+def fk_edges(columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """``references`` edges from foreign keys; the last column of a pair describes it.
+
+    With ``tables`` that name dump and database, as the columns then must, a name means the table of its own dump first.
+    """
     keys = columns.where(F.col("fk_table").isNotNull() & (F.col("fk_table") != ""))
-    return (
-        keys.groupBy("table", "fk_table")
-        .agg(F.max_by("column", "seq").alias("column"))
-        .select(
-            F.concat(F.lit("table:"), "table").alias("src"),
-            F.concat(F.lit("table:"), "fk_table").alias("dst"),
-            F.lit("references").alias("type"),
-            _text_map(column=F.col("column")).alias("metadata"),
-        )
-    )
+    if tables is not None and is_scoped(tables) and is_scoped(columns):
+        ids = table_ids(tables)
+        pairs = keys.groupBy("dump", "database", "table", "fk_table").agg(F.max_by("column", "seq").alias("column"))
+        pairs = resolved(resolved(pairs, ids, "table", "src"), ids, "fk_table", "dst")
+        pairs = pairs.groupBy("src", "dst").agg(F.max_by("column", F.struct("dump", "table", "fk_table")).alias("column"))
+    else:
+        pairs = keys.groupBy(node_of(F.col("table")).alias("src"), node_of(F.col("fk_table")).alias("dst")).agg(F.max_by("column", "seq").alias("column"))
+    return pairs.select("src", "dst", F.lit("references").alias("type"), _text_map(column=F.col("column")).alias("metadata"))
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
@@ -140,15 +151,12 @@ def build_graph(
     """Nodes and edges of the whole system.
 
     The three edge kinds link different kinds of ids, so their union has no
-    parallel edges and needs no further de-duplication.
+    parallel edges and needs no further de-duplication. Tables and columns that name dump and database are told apart by them.
     """
     modules = module_nodes(files)
     known = modules.unionByName(table_nodes(tables))
-    references = fk_edges(columns)
-    edges = (
-        references.unionByName(code_db_edges(code_sql, known)).unionByName(import_edges(code_imports, modules))
-    )
-    return known.unionByName(implicit_nodes(references, known)), edges
+    to_tables = fk_edges(columns, tables).unionByName(code_db_edges(code_sql, known))
+    return known.unionByName(implicit_nodes(to_tables, known)), to_tables.unionByName(import_edges(code_imports, modules))
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

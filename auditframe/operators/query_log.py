@@ -72,10 +72,11 @@ def top_cost_drivers(drivers: DataFrame, k: int = 10) -> DataFrame:
 
 
 def cost_summary(stats: DataFrame, top_drivers: DataFrame) -> DataFrame:
-    """Query and pattern counts over all patterns, costs over the top drivers."""
+    """Query and pattern counts over all patterns, costs over the top drivers. A pattern of several databases counts once."""
+    patterns = F.count("*") if "database" not in stats.columns else F.count_distinct("pattern")
     overall = stats.agg(
         F.coalesce(F.sum("execution_count"), F.lit(0)).alias("total_queries_analyzed"),
-        F.count("*").alias("unique_query_patterns"),
+        patterns.alias("unique_query_patterns"),
     )
     top = top_drivers.agg(
         round_exact(F.coalesce(F.sum("total_cost_ms"), F.lit(0.0)), 2).alias("total_cost_ms"),
@@ -112,12 +113,13 @@ def workload_profile(log: DataFrame) -> DataFrame:
 
 
 def slowest_queries(log: DataFrame, k: int = 10, width: int = 100) -> DataFrame:
-    """The ``k`` slowest statements, long texts cut to ``width`` characters."""
-    top = log.select("seq", "ts", "query", "duration_ms").orderBy(F.desc("duration_ms"), "seq").limit(k)
+    """The ``k`` slowest statements with their time, if the log has it; long texts are cut to ``width`` characters."""
+    ts = [c for c in ("ts",) if c in log.columns]
+    top = log.select("seq", *ts, "query", "duration_ms").orderBy(F.desc("duration_ms"), "seq").limit(k)
     cut = F.when(
         F.length("query") > width, F.concat(F.left("query", F.lit(width)), F.lit("..."))
     ).otherwise(F.col("query"))
-    return top.select("seq", cut.alias("query"), "duration_ms", "ts")
+    return top.select("seq", cut.alias("query"), "duration_ms", *ts)
 
 
 def log_metrics(log: DataFrame) -> DataFrame:
@@ -125,31 +127,40 @@ def log_metrics(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total_queries"), F.count_distinct("query").alias("unique_queries"))
 
 
-def indexed_columns(schema_indexes: DataFrame, include_schema_level: bool = False) -> DataFrame:
-    """Distinct indexed columns per table, both lower-cased; one row per table (and database, if given)."""
-    database = [c for c in ("database",) if c in schema_indexes.columns]
+def indexed_columns(schema_indexes: DataFrame, include_schema_level: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct indexed columns per table, both lower-cased; one row per table and value of ``by``."""
     indexes = schema_indexes if include_schema_level else schema_indexes.where(F.col("level") == "table")
     return (
-        indexes.select(*database, F.lower("table").alias("table"), F.explode("columns").alias("column"))
-        .groupBy("table", *database)
+        indexes.select(*by, F.lower("table").alias("table"), F.explode("columns").alias("column"))
+        .groupBy("table", *by)
         .agg(F.collect_set(F.lower("column")).alias("indexed_columns"))
     )
 
 
-def missing_indexes(drivers: DataFrame, schema_indexes: DataFrame, include_schema_level: bool = False) -> DataFrame:
+def _indexes_of(drivers: DataFrame, schema_indexes: DataFrame, include_schema_level: bool, tables: DataFrame | None) -> DataFrame:
+    """Drivers with the indexed columns of their table: those of their own database if it has the table, else of all."""
+    joined = drivers.join(indexed_columns(schema_indexes, include_schema_level), "table", "left")
+    if "database" not in drivers.columns or "database" not in schema_indexes.columns:
+        return joined
+    own = indexed_columns(schema_indexes, include_schema_level, ["database"]).withColumnRenamed("indexed_columns", "own_columns")
+    known = schema_indexes.select("database", "table")
+    if tables is not None:
+        known = known.unionByName(tables.select("database", "table"))
+    known = known.select("database", F.lower("table").alias("table")).distinct().withColumn("is_own", F.lit(True))
+    of_database = known.join(own, ["database", "table"], "left")
+    joined = joined.join(of_database, ["database", "table"], "left")
+    return joined.withColumn("indexed_columns", F.when(F.col("is_own"), F.col("own_columns")).otherwise(F.col("indexed_columns")))
+
+
+def missing_indexes(drivers: DataFrame, schema_indexes: DataFrame, include_schema_level: bool = False, tables: DataFrame | None = None) -> DataFrame:
     """Drivers with the WHERE columns their table has no index on, and advice.
 
-    A table's indexed columns form one small array, so each driver needs a
-    single equi-join and a set test instead of a row per column. Where drivers and
-    indexes both name their database, a table's indexes count in that one only.
+    A table's indexed columns form one small array, so each driver needs
+    an equi-join and a set test instead of a row per column. Where drivers and
+    indexes both name their database, a driver's table is that of its own database if it has one (``tables`` also
+    names those without any index), else the tables of that name in all databases count together.
     """
-    same = [c for c in ("database",) if c in drivers.columns and c in schema_indexes.columns]
-    if not same:
-        schema_indexes = schema_indexes.drop("database")
-    known = indexed_columns(schema_indexes, include_schema_level)
-    joined = drivers.withColumn("where_columns", extract_where_columns(F.col("example_query"))).join(
-        known, ["table", *same], "left"
-    )
+    joined = _indexes_of(drivers, schema_indexes, include_schema_level, tables).withColumn("where_columns", extract_where_columns(F.col("example_query")))
     none = F.array().cast("array<string>")
     indexed = F.coalesce("indexed_columns", none)
     missing = F.when(

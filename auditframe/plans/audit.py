@@ -10,13 +10,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from auditframe.operators import code, documents, graph, query_log, report, risk, schema, security
+from auditframe.operators import code, cycles, documents, graph, query_log, report, risk, schema, security
 from auditframe.session import materialize
 from auditframe.sinks.artifacts import write_artifact
 from auditframe.sources.files import redact_documents
 from auditframe.sources.query_log import redact_query_log
 from auditframe.sources.schema import schema_columns, schema_indexes, schema_tables
 
+#: Parameter: open paths at which the search for circuits gives a component up; ``circular_components`` tells which are complete.
+MAX_OPEN_PATHS = 100_000
+
 
 def topology(files: DataFrame, dumps: DataFrame) -> dict[str, DataFrame]:
     """Nodes, edges, single points of failure and figures of the system graph."""
@@ -27,9 +30,10 @@ def topology(files: DataFrame, dumps: DataFrame) -> dict[str, DataFrame]:
     nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
     centrality = materialize(graph.betweenness(edges, nodes), "centrality")
     spofs = materialize(graph.spofs(centrality, nodes, edges), "spofs")
-    cycles = graph.simple_cycles(edges)
+    circuits, components = cycles.cycle_search(edges, max_paths=MAX_OPEN_PATHS)
     return {
-        "circular_dependencies": cycles,
+        "circular_dependencies": circuits,
+        "circular_components": components,
         "nodes": nodes,
         "edges": edges,
         "spofs": spofs,
@@ -39,13 +43,13 @@ def topology(files: DataFrame, dumps: DataFrame) -> dict[str, DataFrame]:
 
 
 def cost_analysis(log: DataFrame, dumps: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """Ranked cost drivers with index advice, their components and a summary."""
-    stats = materialize(query_log.query_stats(log), "stats")
-    drivers = query_log.missing_indexes(query_log.cost_drivers(stats), schema_indexes(dumps))
+    """Ranked cost drivers with index advice, their components and a summary; per database where the log names it."""
+    stats = materialize(query_log.query_stats(log, [c for c in ("database",) if c in log.columns]), "stats")
+    drivers = query_log.missing_indexes(query_log.cost_drivers(stats), schema_indexes(dumps), tables=schema_tables(dumps))
     top = materialize(query_log.top_cost_drivers(drivers), "drivers")
     return {
         "cost_drivers": top,
-        "cost_components": query_log.affected_components(top.select("query_pattern", "table"), edges),
+        "cost_components": query_log.affected_components(top.select("query_pattern", "table", *[c for c in ("database",) if c in top.columns]), edges),
         "cost_summary": query_log.cost_summary(stats, top),
         "cost_totals": query_log.cost_totals(query_log.cost_drivers(stats)),
     }
@@ -95,6 +99,8 @@ def ingestion(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFram
     return {
         "log_metrics": query_log.log_metrics(log),
         "workload_profile": query_log.workload_profile(log),
+        "slowest_queries": query_log.slowest_queries(log),
+        "repo_inventory": code.repo_inventory(files),
         "corpus_metrics": documents.corpus_metrics(docs),
         "schema_metrics": schema.schema_metrics(schema_tables(dumps), schema_columns(dumps), schema_indexes(dumps)),
     }

@@ -109,10 +109,11 @@ def scan_schema_ddl(dumps: DataFrame, ddl: str = "ddl", dump: str = "dump") -> D
 
 
 def schema_tables(dumps: DataFrame) -> DataFrame:
-    """One row per table: dump, seq, table, row_count, n_columns, n_indexes."""
-    exploded = dumps.select("dump", F.posexplode("tables").alias("seq", "t"))
+    """One row per table: dump, database, seq, table, row_count, n_columns, n_indexes."""
+    exploded = dumps.select("dump", F.col("database_name").alias("database"), F.posexplode("tables").alias("seq", "t"))
     return exploded.select(
         "dump",
+        "database",
         F.col("seq").cast("bigint").alias("seq"),
         F.col("t.name").alias("table"),
         F.col("t.row_count").alias("row_count"),
@@ -122,12 +123,13 @@ def schema_tables(dumps: DataFrame) -> DataFrame:
 
 
 def schema_columns(dumps: DataFrame) -> DataFrame:
-    """One row per column: dump, table, column, type, fk_table, fk_column, seq."""
+    """One row per column: dump, database, table, column, type, fk_table, fk_column, seq."""
     return (
-        dumps.select("dump", F.explode("tables").alias("t"))
-        .select("dump", F.col("t.name").alias("table"), F.posexplode("t.columns").alias("seq", "c"))
+        dumps.select("dump", F.col("database_name").alias("database"), F.explode("tables").alias("t"))
+        .select("dump", "database", F.col("t.name").alias("table"), F.posexplode("t.columns").alias("seq", "c"))
         .select(
             "dump",
+            "database",
             "table",
             F.col("c.name").alias("column"),
             F.col("c.type").alias("type"),
@@ -139,14 +141,16 @@ def schema_columns(dumps: DataFrame) -> DataFrame:
 
 
 def schema_indexes(dumps: DataFrame) -> DataFrame:
-    """One row per index: dump, table, index, columns, unique, level (table or schema)."""
+    """One row per index: dump, database, table, index, columns, unique, level (table or schema)."""
+    named = dumps.withColumn("database", F.col("database_name"))
     of_tables = (
-        dumps.select("dump", F.explode("tables").alias("t"))
-        .select("dump", F.col("t.name").alias("table"), F.explode("t.indexes").alias("i"))
-        .select("dump", "table", F.col("i.name").alias("index"), "i.columns", "i.unique", F.lit("table").alias("level"))
+        named.select("dump", "database", F.explode("tables").alias("t"))
+        .select("dump", "database", F.col("t.name").alias("table"), F.explode("t.indexes").alias("i"))
+        .select("dump", "database", "table", F.col("i.name").alias("index"), "i.columns", "i.unique", F.lit("table").alias("level"))
     )
-    of_schema = dumps.select("dump", F.explode("indexes").alias("i")).select(
+    of_schema = named.select("dump", "database", F.explode("indexes").alias("i")).select(
         "dump",
+        "database",
         F.col("i.table").alias("table"),
         F.col("i.name").alias("index"),
         "i.columns",

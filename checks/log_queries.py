@@ -238,6 +238,24 @@ def _(t):
     return query_log.log_metrics(redact_query_log(t.log))
 
 
+cte("o_missing_by_database", "v_query_log", "o_indexed", sql=f"""
+SELECT s.database, s.pattern AS query_pattern, s."table", s.execution_count,
+       list_filter({_where_of('s.example_query')}, lambda c: NOT list_contains(CASE WHEN s.database = 'db1' THEN [] ELSE coalesce(i.indexed_columns, []) END, c)) AS missing_indexes
+FROM (SELECT database, {_PATTERN} AS pattern, arg_min(query, seq) AS example_query, {_table_of('arg_min(query, seq)')} AS "table", count(*) AS execution_count FROM v_query_log GROUP BY 1, 2) s
+LEFT JOIN o_indexed i ON s."table" = i."table" """)
+
+
+@check("J1_missing_indexes_by_database", "o_missing_by_database", sql="""
+SELECT database, query_pattern, execution_count, array_to_string(missing_indexes, '|') AS missing_indexes FROM o_missing_by_database""")
+def _(t):
+    # db0 has the indexes, db1 the same tables without any; db2 has no such tables, so all of that name count.
+    drivers = query_log.cost_drivers(query_log.query_stats(t.log, by=["database"]))
+    indexes = t.schema_indexes.withColumn("database", F.lit("db0"))
+    tables = t.schema_tables.select(F.explode(F.array(F.lit("db0"), F.lit("db1"))).alias("database"), "table")
+    advised = query_log.missing_indexes(drivers, indexes, tables=tables)
+    return advised.select("database", "query_pattern", "execution_count", F.array_join("missing_indexes", "|").alias("missing_indexes"))
+
+
 @check("J1_missing_indexes", "o_missing", sql="""
 SELECT query_pattern, "table", total_cost_ms, array_to_string(missing_indexes, '|') AS missing_indexes, array_to_string(recommendations, '|') AS recommendations
 FROM o_missing""")

@@ -189,8 +189,31 @@ def test_long_texts_in_stretches(monkeypatch):
         return out
 
     whole = windows()
-    monkeypatch.setattr(substring_debruijn, "CUT", 400)
-    assert windows() == whole and len(whole) == 881
+    for cut in (400, 50, 3):
+        monkeypatch.setattr(substring_debruijn, "CUT", cut)
+        assert windows() == whole and len(whole) == 881
+
+
+def test_words_are_hashed_by_their_bytes_alone(monkeypatch):
+    """Equal words have equal hashes wherever they stand, in grouped and in long texts; others differ."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "x", " lead and trail \n", "é é\u00a0é \x1c \x1d", "a" * 90 + " b"] + [
+        " ".join(rng.choice(["a", "b", "ab", "ba", "aa", "é", "日本", "w" * 40]) for _ in range(rng.randrange(120))) + rng.choice(["", "\t", " \v"]) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for cut in (1 << 20, 64):
+        monkeypatch.setattr(substring_debruijn, "CUT", cut)
+        words, seen = {}, {}
+        for row, first, high, low in substring_debruijn._stretches(batch):
+            edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])))[: len(row)]
+            start = np.repeat(edge, np.diff(np.append(edge, len(row))))
+            for k in range(len(row)):
+                words.setdefault(int(row[k]), {})[int(first[k] + k - start[k])] = (int(high[k]), int(low[k]))
+        for r, t in enumerate(texts):
+            want = (t or "").encode().split()
+            assert sorted(words.get(r, {})) == list(range(len(want)))
+            for k, w in enumerate(want):
+                assert seen.setdefault(w, words[r][k]) == words[r][k]
+        assert len({h for h, _ in seen.values()}) == len({h for _, h in seen.values()}) == len(seen)
 
 
 def test_pipeline(spark):
