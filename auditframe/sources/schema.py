@@ -50,10 +50,30 @@ def scan_schema_json(spark: SparkSession, path: str, lines: bool = False) -> Dat
     )
 
 
+#: What a statement may hold without ending: literals, quoted names, comments, dollar-quoted bodies.
+_QUOTED = r"""'(?:''|\\'|[^'])*+'|"(?:""|\\"|[^"])*+"|`[^`]*+`|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"""
+_DOLLAR = r"\$(\w*+)\$(?:(?!\$\1\$)[\s\S])*+\$\1\$"
+#: Brackets are followed so deep; a bracket that never closes is a sign like others.
+_DEPTH = 16
+
+
+def _statement_pattern() -> str:
+    """Everything up to a semicolon outside quotes, comments and brackets. Possessive throughout, so it neither backtracks nor recurses."""
+    inner = ""
+    for _ in range(_DEPTH):
+        inner = rf"\((?:[^()'\"`/-]++|{_QUOTED}{inner and '|' + inner}|[/-])*+\)"
+    return rf"(?U)(?:[^;()'\"`/$-]++|{_DOLLAR}|{_QUOTED}|{inner}|[^;])++"
+
+
+def statements(ddl: Column) -> Column:
+    """The statements of a script, as written, without their semicolons."""
+    return all_groups(ddl, _statement_pattern(), 0)
+
+
 def scan_schema_ddl(dumps: DataFrame, ddl: str = "ddl", dump: str = "dump") -> DataFrame:
     """Parse a table of DDL scripts, one script per row, into schema dumps."""
-    statements = F.filter(
-        F.split(F.col(ddl), ";", -1),
+    created = F.filter(
+        statements(F.col(ddl)),
         lambda s: F.rlike(
             F.regexp_replace(s, r"(?s)--[^\n]*|/\*.*?\*/", " "), F.lit(r"(?iU)\A\s*CREATE\b")
         ),
@@ -87,7 +107,7 @@ def scan_schema_ddl(dumps: DataFrame, ddl: str = "ddl", dump: str = "dump") -> D
     def mentions(s: Column, word: str) -> Column:
         return F.contains(F.upper(s), F.lit(word))
 
-    parsed = dumps.select(F.col(dump).alias("dump"), statements.alias("s")).select(
+    parsed = dumps.select(F.col(dump).alias("dump"), created.alias("s")).select(
         "dump",
         F.filter(
             F.transform(F.filter("s", lambda s: mentions(s, "TABLE")), table), lambda t: t["name"].isNotNull()

@@ -154,6 +154,25 @@ def _(t):
     return schema_source.schema_indexes(dumps).select(F.col("dump").alias("path"), "index", "table", "unique")
 
 
+# One script per part in which semicolons stand in a literal, a comment, a default value and a nested bracket.
+cte("v_hard_scripts", sql=(_HARD_SCRIPTS := """
+SELECT 'hard/' || CAST(p_partkey AS STRING) || '.sql' AS path,
+       '-- first; really' || chr(10) || 'CREATE TABLE h' || CAST(p_partkey AS STRING) || ' (id INT, note VARCHAR(9) DEFAULT ' || chr(39) || 'a;' || p_brand || chr(39) || ', made DATE /* ; */, -- x;' || chr(10)
+       || ' CHECK (note IN (' || chr(39) || ';' || chr(39) || ', ((' || chr(39) || ');' || chr(39) || ')))), big DECIMAL(9,2));' || chr(10)
+       || CASE WHEN p_size % 2 = 0 THEN 'INSERT INTO x VALUES (' || chr(39) || '; CREATE TABLE no (a INT);' || chr(39) || ');' ELSE '' END
+       || 'CREATE INDEX ih' || CAST(p_partkey AS STRING) || ' ON h' || CAST(p_partkey AS STRING) || ' (id)' AS content
+FROM part"""))
+
+
+@check("S6_ddl_semicolons", "v_hard_scripts", sql="""
+SELECT path, 'h' || regexp_extract(path, '([0-9]+)', 1) AS "table", 'id:INT,note:VARCHAR,made:DATE,big:DECIMAL' AS columns, 'ih' || regexp_extract(path, '([0-9]+)', 1) AS indexes FROM v_hard_scripts""")
+def _(t):
+    dumps = schema_source.scan_schema_ddl(t.sql(_HARD_SCRIPTS), "content", "path")
+    names = F.transform("indexes", lambda i: i["name"])
+    return dumps.select(F.col("dump").alias("path"), F.explode("tables").alias("t"), F.array_join(names, ",").alias("indexes")).select(
+        "path", F.col("t.name").alias("table"), F.array_join(F.transform("t.columns", lambda c: F.concat_ws(":", c["name"], c["type"])), ",").alias("columns"), "indexes")
+
+
 @check("A8_schema_metrics", "v_scripts", sql="""
 SELECT 2 * count(*) AS total_tables, 6 * count(*) AS total_columns, count(*) FILTER (file_id % 2 = 0) AS total_indexes FROM v_scripts""")
 def _(t):

@@ -158,6 +158,46 @@ def test_schema_ddl(rows):
         ("ix_o", "orders", False, "schema"), ("ix_u", "users", True, "schema")]
 
 
+SPLITS = {
+    "a;b;c": ["a", "b", "c"],
+    "x ';' y;z": ["x ';' y", "z"],
+    "it''s ';''; ' ;q": ["it''s ';''; ' ", "q"],
+    r"'a\';b';c": [r"'a\';b'", "c"],
+    '"a;b" `c;d`;e': ['"a;b" `c;d`', "e"],
+    "a -- x; y\nb;c": ["a -- x; y\nb", "c"],
+    "a /* ; ' */ b;c": ["a /* ; ' */ b", "c"],
+    "f(a; (b; ')') ; --;)\n);c": ["f(a; (b; ')') ; --;)\n)", "c"],
+    "a - b / c;d": ["a - b / c", "d"],
+    "$$ x; y $$;z": ["$$ x; y $$", "z"],
+    "$f$ a; $$ ; $f$ b;c": ["$f$ a; $$ ; $f$ b", "c"],
+    "cost $5;b": ["cost $5", "b"],
+    "open ( x;b": ["open ( x", "b"],
+    "it's open;b": ["it's open", "b"],
+    "/* open ;b": ["/* open ", "b"],
+    "": [], ";;": [],
+    "(" * 20 + ";" + ")" * 20 + ";q": None,
+}
+
+
+def test_statements_end_at_semicolons_outside_quotes_comments_and_brackets(rows):
+    got = {r.d: r.s for r in rows([(k,) for k in SPLITS], "d string").select("d", schema_source.statements(F.col("d")).alias("s")).collect()}
+    assert {k: v for k, v in got.items() if SPLITS[k] is not None} == {k: v for k, v in SPLITS.items() if v is not None}
+
+
+def test_long_scripts_do_not_overflow_the_matcher(rows):
+    big = "CREATE TABLE a (x INT DEFAULT '" + "q;" * 200_000 + "');" + "INSERT INTO t VALUES (1, ';');\n" * 20_000 + "/*" + "; *" * 100_000 + "*/ CREATE TABLE b (y INT);"
+    row = schema_source.scan_schema_ddl(rows([("d", big), ("e", "(" * 3000 + "; CREATE TABLE c (z INT)")], "dump string, ddl string")).orderBy("dump").collect()
+    assert [[t.name for t in r.tables] for r in row] == [["a", "b"], ["c"]]
+
+
+def test_a_semicolon_inside_a_statement_does_not_cut_it(rows):
+    text = "CREATE TABLE t (id INT, note VARCHAR(9) DEFAULT 'a;b', -- c; d\n made DATE /* ;e */, CHECK (note <> ';'), big DECIMAL(9,2));CREATE INDEX i ON t (id)"
+    dumps = schema_source.scan_schema_ddl(rows([("d", text)], "dump string, ddl string"))
+    assert [(r.column, r.type) for r in schema_source.schema_columns(dumps).orderBy("seq").collect()] == [
+        ("id", "INT"), ("note", "VARCHAR"), ("made", "DATE"), ("big", "DECIMAL")]
+    assert [r["index"] for r in schema_source.schema_indexes(dumps).collect()] == ["i"]
+
+
 def test_artifacts_round_trip(rows, spark, tmp_path):
     data = rows([(1, "x")], "n int, s string")
     for fmt in ("parquet", "json"):
