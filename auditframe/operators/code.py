@@ -102,24 +102,67 @@ def sql_occurrences(content: Column, language: Column, whole_words: bool = True)
     return F.when(language == "sql", _empty(_SQL)).otherwise(found.cast(_SQL))
 
 
-def python_code_only(content: Column) -> Column:
-    """Python text with string bodies and comments blanked, line by line intact."""
-    # Possessive groups loop where greedy ones recurse, so long strings are safe.
-    block = r'(?s)"""(?:[^"\\]|\\.|"(?!""))*+"""|' + r"'''(?:[^'\\]|\\.|'(?!''))*+'''"
-    parts = F.struct(all_groups(content, block, 0).alias("m"), F.split(content, block, -1).alias("g"))
-
-    def join(p: Column) -> Column:
-        kept = F.zip_with(
-            p["g"], p["m"], lambda g, m: F.concat(g, F.coalesce(F.regexp_replace(m, r"[^\n]+", ""), F.lit("")))
+# Python strings and comments. Possessive groups loop where greedy ones recurse, so long strings are safe.
+_TRIPLE = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"
+_SHORT = r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+'"
+
+
+def _replacement_field() -> str:
+    """An expression in braces, with strings and braces inside; group 1 is the expression, empty for doubled braces."""
+    body = ""
+    for _ in range(3):
+        nested = r"|\{(?:" + body + r")*+\}" if body else ""
+        body = rf"[^{{}}'\"]++|{_TRIPLE}|{_SHORT}{nested}"
+    return rf"\{{\{{|\}}\}}|\{{((?:{body})*+)\}}"
+
+
+_FIELD = _replacement_field()
+_INSIDE = _FIELD.replace("((?:", "(?:(?:")
+#: Formatted strings first, whose fields may hold the quotes that end other strings.
+_PYTHON_TOKEN = (
+    r"""(?=["'#fFrR])(?:"""
+    rf'(?<!\w)(?i:fr?|rf)(?:"""(?:[^"\\{{}}]|\\[\s\S]|"(?!"")|{_INSIDE})*+"""|'
+    rf"'''(?:[^'\\{{}}]|\\[\s\S]|'(?!'')|{_INSIDE})*+'''|"
+    rf'"(?!"")(?:[^"\\\n{{}}]|\\[\s\S]|{_INSIDE})*+"|'
+    rf"'(?!'')(?:[^'\\\n{{}}]|\\[\s\S]|{_INSIDE})*+')|"
+    rf"{_TRIPLE}|{_SHORT}|#[^\n]*+)"
+)
+#: Formatted strings inside the fields of others are followed so deep.
+_FORMAT_DEPTH = 3
+
+
+def _joined(text: Column, pattern: str, body: Callable[[Column, Column], Column], group: int) -> Column:
+    """The text between matches of ``pattern``, and the matches, each pair through ``body``, joined again."""
+    parts = F.struct(all_groups(text, pattern, group).alias("m"), F.split(text, pattern, -1).alias("g"))
+    return let(parts, lambda p: F.array_join(F.zip_with(p["g"], p["m"], lambda g, m: body(g, F.coalesce(m, F.lit("")))), ""))
+
+
+def _line_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\n]+", "")
+
+
+def python_code_only(content: Column, depth: int = _FORMAT_DEPTH) -> Column:
+    """Python text without the bodies of strings and without comments, line by line intact.
+
+    The fields of formatted strings are code: they stay, and strings in them are treated the same way.
+    """
+    def field(gap: Column, code: Column) -> Column:
+        return F.concat(_line_ends(gap), F.lit(" "), python_code_only(code, depth - 1) if depth else code, F.lit(" "))
+
+    def blank(gap: Column, token: Column) -> Column:
+        return F.concat(
+            gap,
+            F.when((token == "") | F.startswith(token, F.lit("#")), "")
+            .when(~F.left(token, F.lit(1)).isin("'", '"'), _joined(token, _FIELD, field, 1))
+            .when(F.startswith(token, F.lit('"""')) | F.startswith(token, F.lit("'''")), _line_ends(token))
+            .otherwise(F.concat(F.left(token, F.lit(1)), F.left(token, F.lit(1)))),
         )
-        return F.array_join(kept, "")
 
-    short = r"""(["'])(?:(?!\1)[^\\\n]|\\.)*+\1"""
-    return F.regexp_replace(let(parts, join), rf"{short}|#[^\n]*", "$1$1")
+    return _joined(content, _PYTHON_TOKEN, blank, 0)
 
 
-def _python_imports(content: Column) -> Column:
-    code = F.regexp_replace(python_code_only(content), r"\\\n", " ")
+def _python_imports(code: Column) -> Column:
+    code = F.regexp_replace(code, r"\\\n", " ")
 
     def names(text: Column) -> Column:
         words = F.split(F.regexp_replace(text, r"[()\s]+", " "), ",", -1)
@@ -154,8 +197,11 @@ def _import_rows(modules: Column) -> Column:
     ).cast(_IMPORT)
 
 
-def import_occurrences(content: Column, language: Column, relative_ruby: bool = False) -> Column:
-    """Imports per file as ``array<struct<kind, module, name>>``, sorted and distinct."""
+def import_occurrences(content: Column, language: Column, relative_ruby: bool = False, code: Column | None = None) -> Column:
+    """Imports per file as ``array<struct<kind, module, name>>``, sorted and distinct.
+
+    ``code`` is :func:`python_code_only` of the content where that is already known.
+    """
     go_spec = r'(?mU)^[ \t]*import[ \t]+(?:[\w.]+[ \t]+)?"([^"\n]+)"'
     go_block = r"(?mU)^[ \t]*import[ \t]*\(([^)]*)\)"
     go = F.concat(
@@ -166,7 +212,7 @@ def import_occurrences(content: Column, language: Column, relative_ruby: bool =
     ruby = all_groups(content, rf"""(?mU)^[ \t]*{ruby_word}[ \t(]+["']([^"'\n]+)["']""")
     many = lambda patterns: F.concat(*[all_groups(content, _EXACT + p) for p in patterns])
     return (
-        F.when(language == "python", _python_imports(content))
+        F.when(language == "python", _python_imports(python_code_only(content) if code is None else code))
         .when(language == "java", _import_rows(all_groups(content, _EXACT + vocab.JAVA_IMPORT)))
         .when(language.isin(*_JAVASCRIPT), _import_rows(many(vocab.JS_IMPORTS)))
         .when(language == "csharp", _import_rows(all_groups(content, _EXACT + vocab.CSHARP_IMPORT)))
@@ -177,7 +223,7 @@ def import_occurrences(content: Column, language: Column, relative_ruby: bool =
     )
 
 
-def _python_calls(content: Column, words: Sequence[str]) -> Column:
+def _python_calls(code: Column, words: Sequence[str]) -> Column:
     any_word = "|".join(words)
     dotted = r"(?U)(?<![\w.])(?<!def )(?<!class )([^\W\d]\w*(?:\s*\.\s*\w+)*+)\s*\("
     chained = r"(?U)[)\]]\s*\.\s*(\w+(?:\s*\.\s*\w+)*+)\s*\("
@@ -189,11 +235,13 @@ def _python_calls(content: Column, words: Sequence[str]) -> Column:
             wanted, lambda n: F.struct(F.regexp_replace(n, r"\s+", "").alias("name"), s["i"].alias("line"))
         )
 
-    gated = _numbered_lines(python_code_only(content), lambda t: F.rlike(t, F.lit(f"(?i)(?:{any_word})")))
+    gated = _numbered_lines(code, lambda t: F.rlike(t, F.lit(f"(?i)(?:{any_word})")))
     return F.flatten(F.transform(gated, of_line)).cast(_CALL)
 
 
-def call_occurrences(content: Column, language: Column, python_words: Sequence[str] = vocab.PYTHON_CALL_WORDS) -> Column:
+def call_occurrences(
+    content: Column, language: Column, python_words: Sequence[str] = vocab.PYTHON_CALL_WORDS, code: Column | None = None
+) -> Column:
     """Database calls per file as ``array<struct<name, line>>``: one per line and pattern."""
     tables = vocab.DATABASE_CALLS
 
@@ -213,13 +261,13 @@ def call_occurrences(content: Column, language: Column, python_words: Sequence[s
 
     by_pattern = F.flatten(F.transform(_numbered_lines(content, gate), of_line)).cast(_CALL)
     return (
-        F.when(language == "python", _python_calls(content, python_words))
+        F.when(language == "python", _python_calls(python_code_only(content) if code is None else code, python_words))
         .when(language.isin(*_JAVASCRIPT, *tables), by_pattern)
         .otherwise(_empty(_CALL))
     )
 
 
-def class_occurrences(content: Column, language: Column) -> Column:
+def class_occurrences(content: Column, language: Column, code: Column | None = None) -> Column:
     """Class definitions per file as ``array<struct<name, bases>>``.
 
     A qualified base keeps its last part; Java classes carry no bases.
@@ -233,7 +281,7 @@ def class_occurrences(content: Column, language: Column) -> Column:
         )
 
     python = let(
-        python_code_only(content),
+        python_code_only(content) if code is None else code,
         lambda c: F.zip_with(
             all_groups(c, head, 1),
             all_groups(c, head, 2),
@@ -268,14 +316,15 @@ def code_facts(files: DataFrame) -> DataFrame:
 
     Materialise the result once and derive the flat tables from it.
     """
-    content, language = F.col("content"), F.col("language")
-    return with_language(files).select(
+    content, language, code = F.col("content"), F.col("language"), F.col("code")
+    lexed = with_language(files.select("path", "content")).withColumn("code", F.when(language == "python", python_code_only(content)))
+    return lexed.select(
         "path",
         "language",
-        import_occurrences(content, language).alias("imports"),
+        import_occurrences(content, language, code=code).alias("imports"),
         sql_occurrences(content, language).alias("sql_queries"),
-        call_occurrences(content, language).alias("db_calls"),
-        class_occurrences(content, language).alias("classes"),
+        call_occurrences(content, language, code=code).alias("db_calls"),
+        class_occurrences(content, language, code).alias("classes"),
         table_definitions(content, language).alias("tables_defined"),
     )
 

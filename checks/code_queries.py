@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditframe.operators import code, security
+from auditframe.session import scratch_path
 from checks.registry import cte, check
 from checks.text_queries import flat_risks
 
@@ -146,6 +147,100 @@ def _(t):
     )
 
 
+# Whole files of hundreds of the derived ones, so that lines are counted over long texts.
+_LARGE = 300
+cte("o_offsets", "o_lang", sql=f"""
+SELECT path, language || CAST(file_id // {_LARGE} AS VARCHAR) AS large,
+  CAST(sum(len(string_split(content, chr(10)))) OVER (PARTITION BY language, file_id // {_LARGE} ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(string_split(content, chr(10))) AS BIGINT) AS before
+FROM o_lang""")
+
+
+@check("C8_scan_code_large", "o_offsets", "o_imports", "o_sql", "o_calls", sql="""
+SELECT f.large, coalesce(i.n, 0) AS n_imports, coalesce(s.n, 0) AS n_sql, coalesce(s.lines, 0) AS sql_lines, coalesce(c.n, 0) AS n_calls, coalesce(c.lines, 0) AS call_lines
+FROM (SELECT DISTINCT large FROM o_offsets) f
+LEFT JOIN (SELECT large, count(DISTINCT module) AS n FROM o_imports JOIN o_offsets USING (path) GROUP BY 1) i ON f.large = i.large
+LEFT JOIN (SELECT large, count(*) AS n, CAST(sum(before + line) AS BIGINT) AS lines FROM o_sql JOIN o_offsets USING (path) GROUP BY 1) s ON f.large = s.large
+LEFT JOIN (SELECT large, count(*) AS n, CAST(sum(before + line) AS BIGINT) AS lines FROM o_calls JOIN o_offsets USING (path) GROUP BY 1) c ON f.large = c.large""")
+def _(t):
+    suffix = F.element_at(F.split("path", r"\."), -1)
+    names = F.when(suffix == "py", "python").when(suffix == "js", "javascript").when(suffix == "cs", "csharp").otherwise(suffix)
+    # The fixture gathers a fixed number of files into one text each.
+    large = t.files.groupBy(suffix.alias("suffix"), F.concat(names, (F.col("file_id") / _LARGE).cast("bigint").cast("string")).alias("large")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "content"))), lambda f: f["content"]), "\n").alias("content"))
+    facts = code.code_facts(large.select(F.concat("large", F.lit("."), "suffix").alias("path"), "content"))
+
+    def lines(c):
+        return F.aggregate(c, F.lit(0).cast("bigint"), lambda n, f: n + f["line"])
+
+    return facts.select(
+        F.regexp_replace("path", r"\.\w+$", "").alias("large"), F.size("imports").cast("bigint").alias("n_imports"), F.size("sql_queries").cast("bigint").alias("n_sql"),
+        lines("sql_queries").alias("sql_lines"), F.size("db_calls").cast("bigint").alias("n_calls"), lines("db_calls").alias("call_lines"))
+
+
+# Files of seven languages with every kind of fact: imports of names, real bases, calls in fields of formatted strings.
+_MIX = """
+SELECT 'mix/f' || k || CASE o_orderkey % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' WHEN 3 THEN '.rb' WHEN 4 THEN '.java' WHEN 5 THEN '.sql' ELSE '.php' END AS path, k, o_orderkey % 7 AS kind,
+  CASE o_orderkey % 7
+    WHEN 0 THEN 'from pkg' || k || '.core import Alpha, Beta as b' || chr(10) || 'import os, m' || k || chr(10) || 'class C' || k || '(Base' || CAST(o_custkey % 3 AS STRING) || ', mod.Mixin, metaclass=M):' || chr(10)
+      || '    ' || repeat(chr(34), 3) || 'import no' || repeat(chr(34), 3) || chr(10) || '    x = f' || chr(34) || '{db.fetch_all(1)} {{no.fetch(2)}}' || chr(34) || chr(10) || '    cur.execute(' || chr(34) || 'UPDATE u' || k || ' SET a = 1' || chr(34) || ')'
+    WHEN 1 THEN 'import { A } from ' || chr(39) || './m' || k || chr(39) || ';' || chr(10) || 'const r = require(' || chr(39) || 'lib' || chr(39) || ');' || chr(10) || chr(10) || 'db.query(`SELECT * FROM t' || k || '`);'
+    WHEN 2 THEN 'package m' || chr(10) || 'import ' || chr(34) || 'fmt' || chr(34) || chr(10) || 'import (' || chr(10) || '  db ' || chr(34) || 'database/sql' || chr(34) || chr(10) || '  ' || chr(34) || 'os' || k || chr(34) || chr(10) || ')' || chr(10) || 'q := `SELECT a FROM g' || k || '`'
+    WHEN 3 THEN 'require ' || chr(39) || 'json' || k || chr(39) || chr(10) || 'db.execute(' || chr(34) || 'SELECT * FROM r' || k || chr(34) || ')'
+    WHEN 4 THEN 'import a.b' || k || ';' || chr(10) || 'public class U' || k || ' extends B {' || chr(10) || '  ps.executeQuery(' || chr(34) || 'DELETE FROM j' || k || chr(34) || ');'
+    WHEN 5 THEN 'CREATE TABLE s' || k || ' (id INT);' || chr(10) || 'create table if not exists s_log (id INT);'
+    ELSE 'include_once ' || chr(39) || 'i' || k || '.php' || chr(39) || ';' || chr(10) || '$pdo->query(' || chr(34) || 'DELETE FROM p' || k || chr(34) || ')' || chr(59) END AS content
+FROM (SELECT *, CAST(o_orderkey AS STRING) AS k FROM orders) o"""
+
+
+def _mix_oracle() -> str:
+    facts = {
+        0: ["import|from|pkg{k}.core|Alpha", "import|from|pkg{k}.core|Beta", "import|import|os|", "import|import|m{k}|", "class|C{k}|Base{b},Mixin|", "call|db.fetch_all|5|", "call|cur.execute|6|",
+            "sql|6|UPDATE|u{k}"],
+        1: ["import|import|./m{k}|", "import|import|lib|", "call|query|4|", "sql|4|SELECT|t{k}"],
+        2: ["import|import|fmt|", "import|import|database/sql|", "import|import|os{k}|", "sql|7|SELECT|g{k}"],
+        3: ["import|import|json{k}|", "sql|2|SELECT|r{k}"],
+        4: ["import|import|a.b{k}|", "class|U{k}||", "call|executeQuery|3|", "sql|3|DELETE|j{k}"],
+        5: ["table|s{k}||", "table|s_log||"],
+        6: ["import|import|i{k}.php|", "call|query|2|", "sql|2|DELETE|p{k}"],
+    }
+    parts = []
+    for kind, rows in facts.items():
+        for r in rows:
+            text = "'" + r.replace("{k}", "' || k || '").replace("{b}", "' || CAST(o_custkey % 3 AS VARCHAR) || '") + "'"
+            parts.append(f"SELECT path, {text} AS fact FROM v_mix WHERE kind = {kind}")
+    return " UNION ALL ".join(parts)
+
+
+cte("v_mix", sql=_MIX.replace("k, o_orderkey % 7 AS kind,", "k, o_custkey, o_orderkey % 7 AS kind,"))
+
+
+@check("C8_all_facts", "v_mix", sql=_mix_oracle())
+def _(t):
+    facts = code.code_facts(t.sql(_MIX))
+
+    def text(*parts):
+        return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+    rows = F.concat(
+        F.transform("imports", lambda f: text(F.lit("import"), f["kind"], f["module"], f["name"])),
+        F.transform("sql_queries", lambda f: text(F.lit("sql"), f["line"], f["type"], f["table"])),
+        F.transform("db_calls", lambda f: text(F.lit("call"), f["name"], f["line"], F.lit(""))),
+        F.transform("classes", lambda f: text(F.lit("class"), f["name"], F.array_join(f["bases"], ","), F.lit(""))),
+        F.transform("tables_defined", lambda f: text(F.lit("table"), f, F.lit(""), F.lit(""))),
+    )
+    return facts.select("path", F.explode(rows).alias("fact"))
+
+
+@check("C8_scan_of_a_tree", "o_lines", sql=r"""
+SELECT count(*) AS n_sql FROM o_lines WHERE regexp_matches(text, '(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b')
+  AND (regexp_matches(text, '(?i)["''][^"'']*(SELECT|INSERT|UPDATE|DELETE)[^"'']*["'']') OR regexp_matches(text, '(?i)`[^`]*(SELECT|INSERT|UPDATE|DELETE)[^`]*`'))""")
+def _(t):
+    # Text files of a written tree have no language of their own, so the generic rules apply to their lines.
+    path = scratch_path(t.spark, "code-tree")
+    t.files.select("content").write.option("maxRecordsPerFile", 500).text(path)
+    return code.scan_code(t.spark, path, extensions=[".txt"]).agg(F.coalesce(F.sum(F.size("sql_queries")), F.lit(0)).cast("bigint").alias("n_sql"))
+
+
 cte("v_tree", "v_files", "v_docs", sql="""
 SELECT path, content FROM v_files UNION ALL SELECT path, content FROM v_docs
 UNION ALL SELECT 'app' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '/package.json' WHEN 1 THEN '/go.mod' ELSE '/data.bin' END, p_name || chr(10) FROM part""")

@@ -132,6 +132,47 @@ def test_database_calls(files):
     assert sorted(got["c.php"]) == [("execute", 4), ("mysqli_query", 3), ("prepare", 4)]
 
 
+FORMATTED = r'''
+a = f"{db.execute('SELECT 1')} {{no.execute()}} {x:{cur.fetch_width()}}" + 'f"{quoted.execute()}"'
+b = f"""
+import not_this
+{cursor.fetchall()}
+  {f'{deep.query(1)} {"plain.execute()"}'}
+"""  # comment.execute(1) f"{c.execute()}"
+c = rf'{one.execute(d["k"])}\\d{{2}}' + Rb'no.fetch()' + u"no.fetch()"
+d = f'{a!r:>{w}}' f"{two.query(f'{three.fetch()}')}" # it's "open
+e = f"{four.execute({'k': {'n': 1}})}"; f"{five.execute(g)}"
+f = if_("x"); elif_f = "not.execute()"
+g = f"{'nested.execute()'}" f"{
+    late.execute()
+}"
+import this_one
+'''
+
+
+def test_calls_in_fields_of_formatted_strings(rows):
+    """As the syntax tree has them; strings in fields and doubled braces are no code, nor are imports in strings."""
+    files = rows([("a.py", FORMATTED)], "path string, content string")
+    want = [(ast.unparse(n.func), n.lineno) for n in ast.walk(ast.parse(FORMATTED)) if isinstance(n, ast.Call)]
+    want = [(n, i) for n, i in want if any(w in n.lower() for w in ("execute", "query", "fetch"))]
+    assert len(want) == 10
+    assert sorted((r["name"], r["line"]) for r in code.db_calls(files).collect()) == sorted(want)
+    assert [r["module"] for r in code.python_imports(files).collect()] == ["this_one"]
+
+
+def test_code_only_keeps_lines(rows):
+    text = FORMATTED + PYTHON + 'x = f"{unclosed"\ny = f"}"\nz = "\\\\"\nimport late\n'
+    got = rows([(text,)], "c string").select(code.python_code_only(F.col("c"))).first()[0]
+    assert got.count("\n") == text.count("\n") and got.endswith("import late\n") and "not_this" not in got
+
+
+def test_long_formatted_strings_do_not_overflow_the_matcher(rows):
+    text = 'x = f"' + "a{b.execute(1)} {{" * 20_000 + '"\nimport late\n'
+    files = rows([("a.py", text), ("b.py", 'f"' + "{" * 20_000 + '"\nimport last\n')], "path string, content string")
+    assert sorted(r["module"] for r in code.python_imports(files).collect()) == ["last", "late"]
+    assert code.db_calls(files).count() == 20_000
+
+
 def test_looser_variants(rows):
     files = rows(
         [("a.java", 's = "preselected rows";'), ("b.rb", "require_relative 'lib'"), ("c.py", "conn.commit()\nconn.execute('x')")],
