@@ -32,69 +32,90 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.batches import SPACE, append
+from auditframe.llm.batches import SPACE, append, utf8
 from auditframe.session import materialize
 
 #: Words of a window (an edge of the graph).
 WINDOW = 20
 #: Words of a minimizer; a window holds WINDOW - SHINGLE + 1 = 16 shingles, a power of two.
 SHINGLE = 5
-#: Bytes of text hashed at once, and distinct words remembered by a task; they bound memory only.
+#: Bytes of text hashed at once; they bound memory only.
 CUT = 1 << 20
-WORD_CACHE = 300_000
 
 _PLACES = np.uint64((1 << 20) - 1)
 _SPACE = re.compile(rb"[ \t-\r]")
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
+#: Two hashes of a word: what each byte stands for, and the base whose powers its place multiplies.
+_BYTES = np.random.default_rng(21).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(CUT + WINDOW, base, np.uint64)
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
+def _size(n: int) -> int:
+    """A length of at least ``n`` of which few are ever asked for."""
+    return max(CUT + (CUT >> 3), 1 << n.bit_length())
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
 
 
-class _Words(dict):
-    """Two 64-bit hashes of each word, found by its place."""
-
-    def __init__(self):
-        self.high, self.low = array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh3_128_intdigest(word)
-        self.high.append(digest >> 64)
-        self.low.append(digest & 0xFFFFFFFFFFFFFFFF)
-        place = self[word] = len(self.high) - 1
-        return place
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > WORD_CACHE:
-            self.clear()
-            self.high, self.low = array("Q"), array("Q")
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.frombuffer(self.high, np.uint64)[at], np.frombuffer(self.low, np.uint64)[at]
+def _words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and two 64-bit hashes of every word; a text begins at each of ``breaks``."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    solid = ~SPACE[raw]
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= ~solid[:-1]
+    closes[:-1] &= ~solid[1:]
+    opens[breaks] = solid[breaks]
+    inner = breaks[breaks > 0] - 1
+    closes[inner] = solid[inner]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    hashes = []
+    for values, base in zip(_BYTES, _BYTE_BASES):
+        power, inverse = _powers(base, _size(n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[raw] * power[:n], out=sums[1:])
+        hashes.append(_mix((sums[end] - sums[begin]) * inverse[begin]))
+    return begin, hashes[0], hashes[1]
+
+
+def _long(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first word, hashes) of stretches of one text that share WINDOW - 1 words."""
+    first, position, stop = 0, 0, 0
+    while stop < len(raw):
+        stop += CUT
+        while stop < len(raw) and not SPACE[raw[stop]]:
+            spaces = np.flatnonzero(SPACE[raw[stop : stop + CUT]])
+            stop += int(spaces[0]) if len(spaces) else CUT
+        begin, high, low = _words(raw[position:stop], np.zeros(1, np.int64))
+        yield first, high, low
+        kept = min(len(begin), WINDOW - 1)
+        first += len(begin) - kept
+        position = position + int(begin[-kept]) if kept else stop
 
 
 def _blocks(data: bytes, overlap: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -115,10 +136,11 @@ class _Ranges:
     """Hashes of word ranges from prefix sums."""
 
     def __init__(self, hashes: np.ndarray):
-        self.sums = np.append(np.uint64(0), np.cumsum(hashes * _powers()[0][: len(hashes)], dtype=np.uint64))
+        self.powers = _powers(_BASE, _size(len(hashes)))
+        self.sums = np.append(np.uint64(0), np.cumsum(hashes * self.powers[0][: len(hashes)], dtype=np.uint64))
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[begin]) * _powers()[1][begin])
+        return _mix((self.sums[end] - self.sums[begin]) * self.powers[1][begin])
 
 
 def paths(high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -142,36 +164,30 @@ def paths(high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> tuple[np.ndar
     return first, length, shingle[chosen[first]], _Ranges(low).of(first, first + length + WINDOW - 1)
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Groups of stretches: row and place of first word for each, by word; and the words."""
-    rows, firsts, sizes, words, held = [], [], [], [], 0
-    for row, text in enumerate(batch.column("text")):
-        data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-        if held and held + min(len(data), CUT) > CUT:
-            yield np.repeat(rows, sizes), np.repeat(firsts, sizes), words
-            rows, firsts, sizes, words, held = [], [], [], [], 0
-        for first, part in _blocks(data, WINDOW - 1):
-            if len(data) > CUT and words:
-                yield np.repeat(rows, sizes), np.repeat(firsts, sizes), words
-                rows, firsts, sizes, words, held = [], [], [], [], 0
-            if len(part) >= WINDOW:
-                rows.append(row)
-                firsts.append(first)
-                sizes.append(len(part))
-                words += part
-        held += min(len(data), CUT)
-    if words:
-        yield np.repeat(rows, sizes), np.repeat(firsts, sizes), words
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of stretches of texts: row, place of the stretch's first word and two hashes, by word."""
+    raw, at = utf8(batch.column("text"))
+    lo, rows = 0, batch.num_rows
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CUT, "right")) - 1)
+        part = raw[at[lo] : at[hi]]
+        if len(part) > CUT:
+            for first, high, low in _long(part):
+                yield np.full(len(high), lo), np.full(len(high), first), high, low
+        elif len(part):
+            inside = at[lo:hi] - at[lo]
+            begin, high, low = _words(part, inside[inside < len(part)])
+            yield np.searchsorted(inside, begin, "right") - 1 + lo, np.zeros(len(begin), np.int64), high, low
+        lo = hi
 
 
 def _emit_paths(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    known = _Words()
     for batch in batches:
         doc = batch.column("doc").to_numpy()
-        for row, first_word, words in _stretches(batch):
-            stretch = np.cumsum(np.append(0, (row[1:] != row[:-1]) | (first_word[1:] != first_word[:-1])))
+        for row, first_word, high, low in _stretches(batch):
+            stretch = np.cumsum(np.append(0, (row[1:] != row[:-1]) | (first_word[1:] != first_word[:-1])))[: len(row)]
             begin = np.searchsorted(stretch, stretch)
-            first, length, minimizer, content = paths(*known.hashes(words), stretch)
+            first, length, minimizer, content = paths(high, low, stretch)
             columns = {"minimizer": pa.array(minimizer.view(np.int64))}
             if whole:
                 columns |= {
@@ -181,7 +197,6 @@ def _emit_paths(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.R
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
     out: list[tuple[np.ndarray, ...]] = []
 
     def batch_of() -> pa.RecordBatch:
@@ -191,24 +206,35 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     held = 0
     for batch in batches:
-        for doc, text, parts in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("parts")):
-            starts, counts = (np.array([p[k] for p in parts.as_py()], np.int64) for k in ("start", "windows"))
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            places = np.sort(np.repeat(starts, counts) + offset)
-            for first, words in _blocks((text.as_py() or "").encode("utf-8", "surrogatepass"), WINDOW - 1):
-                here = places[(places >= first) & (places <= first + len(words) - WINDOW)]
+        doc, wanted = batch.column("doc").to_numpy(), [_places(p) for p in batch.column("parts")]
+        for row, first_word, high, low in _stretches(batch):
+            edges = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first_word[1:] != first_word[:-1])))[: len(row)]
+            at, docs, starts = [], [], []
+            for o, size in zip(edges.tolist(), np.diff(np.append(edges, len(row))).tolist()):
+                places, first = wanted[row[o]], int(first_word[o])
+                here = places[np.searchsorted(places, first) : np.searchsorted(places, first + size - WINDOW, "right")]
                 if len(here):
-                    high, low = known.hashes(words)
-                    at = here - first
-                    out.append((*[_Ranges(h).of(at, at + WINDOW).view(np.int64) for h in (high, low)], np.full(len(here), doc), here))
-                    held += len(here)
-                    if held >= 1 << 16:
-                        yield batch_of()
-                        held = 0
+                    at.append(here + (o - first))
+                    docs.append(np.full(len(here), doc[row[o]]))
+                    starts.append(here)
+            if at:
+                begin = np.concatenate(at)
+                ends = begin + WINDOW
+                out.append((*[_Ranges(h).of(begin, ends).view(np.int64) for h in (high, low)], np.concatenate(docs), np.concatenate(starts)))
+                held += len(begin)
+                if held >= 1 << 16:
+                    yield batch_of()
+                    held = 0
     if out:
         yield batch_of()
 
 
+def _places(parts: pa.Scalar) -> np.ndarray:
+    """Starts of the windows in a document's parts, in order."""
+    starts, counts = (np.array([p[k] for p in parts.as_py()], np.int64) for k in ("start", "windows"))
+    return np.sort(np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
+
+
 def pieces(texts: DataFrame) -> DataFrame:
     """Repeated pieces of ``texts(doc, text)``: doc, start, windows, source_doc and source_start; ``doc`` is never null."""
     here = F.struct("doc", "start")
@@ -279,15 +305,16 @@ def _cut(data: bytes, spans: list[tuple[int, int, int, int]]) -> tuple[int, int,
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
-    """``docs`` as key, id, text and in_0, in_1, ...; a row's key is a long of its own in the order of documents. And whether keys are the ids."""
+    """``docs`` as doc, id, text and in_0, in_1, ...; ``doc`` is a long of the row's own in the order of documents. And whether that is the id."""
     rest = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), *rest)
     if dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
         if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-            return rows.withColumn("key", F.col("id").cast("bigint")), True
+            # Never null, and known to be: else a join filters one reading of the texts only, which then are dealt out twice.
+            return rows.withColumn("doc", F.coalesce(F.col("id").cast("bigint"), F.lit(0).cast("bigint"))), True
     order = ["id", "hash", "place"]
     rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(rows.drop("hash", "place").withColumn("key", F.monotonically_increasing_id()), "keyed-documents"), False
+    return materialize(rows.drop("hash", "place").withColumn("doc", F.monotonically_increasing_id()), "keyed-documents"), False
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True) -> DataFrame:
@@ -296,26 +323,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``spans`` lists (start, n_words, source_doc, source_start) of the repeated stretches. Columns of ``docs`` with these names are replaced.
     """
     rows, by_id = _keyed(docs, doc_id, text)
-    found = pieces(rows.select(F.col("key").alias("doc"), "text"))
-    if by_id:
-        found = found.withColumn("source_id", F.col("source_doc"))
-    else:
-        found = found.join(rows.select(F.col("key").alias("source_doc"), F.col("id").alias("source_id")), "source_doc")
-    found = found.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("start", "windows", "source_doc", "source_start", "source_id")).alias("found"))
+    found = pieces(rows.select("doc", "text"))
+    if not by_id:
+        found = found.join(rows.select(F.col("doc").alias("source_doc"), F.col("id").alias("source_id")), "source_doc")
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "source_doc", "source_start", *["source_id"] * (not by_id))).alias("found"))
     made = ("n_words", "n_removed", "kept_sha256", "spans", "kept_text")
     places = [k for k, c in enumerate(docs.columns) if c.lower() not in made and (with_text or c != text)]
-    passed = [f"in_{k}" for k in places if docs.columns[k] != text]
-    joined = rows.select("key", "text", *passed).join(found, "key", "left").drop("key")
-    through = (["text"] if with_text else []) + passed
+    # Where nothing but doc and text passes through, the texts are the ones that were dealt out to find the pieces.
+    passed = [f"in_{k}" for k in places if docs.columns[k] not in (text, doc_id)] + ["id"] * (not by_id)
+    joined = rows.select("doc", "text", *passed).join(found, "doc", "left")
+    through = (["text"] if with_text else []) + ["doc", *passed]
+    source = "source_doc" if by_id else "source_id"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = batch.schema.field("found").type.value_type.field("source_id").type
-            span = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_doc", source), ("source_start", pa.int64())])
+            kind_of = batch.schema.field("found").type.value_type.field(source).type
+            span = pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_doc", kind_of), ("source_start", pa.int64())])
             out = []
             for t, f in zip(batch.column("text"), batch.column("found")):
                 parts = f.as_py() or []
-                spans, ids = compact(parts), {p["source_doc"]: p["source_id"] for p in parts}
+                spans, ids = compact(parts), {p["source_doc"]: p[source] for p in parts}
                 value = t.as_py()
                 n, removed, digest, kept = _cut((value or "").encode("utf-8", "surrogatepass"), spans)
                 out.append((n, removed, digest, [{"start": a, "n_words": w, "source_doc": ids[d], "source_start": b} for a, w, d, b in spans],
@@ -332,5 +359,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fields += ["n_words bigint", "n_removed bigint", "kept_sha256 string",
                f"spans array<struct<start: bigint, n_words: bigint, source_doc: {kind}, source_start: bigint>>"]
     result = joined.mapInArrow(finish, ", ".join(fields + ["kept_text string"] * with_text))
-    back = [F.col("text" if docs.columns[k] == text else f"in_{k}").alias(docs.columns[k]) for k in places]
+    own = {text: F.col("text"), doc_id: F.col("doc").cast(dict(rows.dtypes)["id"]) if by_id else F.col("id")}
+    back = [own.get(docs.columns[k], F.col(f"in_{k}")).alias(docs.columns[k]) for k in places]
     return result.select(*back, "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * with_text)
