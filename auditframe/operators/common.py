@@ -31,14 +31,3 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int
 def count_where(condition: Column) -> Column:
     """Number of rows meeting the condition, as BIGINT."""
     return F.count_if(condition).cast("bigint")
-
-
-def exact_sum(value: Column) -> Column:
-    """Sum of doubles that does not depend on the order of rows and tasks.
-
-    A value under 10^10 is added as a decimal with 18 places, a larger one as a
-    double; the two sums are added last.
-    """
-    exact = value.try_cast("decimal(28,18)")
-    large = F.sum(F.when(exact.isNull(), value))
-    return F.coalesce(F.sum(exact).cast("double") + large, F.sum(exact).cast("double"), large)

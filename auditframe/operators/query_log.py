@@ -16,7 +16,8 @@ from auditframe.functions.sqltext import (
     normalize_query,
     query_type,
 )
-from auditframe.operators.common import count_where, exact_sum, one_row
+from auditframe.operators.common import count_where, one_row
+from auditframe.operators.totals import counted, counted_if, exact_totals
 
 
 def query_stats(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -24,28 +25,26 @@ def query_stats(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     ``by`` names further columns that tell patterns apart, such as ``database``.
 
-    One shuffle of partial aggregates; the hot pattern of a skewed log shrinks
-    to one row per task before it.
+    Partial aggregates are shuffled; the hot pattern of a skewed log shrinks
+    to a few rows per task before. Total durations are exact sums, rounded once.
     """
-    return (
-        log.select(
-            *by,
-            normalize_query(F.col("query")).alias("pattern"),
-            F.coalesce("query", F.lit("")).alias("query"),
-            "seq",
-            F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
-        )
-        .groupBy("pattern", *by)
-        .agg(
-            F.min_by("query", "seq").alias("example_query"),
-            F.min("seq").alias("first_seq"),
-            F.count("*").alias("execution_count"),
-            exact_sum(F.col("duration_ms")).alias("total_duration_ms"),
-            F.min("duration_ms").alias("min_duration_ms"),
-            F.max("duration_ms").alias("max_duration_ms"),
-        )
-        .withColumn("avg_duration_ms", F.col("total_duration_ms") / F.col("execution_count"))
+    rows = log.select(
+        *by,
+        normalize_query(F.col("query")).alias("pattern"),
+        F.coalesce("query", F.lit("")).alias("query"),
+        "seq",
+        F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
     )
+    first = F.min(F.struct("seq", "query"))
+    stats = exact_totals(rows, ["pattern", *by], "duration_ms", "total_duration_ms", {
+        "first": (first, F.min),
+        "execution_count": counted(),
+        "min_duration_ms": (F.min("duration_ms"), F.min),
+        "max_duration_ms": (F.max("duration_ms"), F.max),
+    })
+    return stats.select(
+        "pattern", *by, F.col("first.query").alias("example_query"), F.col("first.seq").alias("first_seq"), "execution_count",
+        "total_duration_ms", "min_duration_ms", "max_duration_ms", (F.col("total_duration_ms") / F.col("execution_count")).alias("avg_duration_ms"))
 
 
 def cost_drivers(stats: DataFrame) -> DataFrame:
@@ -89,27 +88,21 @@ def cost_summary(stats: DataFrame, top_drivers: DataFrame) -> DataFrame:
 
 def cost_totals(drivers: DataFrame) -> DataFrame:
     """Total cost and patterns per impact class over all drivers, as one row."""
-    return drivers.agg(
-        round_exact(F.coalesce(exact_sum(F.col("total_cost_ms")), F.lit(0.0)), 2).alias("total_cost_ms"),
-        *[count_where(F.col("impact") == i).alias(f"{i.lower()}_impact_count") for i in ("HIGH", "MEDIUM", "LOW")],
-    )
+    counts = {f"{i.lower()}_impact_count": counted_if(F.col("impact") == i) for i in ("HIGH", "MEDIUM", "LOW")}
+    totals = exact_totals(drivers, [], "total_cost_ms", "total_cost_ms", counts)
+    return totals.withColumn("total_cost_ms", round_exact(F.coalesce("total_cost_ms", F.lit(0.0)), 2))
 
 
 def workload_profile(log: DataFrame) -> DataFrame:
     """Totals, mean duration and a count per statement type, as one row."""
     kinds = (*vocab.LOG_QUERY_TYPES, "OTHER")
-    return (
-        log.select("duration_ms", query_type(F.col("query")).alias("kind"))
-        .agg(
-            F.count("*").alias("total_queries"),
-            F.coalesce(exact_sum(F.col("duration_ms")), F.lit(0.0)).alias("total_duration_ms"),
-            *[count_where(F.col("kind") == k).alias(f"{k.lower()}_count") for k in kinds],
-        )
-        .withColumn(
-            "avg_duration_ms",
-            F.when(F.col("total_queries") > 0, F.col("total_duration_ms") / F.col("total_queries")).otherwise(0.0),
-        )
-    )
+    counts = {f"{k.lower()}_count": counted_if(F.col("kind") == k) for k in kinds}
+    rows = log.select("duration_ms", query_type(F.col("query")).alias("kind"))
+    totals = exact_totals(rows, [], "duration_ms", "total_duration_ms", {"total_queries": counted(), **counts})
+    totals = totals.withColumn("total_duration_ms", F.coalesce("total_duration_ms", F.lit(0.0)))
+    return totals.select(
+        "total_queries", "total_duration_ms", *counts,
+        F.when(F.col("total_queries") > 0, F.col("total_duration_ms") / F.col("total_queries")).otherwise(0.0).alias("avg_duration_ms"))
 
 
 def slowest_queries(log: DataFrame, k: int = 10, width: int = 100) -> DataFrame:

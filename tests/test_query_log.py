@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def test_totals_do_not_depend_on_row_order(rows):
     values = [145.46, 1.15, 0.1, 0.2, 0.3, 54.75, 1e-3] * 40
     for order in (values, values[::-1], sorted(values)):
         log = rows([(i, "SELECT 1", v) for i, v in enumerate(order)], SCHEMA).repartition(3)
-        assert query_log.query_stats(log).collect()[0].total_duration_ms == 8078.44
+        assert query_log.query_stats(log).collect()[0].total_duration_ms == math.fsum(values)
     tiny = rows([(0, "SELECT 1", 1e-11), (1, "SELECT 1", 2e-11)], SCHEMA)
     assert query_log.query_stats(tiny).collect()[0].total_duration_ms == 3e-11
     odd = rows([(0, "SELECT 1", 1e300), (1, "SELECT 1", 1.0)], SCHEMA)
@@ -164,4 +166,5 @@ def test_slowest_queries_are_cut(rows):
 
 def test_hot_pattern_is_aggregated_before_the_shuffle(log):
     plan = query_log.query_stats(log)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "partial_sum" in plan
+    # One exchange of partial rows by pattern and bin, one of the few bins of each pattern.
+    assert plan.count("Exchange") == 2 and plan.count("partial_sum") >= 2
