@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append
+from auditframe.llm.columns import numbered
 
 #: Fixed values.
 SHINGLE = 4
@@ -43,16 +44,17 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the fingerprint as a signed long ``fp``."""
-    rest = [c for c in docs.columns if c not in (text, "fp")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_text"))
+    names = numbered([c for c in docs.columns if c != text and c.lower() != "fp"])
+    rest = list(names.values())
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column("_text")), np.uint64, batch.num_rows)
+            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield append(batch.select(rest), fp=pa.array(values.view(np.int64)))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*rest).schema.fields)
-    return rows.mapInArrow(add, f"{fields}fp bigint")
+    return rows.mapInArrow(add, f"{fields}fp bigint").select(*[F.col(n).alias(c) for c, n in names.items()], "fp")
 
 
 def as_hex(fp: Column) -> Column:

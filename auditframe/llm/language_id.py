@@ -5,13 +5,13 @@ regression over hashed byte n-grams of letters, predicts that bit; the language
 whose codeword has the smallest summed logistic loss wins, so a few wrong bits
 do no harm. A small gap to the runner-up flags the row as ambiguous.
 
-Training fits on ``per_language`` documents of each language at most, those with
-the smallest hash of their id, wherever they lie. Prediction reads whole texts in
+Training fits on ``per_language`` rows of each language at most, those with
+the smallest hash of their id (ties by hash of the text), wherever they lie. Prediction reads whole texts in
 pieces of bounded size.
 
 Nulls, empties, repeats: a null text or one without a letter is ``und`` with score 0;
 so is every text when nothing could be learned from (with one language, all are it).
-Rows with a null label are not learned from. Equal texts get equal results; very
+Rows with a null label are not learned from; rows with a null id are. Equal texts get equal results; very
 long ones are counted piece by piece. Columns other than the named ones are ignored.
 """
 
@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append, pieces, utf8
+from auditframe.llm.columns import numbered, sample_rows, text_hash
 
 #: Parameters.
 BUCKET_BITS = 11
@@ -110,24 +111,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Learn from the rows of ``docs`` that have a label, ``per_language`` of each language at most."""
     known = docs.where(F.col(f"`{lang}`").isNotNull()).select(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("label"), F.col(f"`{text}`").alias("text"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = known.select("id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("id", "label")
-    sample = known.join(F.broadcast(ids), ["id", "label"], "left_semi")  # bounded by per_language
+    sample = sample_rows(known.select("id", "text"), known.select("id", text_hash(), "label"), per_language, "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.minimum(ngram_counts(*utf8(batch.column("text"))), 65535).astype(np.uint16)
+            counts = ngram_counts(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("id"), pa.array([c.tobytes() for c in counts], pa.binary())], ["label", "id", "counts"])
+                [batch.column("label"), batch.column("id"), batch.column("copies"), pa.array([c.tobytes() for c in counts], pa.binary())], ["label", "id", "copies", "counts"])
 
     kind = dict(known.dtypes)
-    rows = sample.mapInArrow(count, f"label string, id {kind['id']}, counts binary").collect()
-    rows = sorted(rows, key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, bytes(r["counts"])))
+    rows = sample.mapInArrow(count, f"label string, id {kind['id']}, copies bigint, counts binary").collect()
+    rows = [r for r in sorted(rows, key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, bytes(r["counts"]))) for _ in range(r["copies"])]
     languages = sorted({r["label"] for r in rows})
     code = codewords(len(languages))
     w, bias = np.zeros((_D, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     if code.shape[1]:
-        x = _features(np.array([np.frombuffer(r["counts"], np.uint16) for r in rows], np.float32))
+        x = _features(np.array([np.frombuffer(r["counts"], np.float32) for r in rows]))
         y = code[[languages.index(r["label"]) for r in rows]].astype(np.float32)
         first, second = [np.zeros_like(w), np.zeros_like(bias)], [np.zeros_like(w), np.zeros_like(bias)]
         for step in range(1, STEPS + 1):
@@ -151,27 +150,32 @@ def decode(model: LanguageModel, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score, runner_up and ambiguous for each row."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("_letter"), F.col(f"`{text}`").alias("_text"))
+    """``keep`` columns, lang_pred, score, runner_up and ambiguous for each row; a kept column of such a name is replaced."""
+    made = ("lang_pred", "score", "runner_up", "ambiguous")
+    names = numbered([c for c in keep if c.lower() not in made])
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()],
+                       F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("letter"), F.col(f"`{text}`").alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, UNKNOWN], object)
+        known = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             n = batch.num_rows
-            best, second = np.full(n, len(names) - 1), np.full(n, len(names) - 1)
+            best, second = np.full(n, len(known) - 1), np.full(n, len(known) - 1)
             score, ambiguous = np.zeros(n), np.zeros(n, bool)
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
             if model.languages and letter.any():
-                raw, at = utf8(batch.column("_text"))
+                raw, at = utf8(batch.column("text"))
                 for lo in range(0, n, 512):
                     hi = min(n, lo + 512)
                     counts = ngram_counts(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     use = np.flatnonzero(letter[lo:hi]) + lo
                     best[use], second[use], score[use], ambiguous[use] = decode(model, counts[use - lo])
             yield append(
-                batch.select(list(keep)), lang_pred=pa.array(names[best], pa.string()), score=pa.array(score),
-                runner_up=pa.array(names[second], pa.string()), ambiguous=pa.array(ambiguous))
+                batch.select(list(names.values())), lang_pred=pa.array(known[best], pa.string()), score=pa.array(score),
+                runner_up=pa.array(known[second], pa.string()), ambiguous=pa.array(ambiguous))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return rows.mapInArrow(label, f"{fields}, lang_pred string, score double, runner_up string, ambiguous boolean")
+    fields = f"{fields}, " if fields else ""
+    found = rows.mapInArrow(label, f"{fields}lang_pred string, score double, runner_up string, ambiguous boolean")
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()], *made)

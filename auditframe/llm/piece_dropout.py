@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append
+from auditframe.llm.columns import numbered
 
 #: Parameters.
 MODEL = "piece_bpe_32k.model"
@@ -322,9 +323,10 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, text: st
     """``docs`` without its text, with ids; or, as ``digest``, with n_pieces, pieces_crc32 and lossless."""
     path = model or public_tokenizers.path(MODEL)
     made = ("n_pieces", "pieces_crc32", "lossless") if digest else ("ids",)
-    rest = [c for c in docs.columns if c.lower() not in made and c != text]
+    names = numbered([c for c in docs.columns if c.lower() not in made and c != text])
+    rest = list(names.values())
     key = F.xxhash64(F.col(f"`{doc_id}`"), F.when(F.col(f"`{doc_id}`").isNull(), F.col(f"`{text}`")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], key.alias("_key"), F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], key.alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -332,7 +334,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, text: st
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out = []
-                for k, t in _groups(part.column("_key"), part.column("_text")):
+                for k, t in _groups(part.column("key"), part.column("text")):
                     for value, ids in zip(t, model.encode_all(t, dropout, seed, k)):
                         if digest:
                             crc = zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -343,20 +345,22 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, text: st
                 yield append(part.select(rest), **{n: pa.array(c, kind) for n, c, kind in zip(made, zip(*out), kinds)})
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*rest).schema.fields)
-    return rows.mapInArrow(run, fields + ("n_pieces bigint, pieces_crc32 bigint, lossless boolean" if digest else "ids array<int>"))
+    encoded = rows.mapInArrow(run, fields + ("n_pieces bigint, pieces_crc32 bigint, lossless boolean" if digest else "ids array<int>"))
+    return encoded.select(*[F.col(n).alias(c) for c, n in names.items()], *made)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
     """``encoded`` with a column text in place of its ids."""
     path = model or public_tokenizers.path(MODEL)
-    rest = [c for c in encoded.columns if c not in (ids, "text")]
-    rows = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias("_ids"))
+    names = numbered([c for c in encoded.columns if c != ids and c.lower() != "text"])
+    rest = list(names.values())
+    rows = encoded.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{ids}`").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            texts = [None if i.as_py() is None else model.decode(i.as_py()) for i in batch.column("_ids")]
+            texts = [None if i.as_py() is None else model.decode(i.as_py()) for i in batch.column("ids")]
             yield append(batch.select(rest), text=pa.array(texts, pa.string()))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*rest).schema.fields)
-    return rows.mapInArrow(run, fields + "text string")
+    return rows.mapInArrow(run, fields + "text string").select(*[F.col(n).alias(c) for c, n in names.items()], "text")

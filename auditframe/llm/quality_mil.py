@@ -6,8 +6,8 @@ repetition, hashed byte pairs) by a learned layer; gated attention, learned from
 document labels alone, weighs the passages, and the weighted representation is
 scored. All passages of a text take part.
 
-Training fits on ``max_documents`` labelled documents (smallest hash of the id),
-of which ``max_passages`` passages each (smallest hash of their place) are used.
+Training fits on ``max_documents`` labelled rows (smallest hash of the id, ties by hash of
+the text) with all their passages.
 
 Nulls, empties, repeats: a null text or one without a word scores 0. Rows whose
 label is null are not learned from; if a document has several labels, the largest
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import PIECE, SPACE, append, pieces, sigmoid, utf8
+from auditframe.llm.columns import sample_rows, text_hash
 
 #: Parameters.
 PASSAGE_WORDS = 100
 MAX_DOCUMENTS = 4000
-MAX_PASSAGES = 64
 STEPS = 200
 HIDDEN, GATE = 24, 12
 THRESHOLD = 0.3
@@ -183,26 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """Learn from the labelled rows of ``docs``; None where there are none."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("double").alias("y"))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    both = known.join(texts.select("id").distinct(), "id", "left_semi")
-    ids = both.orderBy(F.xxhash64("id"), "id").limit(max_documents)
-    sample = texts.join(F.broadcast(ids), "id")  # max_documents ids at most
+    sample = sample_rows(texts, texts.select("id", text_hash()).join(known, "id").select("id", "th", "y"), max_documents)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, x = passage_features(*utf8(batch.column("text")))
-            cells = []
-            for row in range(batch.num_rows):
-                mine = x[slice(*np.searchsorted(owner, (row, row + 1)))]
-                if len(mine) > MAX_PASSAGES:
-                    mine = mine[np.sort(np.argsort(np.arange(len(mine)) * 2654435761 % (1 << 32))[:MAX_PASSAGES])]
-                cells.append(mine.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(cells, pa.binary())], ["id", "y", "x"])
+            cells = [x[slice(*np.searchsorted(owner, (row, row + 1)))].astype(np.float32).tobytes() for row in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("copies"), pa.array(cells, pa.binary())], ["id", "y", "copies", "x"])
 
     kind = dict(texts.dtypes)["id"]
-    rows = [r for r in sample.select("id", "y", "text").mapInArrow(encode, f"id {kind}, y double, x binary").collect() if len(r["x"])]
+    rows = [r for r in sample.select("id", "y", "copies", "text").mapInArrow(encode, f"id {kind}, y double, copies bigint, x binary").collect() if len(r["x"])]
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
+    rows = [r for r in sorted(rows, key=lambda r: (r["id"], bytes(r["x"]))) for _ in range(r["copies"])]
     return fit_bags([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([r["y"] for r in rows]))
 
 

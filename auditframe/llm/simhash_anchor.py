@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.llm.columns import numbered
 from auditframe.llm.components import components
 from auditframe.llm.fingerprints import fingerprints
 from auditframe.session import materialize
@@ -102,17 +103,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id; null ids come last, ties go by hashes of text and row."""
     # Maps cannot be hashed; rows that differ in them alone count as equal.
-    cells = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    name = F.col(f"`{doc_id}`")
-    marks = F.xxhash64(F.col(f"`{text}`")).alias("_text_hash"), F.xxhash64(*cells, *[c.isNull() for c in cells]).alias("_row_hash")
-    marked = fingerprints(docs.select(name.isNull().alias("nameless"), name.alias("doc_id"), *marks, F.col(f"`{text}`").alias("text")))
+    names = numbered(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    cells = [F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    name, words = F.col(names[doc_id]), F.col(names[text])
+    marks = F.xxhash64(words).alias("text_hash"), F.xxhash64(*cells, *[c.isNull() for c in cells]).alias("row_hash")
+    marked = fingerprints(rows.select(name.isNull().alias("nameless"), name.alias("doc_id"), *marks, words.alias("text")))
     # A row per fingerprint first, so that a crowded fingerprint or component is a row per task.
-    least = F.min(F.struct("nameless", "doc_id", "_text_hash", "_row_hash")).alias("least")
+    least = F.min(F.struct("nameless", "doc_id", "text_hash", "row_hash")).alias("least")
     distinct = materialize(marked.groupBy("fp").agg(least), "distinct-fingerprints")
     joined = components(links(distinct)).select(F.col("node").alias("fp"), "component")
     of = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = of.groupBy("component").agg(F.min("least").alias("least")).select("least._text_hash", "least._row_hash")
-    rows = docs.select("*", *marks).join(kept, ["_text_hash", "_row_hash"], "left_semi")
+    kept = of.groupBy("component").agg(F.min("least").alias("least")).select("least.text_hash", "least.row_hash")
+    rows = rows.select("*", *marks).join(kept, ["text_hash", "row_hash"], "left_semi")
     # What is left double are equal rows; the key is a struct so that the join can be split where they are many.
-    one = rows.withColumn("_row", F.struct("_text_hash", "_row_hash")).dropDuplicates(["_row"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rows.withColumn("row", F.struct("text_hash", "row_hash")).dropDuplicates(["row"])
+    return one.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -6,9 +6,9 @@ P(grade > k) = sigmoid(w.x - threshold_k). The result is the expected severity,
 the sum of these probabilities.
 
 Words (ASCII-lower-cased, outer punctuation off) are hashed to 2 ** BUCKET_BITS
-buckets. Features and model are fitted on ``max_documents`` labelled rows (smallest
-hash of the id): the ``n_features`` buckets whose document counts have the largest
+buckets. The ``n_features`` buckets whose counts over all labelled rows have the largest
 chi-square (MIN_CHI_SQUARE at least, so that chance plays no part) become features, with log(1 + count) as value.
+Weights are fitted on ``max_documents`` labelled rows (smallest hash of the id, ties by hash of the text).
 
 Labels that only say toxic or not are graded by evidence: a toxic row's grade
 grows with its occurrences of buckets that toxic rows have at least LIFT times as
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append, sigmoid
-from auditframe.session import materialize
+from auditframe.llm.columns import sample_rows, text_hash
 
 #: Parameters.
 BUCKET_BITS = 18
@@ -69,14 +69,20 @@ class _Buckets(dict):
             position = stop
 
 
+def _distinct_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct buckets of every text, as bytes."""
+    buckets = _Buckets()
+    for batch in batches:
+        cells = [np.unique(np.concatenate([*buckets.of(t.as_py()), np.zeros(0, np.int64)])).astype("<u4").tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], ["id", "buckets"])
+
+
 def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of this task: documents that have each bucket, by label."""
-    buckets, counts = _Buckets(), np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    """Of this task: rows that have each bucket, by label."""
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text")):
-            parts = list(buckets.of(text.as_py()))
-            if parts:
-                counts[int(y > 0), np.unique(np.concatenate(parts))] += 1
+        for y, cell in zip(batch.column("y").to_pylist(), batch.column("buckets")):
+            counts[int(y > 0), np.frombuffer(cell.as_py(), "<u4")] += 1
     some = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], ["bucket", "toxic", "clean"])
 
@@ -137,11 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = dict(texts.dtypes)["id"]
-    ids = materialize(known.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_documents), "sample")
-    sample = texts.join(F.broadcast(ids), "id")  # max_documents ids at most
-    counts = sample.select("y", "text").mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
+    labelled = texts.select("id", text_hash()).join(known, "id").select("id", "th", "y")
+    # Counted are all labelled rows. Texts are reduced to their distinct buckets before they meet the labels.
+    reduced = texts.mapInArrow(_distinct_buckets, f"id {kind}, buckets binary")
+    counts = reduced.join(known, "id").select("y", "buckets").mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = ids.agg(F.sum(F.when(F.col("y") > 0, 1.0)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1.0)).alias("clean")).first()
+    n = labelled.agg(F.sum(F.when(F.col("y") > 0, 1.0)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1.0)).alias("clean")).first()
     if not n["toxic"]:
         return None
     n_toxic, n_clean = n["toxic"], n["clean"] or 1.0
@@ -153,18 +160,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     strong = np.array([r["toxic"] / n_toxic > LIFT * max(r["clean"], 0.5) / n_clean for r in best], bool)
     model = OrdinalModel(buckets, np.zeros(len(buckets)), np.zeros(1))
     column = model.columns()
+    sample = sample_rows(texts, labelled, max_documents)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words = _Buckets()
         for batch in batches:
-            cells = [np.minimum(_values(known_words, column, len(buckets), t.as_py()), 65535).astype(np.uint16).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(cells, pa.binary())], ["id", "y", "x"])
+            cells = [_values(known_words, column, len(buckets), t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("copies"), pa.array(cells, pa.binary())], ["id", "y", "copies", "x"])
 
-    found = sample.select("id", "y", "text").mapInArrow(encode, f"id {kind}, y int, x binary").collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["x"])))
+    found = sample.select("id", "y", "copies", "text").mapInArrow(encode, f"id {kind}, y int, copies bigint, x binary").collect()
+    found = [r for r in sorted(found, key=lambda r: (r["id"], bytes(r["x"]))) for _ in range(r["copies"])]
     if not found or not len(buckets):
         return None
-    hits = np.array([np.frombuffer(r["x"], np.uint16) for r in found])
+    hits = np.array([np.frombuffer(r["x"], np.uint32) for r in found])
     y = np.array([r["y"] for r in found])
     if graded:
         grade = np.maximum(y, 0)
