@@ -143,7 +143,7 @@ def test_neighbours_against_brute_force(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert set(got) == set(want)
     found = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
-    assert found >= 0.9
+    assert found >= 0.95
     exact = {(q, i): s for q in want for i, s in want[q]}
     assert all(abs(s - exact[q, i]) < 1e-12 for q in got for i, s in got[q] if (q, i) in exact)
 
@@ -154,7 +154,7 @@ def test_neighbours_odd_vectors(spark):
             (7, [1.0, None]), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (100, [0.0, 0.0])]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id bigint, embedding array<double>, rank string")
     got = [tuple(r) for r in ann_collisions.search(df, df.where("vec_id % 100 = 0"), 10).orderBy("rank").collect()]
-    assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)] and got[2][3] == pytest.approx(2**0.5)
+    assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 3)] and got[2][3] == pytest.approx(2**0.5)
     assert ann_collisions.search(df.limit(0), df.limit(0)).count() == 0
 
 
