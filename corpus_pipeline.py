@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages over ``documents``; each stage is one operator at work on what the one before kept.
 
 ``run`` writes every stage's rows as Parquet below ``spark.checkpoint.dir`` and reads them back as the next one's input.
+
+Nulls, empties, repeats, in every stage: each row is a document of its own, whatever its id. Null and empty texts fail the line rules
+and go. Rows with a null id or with ids that others have too are judged like all; near-duplicates among them keep one row (the smallest
+id, null ids last, ties by hash of text and row), a repeated passage stays in the first row (null ids first, then ids, ties by hash of
+the text). Equal rows are near-duplicates of each other, so one stays. An empty table stays empty. Further columns
+pass through, whatever their names, up to packing, which returns columns of its own.
 """
 
 from __future__ import annotations
