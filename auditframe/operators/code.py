@@ -48,12 +48,13 @@ def _by_language(language: Column, choices: Mapping[str, Column], otherwise: Col
     return chain.otherwise(otherwise)
 
 
-def sql_occurrences(content: Column, language: Column, whole_words: bool = True) -> Column:
+def sql_occurrences(content: Column, language: Column, whole_words: bool = True, ddl_tables: bool = False) -> Column:
     """Embedded SQL per file as ``array<struct<query, line, type, table>>``.
 
     At most one string per line and kind of quoting; which lines are looked at
     and how a string is found depends on the language. ``whole_words=False``
-    also looks at lines where a keyword is part of a longer word ("selected").
+    also looks at lines where a keyword is part of a longer word ("selected"); ``ddl_tables=True`` also takes the name after
+    TABLE for the table, as in CREATE TABLE and DROP TABLE.
     """
     def like(line: Column, gate: str) -> Column:
         return F.rlike(line, F.lit(_CASELESS + (gate if whole_words else gate.replace(r"\b", ""))))
@@ -90,6 +91,7 @@ def sql_occurrences(content: Column, language: Column, whole_words: bool = True)
             first_group(query, _CASELESS + vocab.TABLE_AFTER_FROM),
             F.when(script | language.isin(*_JAVASCRIPT), after_into),
             F.when(script, after_update),
+            *([first_group(query, _CASELESS + vocab.TABLE_AFTER_TABLE)] if ddl_tables else []),
         )
         return F.struct(
             strip(query).alias("query"), line.alias("line"), kind.alias("type"), table.alias("table")
@@ -356,9 +358,9 @@ def python_imports(files: DataFrame) -> DataFrame:
     return code_imports(files.where(extension(F.col("path")) == ".py"))
 
 
-def code_sql(files: DataFrame, whole_words: bool = True) -> DataFrame:
+def code_sql(files: DataFrame, whole_words: bool = True, ddl_tables: bool = False) -> DataFrame:
     """One row per embedded SQL string: path, language, query, line, type, table."""
-    fact = partial(sql_occurrences, whole_words=whole_words)
+    fact = partial(sql_occurrences, whole_words=whole_words, ddl_tables=ddl_tables)
     return _flat(files, "sql_queries", fact, "f.query", "f.line", "f.type", "f.table")
 
 

@@ -7,8 +7,10 @@ written once to the scratch folder, so no source is scanned twice for them.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditframe.operators import code, cycles, documents, graph, query_log, report, risk, schema, security
 from auditframe.session import materialize
@@ -106,16 +108,40 @@ def ingestion(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFram
     }
 
 
+def input_sources(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFrame) -> DataFrame:
+    """What was read: kind (log, dump, file, document) and path, each once."""
+    def of(kind: str, paths: DataFrame) -> DataFrame:
+        return paths.distinct().select(F.lit(kind).alias("kind"), F.col("path").cast("string").alias("path"))
+
+    parts = [of("file", files.select("path")), of("document", docs.select("path")), of("dump", dumps.select(F.col("dump").alias("path")))]
+    if dict(log.dtypes)["seq"].startswith("struct<path:"):
+        parts.append(of("log", log.select("seq.path")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def run_audit(log: DataFrame, dumps: DataFrame, files: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
     """All tables of the audit by name. Texts are redacted first, so no result holds a secret."""
     log, docs = redact_query_log(log), redact_documents(docs)
     system = topology(files, dumps)
     costs = cost_analysis(log, dumps, system["edges"])
     risks = risk_analysis(files, docs, schema_tables(dumps), schema_indexes(dumps), system["spofs"])
-    return {**ingestion(log, dumps, files, docs), **system, **costs, **risks, **synthesis(costs, system, risks)}
+    return {
+        "sources": input_sources(log, dumps, files, docs),
+        **ingestion(log, dumps, files, docs), **system, **costs, **risks, **synthesis(costs, system, risks),
+    }
+
+
+#: The main table of each analysis, the table of its figures and the kinds of sources it rests on.
+ANALYSES = {
+    "edges": ("topology_metrics", ("dump", "file")),
+    "cost_drivers": ("cost_summary", ("log", "dump")),
+    "risk_register": ("risk_summary", ("file", "document", "dump")),
+}
 
 
 def write_audit(results: Mapping[str, DataFrame], root: str, engagement_id: str, fmt: str = "parquet") -> None:
-    """Write every table of the audit below ``root``."""
+    """Write every table of the audit below ``root``, the main ones with their metrics and sources beside them."""
     for name, table in results.items():
-        write_artifact(table, root, name, engagement_id, fmt=fmt)
+        figures, kinds = ANALYSES.get(name, (None, ()))
+        beside = {"metrics": results[figures], "sources": results["sources"].where(F.col("kind").isin(*kinds))} if figures else {}
+        write_artifact(table, root, name, engagement_id, fmt=fmt, **beside)

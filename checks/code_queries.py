@@ -111,6 +111,21 @@ def _(t):
     return t.code_sql
 
 
+# Migrations in code: the table of a DDL statement is the name after TABLE.
+_MIGRATIONS = """
+SELECT 'mig/' || CAST(p_partkey AS STRING) || CASE p_partkey % 2 WHEN 0 THEN '.py' ELSE '.java' END AS path,
+       'x.execute(' || chr(34) || CASE p_partkey % 3 WHEN 0 THEN 'DROP TABLE d' WHEN 1 THEN 'create table c' ELSE 'SELECT * FROM s' END || CAST(p_partkey AS STRING) || chr(34) || ')' AS content
+FROM part"""
+
+
+@check("C3_code_sql_ddl", sql="""
+SELECT 'mig/' || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '.py' ELSE '.java' END AS path, 1 AS line,
+       CASE p_partkey % 3 WHEN 0 THEN 'DROP' WHEN 1 THEN 'CREATE' ELSE 'SELECT' END AS type, CASE p_partkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'c' ELSE 's' END || p_partkey AS "table"
+FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0""")
+def _(t):
+    return code.code_sql(t.sql(_MIGRATIONS), ddl_tables=True).select("path", "line", "type", "table")
+
+
 @check("C4_python_sql", "o_sql", sql="SELECT * FROM o_sql WHERE language = 'python'")
 def _(t):
     return code.python_sql(t.files)

@@ -122,7 +122,7 @@ def _all_paths(t):
 
 
 @check("P6_detect_language", "o_paths", sql=f"""
-SELECT path, CASE ext {_LANGS} ELSE 'unknown' END AS extractor, CASE ext {_INVENTORY} END AS inventory, CASE ext {_GRAMMAR} END AS grammar
+SELECT path, CASE ext {_LANGS} ELSE 'unknown' END AS extractor, CASE ext {_INVENTORY} END AS inventory, CASE ext {_GRAMMAR} END AS grammar, CASE ext {_GRAMMAR} END AS twin
 FROM o_paths""")
 def _(t):
     p = F.col("path")
@@ -131,6 +131,7 @@ def _(t):
         paths.detect_language(p).alias("extractor"),
         paths.detect_language(p, vocab.INVENTORY_LANGUAGES, None).alias("inventory"),
         paths.detect_language(p, vocab.GRAMMAR_LANGUAGES, None).alias("grammar"),
+        paths.detect_language(p, vocab.GRAMMAR_TWIN_LANGUAGES, None).alias("twin"),
     )
 
 

@@ -52,7 +52,40 @@ def test_whole_audit(rows, spark, tmp_path):
     assert len(table("top_findings")) == 4
     assert table("risk_summary")[0]["total_risks"] == len(table("risk_register"))
     assert table("cost_totals")[0]["high_impact_count"] == 1 and table("log_metrics")[0]["total_queries"] == 3
-    assert results["circular_dependencies"].count() == 0 and [r["table"] for r in table("unindexed_tables")] == ["orders"]
+    assert {(r["kind"], r["path"].rsplit("/", 1)[-1]) for r in table("risk_register_sources")} == {
+        ("file", "api.py"), ("file", "db.py"), ("document", "run.md"), ("dump", "schema.json")}
+    assert {r["kind"] for r in table("edges_sources")} == {"file", "dump"} and {r["kind"] for r in table("cost_drivers_sources")} == {"dump"}
+    assert table("edges_metrics")[0]["edge_count"] == 3 and table("risk_register_metrics")[0]["total_risks"] == len(ranked)
+    assert table("cost_drivers_metrics")[0]["unique_query_patterns"] == 1
+    assert len(table("slowest_queries")) == 3 and table("repo_inventory")[0]["total_files"] == 2
+    assert results["circular_components"].count() == 0 and results["circular_dependencies"].count() == 0 and [r["table"] for r in table("unindexed_tables")] == ["orders"]
+
+
+def test_audit_of_two_databases_and_a_dense_import_graph(rows, spark, tmp_path):
+    """Databases share table names; modules import each other in a graph with very many circuits."""
+    for name, indexed in (("one", True), ("two", False)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({
+            "database_name": name, "total_tables": 2, "total_columns": 2,
+            "tables": [
+                {"name": "users", "columns": [{"name": "email", "type": "INT"}], "indexes": [{"name": "ix", "columns": ["email"]}] if indexed else []},
+                {"name": "orders", "columns": [{"name": "user_id", "type": "INT", "foreign_key": {"table": "users", "column": "id"}}]}]}))
+    log = rows([(i, f"SELECT * FROM users WHERE email = '{i}'", 6000.0, ["one", "two", None][i % 3]) for i in range(6)],
+               "seq bigint, query string, duration_ms double, database string")
+    names = [f"m{i:02d}" for i in range(14)]
+    code = [(f"{n}.py", "".join(f"import {m}\n" for m in names if m != n) + 'c.execute("SELECT * FROM users")\n') for n in names]
+    files = rows([*code, ("x.py", "import y\n"), ("y.py", "import x\n")], "path string, content string")
+    dumps = scan_schema_json(spark, str(tmp_path))
+    results = run_audit(log, dumps, files, rows([("a.md", "text")], "path string, content string"))
+    drivers = {r["database"]: r["missing_indexes"] for r in results["cost_drivers"].collect()}
+    assert drivers == {"one": [], "two": ["email"], None: []}
+    assert results["cost_summary"].first()["unique_query_patterns"] == 1
+    tables = {r["id"] for r in results["nodes"].where("type = 'table'").collect()}
+    assert tables == {"table:one.users", "table:two.users", "table:one.orders", "table:two.orders"}
+    edges = {(r["src"], r["dst"]) for r in results["edges"].where("type <> 'imports'").collect()}
+    assert edges == {("table:one.orders", "table:one.users"), ("table:two.orders", "table:two.users")} | {(f"module:{n}.py", "table:users") for n in names}
+    report = {r["component"]: (r["nodes"], r["complete"]) for r in results["circular_components"].collect()}
+    assert report == {"module:m00.py": (14, False), "module:x.py": (2, True)}
+    assert [r["path"] for r in results["circular_dependencies"].where("component = 'module:x.py'").collect()] == [["module:x.py", "module:y.py"]]
 
 
 def test_contract(spark):
