@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditframe import vocab
 from auditframe.functions.columns import first_group, strip
+from auditframe.sources.json_arrays import json_objects
 
 COLUMNS = ("seq", "ts", "query", "duration_ms", "rows_affected", "database", "user")
 
@@ -30,9 +31,9 @@ def _place() -> Column:
 
 
 def scan_query_log_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Read JSON logs: one object per line, or one array or object per file.
+    """Read JSON logs: one object per line, or with ``lines=False`` one array or object per file.
 
-    Lines let Spark split large files; with ``lines=False`` a file is one task.
+    Large files are split either way.
     A record whose timestamp or duration is present but cannot be parsed is
     left out and found in :func:`query_log_rejects`; a missing duration is 0
     and a missing timestamp stays NULL.
@@ -50,15 +51,13 @@ def query_log_rejects(spark: SparkSession, path: str, lines: bool = True) -> Dat
 
 
 def _typed_json(spark: SparkSession, path: str, lines: bool) -> tuple[DataFrame, Column]:
-    raw = (
-        spark.read.schema(_JSON_FIELDS)
-        .option("multiLine", not lines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    if lines:
+        raw = spark.read.schema(_JSON_FIELDS).options(**options).json(path).select("*", _place().alias("seq"))
+    else:
+        raw = json_objects(spark, path).select("seq", F.from_json("value", _JSON_FIELDS, options).alias("o")).select("seq", "o.*")
     typed = raw.select(
-        _place().alias("seq"),
+        "seq",
         F.col("timestamp").try_cast("timestamp").alias("ts"),
         F.coalesce("query", F.lit("")).alias("query"),
         F.coalesce("duration_ms", F.lit("0")).try_cast("double").alias("duration_ms"),

@@ -6,11 +6,12 @@ total_tables, total_columns. The child functions explode it to flat tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditframe import vocab
 from auditframe.functions.columns import all_groups, first_group
+from auditframe.sources.json_arrays import json_objects
 
 _COLUMN = "STRUCT<name: STRING, type: STRING, foreign_key: STRUCT<table: STRING, column: STRING>>"
 _TABLE_INDEX = "STRUCT<name: STRING, columns: ARRAY<STRING>, unique: BOOLEAN>"
@@ -32,15 +33,22 @@ def _count_columns(tables: Column) -> Column:
 
 
 def scan_schema_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Read JSON schema exports, one dump per file or per line.
+    """Read JSON schema exports: one dump per line, or one dump or array of dumps per file. Large files are split either way.
 
     Totals come from the file when it names its database, else they are counted.
     """
-    raw = spark.read.schema(_JSON_FIELDS).option("multiLine", not lines).json(path)
+    if lines:
+        raw = spark.read.schema(_JSON_FIELDS).json(path).select("*", F.col("_metadata.file_path").alias("dump"))
+    else:
+        found = json_objects(spark, path)
+        # Dumps of one array are told apart by their place in it.
+        several = F.count(F.lit(1)).over(Window.partitionBy("seq.path")) > 1
+        place = F.concat_ws("#", "seq.path", F.when(several, F.concat_ws(".", F.col("seq.block").cast("string"), F.col("seq.row").cast("string"))))
+        raw = found.select(place.alias("dump"), F.from_json("value", _JSON_FIELDS).alias("o")).select("dump", "o.*")
     tables = F.coalesce("tables", F.array().cast(f"array<{_TABLE}>"))
     named = F.col("database_name").isNotNull()
     return raw.select(
-        F.col("_metadata.file_path").alias("dump"),
+        "dump",
         F.coalesce("database_name", "name", F.lit("unknown")).alias("database_name"),
         tables.alias("tables"),
         F.coalesce("indexes", F.array().cast(f"array<{_INDEX}>")).alias("indexes"),
