@@ -29,6 +29,20 @@ def _(t):
     return log.select("query", "duration_ms", F.col("ts").isNotNull().alias("has_ts"), "rows_affected")
 
 
+@check("S1_scan_query_log_array", sql="""
+SELECT 'q } { ' || event_id || ' "' AS query, CASE WHEN event_id % 10 = 3 THEN 0.0 ELSE value END AS duration_ms, user_id AS rows_affected
+FROM events WHERE event_id % 10 <> 2""")
+def _(t):
+    # A few files that are one array on one line each; the fixture gathers the records of each.
+    path = scratch_path(t.spark, "log-array")
+    record = F.to_json(F.struct(
+        F.concat(F.lit("q } { "), F.col("event_id").cast("string"), F.lit(' "')).alias("query"), F.col("user_id").alias("rows_affected"),
+        F.when(F.col("event_id") % 10 == 2, "slow").when(F.col("event_id") % 10 == 3, None).otherwise(F.col("value").cast("string")).alias("duration_ms")))
+    arrays = t.base("events").groupBy((F.col("event_id") % 3).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ", "), F.lit("]")).alias("value"))
+    arrays.repartition(3, "file").select("value").write.text(path)
+    return scan_query_log_json(t.spark, path, lines=False).select("query", "duration_ms", "rows_affected")
+
+
 @check("S2_scan_query_log_text", sql="""
 SELECT 'SELECT ' || event_id AS query, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE CAST(user_id AS DOUBLE) END AS duration_ms, event_id % 5 <> 0 AS has_ts
 FROM events WHERE event_id % 7 <> 0""")
