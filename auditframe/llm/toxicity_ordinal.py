@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.batches import append, sigmoid
 from auditframe.llm.columns import sample_rows, text_hash
+from auditframe.session import materialize_counted
 
 #: Parameters.
 BUCKET_BITS = 18
 N_FEATURES = 1024
 MAX_DOCUMENTS = 10_000
 MIN_CHI_SQUARE = 24
+#: Labels that are broadcast at most; their number is counted first, and more are joined by a shuffle of what texts are reduced to.
+BROADCAST_LABELS = 1_000_000
 LIFT = 8
 GRADE_HITS = (3, 6)
 STEPS = 300
@@ -70,11 +73,11 @@ class _Buckets(dict):
 
 
 def _distinct_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct buckets of every text, as bytes."""
+    """The distinct buckets of every text, as bytes, beside the first column."""
     buckets = _Buckets()
     for batch in batches:
         cells = [np.unique(np.concatenate([*buckets.of(t.as_py()), np.zeros(0, np.int64)])).astype("<u4").tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], ["id", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], [batch.schema.names[0], "buckets"])
 
 
 def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +144,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
         n_features: int = N_FEATURES, max_documents: int = MAX_DOCUMENTS) -> OrdinalModel | None:
     """Learn from the labelled rows of ``docs``; ``graded`` labels are grades themselves. None without a positive label."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    known, n_labels = materialize_counted(known, "labels")
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = dict(texts.dtypes)["id"]
     labelled = texts.select("id", text_hash()).join(known, "id").select("id", "th", "y")
-    # Counted are all labelled rows. Texts are reduced to their distinct buckets before they meet the labels.
-    reduced = texts.mapInArrow(_distinct_buckets, f"id {kind}, buckets binary")
-    counts = reduced.join(known, "id").select("y", "buckets").mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
+    # Counted are all labelled rows. Few labels go to the texts; many meet the distinct buckets that texts are reduced to.
+    if n_labels <= BROADCAST_LABELS:
+        reduced = texts.join(F.broadcast(known), "id").select("y", "text").mapInArrow(_distinct_buckets, "y int, buckets binary")
+    else:
+        reduced = texts.mapInArrow(_distinct_buckets, f"id {kind}, buckets binary").join(known, "id").select("y", "buckets")
+    counts = reduced.mapInArrow(_count_documents, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = labelled.agg(F.sum(F.when(F.col("y") > 0, 1.0)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1.0)).alias("clean")).first()
     if not n["toxic"]:

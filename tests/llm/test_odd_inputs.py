@@ -50,8 +50,10 @@ def test_fits_bring_a_bounded_number_of_rows_to_the_driver(hot, collected):
     assert max(collected, default=0) <= max(5, toxicity_ordinal.N_FEATURES)
 
 
-def test_bucket_counts_cover_all_labelled_rows(spark, monkeypatch):
-    """Words that are toxic only outside the sample of rows are features too."""
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_bucket_counts_cover_all_labelled_rows(spark, monkeypatch, few):
+    """Words that are toxic only outside the sample of rows are features too, whichever way labels and texts meet."""
+    monkeypatch.setattr(toxicity_ordinal, "BROADCAST_LABELS", few)
     rows = [(i, f"common words here {'rareword' if i >= 50 and i % 2 else 'plain'} {i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = docs.select("doc_id", (F.col("text").contains("rareword")).cast("int").alias("toxic"))
