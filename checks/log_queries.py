@@ -37,9 +37,9 @@ def _r2(col):
 
 cte("o_stats", "v_query_log", sql=f"""
 SELECT {_PATTERN} AS pattern, arg_min(query, seq) AS example_query, min(seq) AS first_seq, count(*) AS execution_count,
-       CAST(sum(CAST(duration_ms AS DECIMAL(18,4))) AS DOUBLE) AS total_duration_ms,
+       (CAST(sum(CAST(duration_ms * 1152921504606846976.0 AS HUGEINT)) AS DOUBLE) / 1152921504606846976.0) AS total_duration_ms,
        min(duration_ms) AS min_duration_ms, max(duration_ms) AS max_duration_ms,
-       CAST(sum(CAST(duration_ms AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_duration_ms
+       (CAST(sum(CAST(duration_ms * 1152921504606846976.0 AS HUGEINT)) AS DOUBLE) / 1152921504606846976.0) / count(*) AS avg_duration_ms
 FROM v_query_log GROUP BY 1""")
 cte("o_drivers", "o_stats", sql=f"""
 SELECT pattern AS query_pattern, example_query, {_table_of('example_query')} AS "table", execution_count,
