@@ -63,6 +63,7 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.remembered = REMEMBERED
         self.tokenizer = Tokenizer.from_file(path)
         # What the tokenizer's patterns come to on small printable ASCII without apostrophes and special tokens.
         self.simple = Tokenizer.from_file(path)
@@ -96,7 +97,7 @@ class _Encoder:
 
     def _of_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the runs, one after another, and how many each has."""
-        if len(self.places) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+        if len(self.places) > self.remembered or self.bytes > REMEMBERED_BYTES:
             self._forget()
         at = np.fromiter(map(self.places.__getitem__, runs), np.int64, len(runs))
         fresh, self.places.fresh = self.places.fresh, []
@@ -254,10 +255,12 @@ class Packer:
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prompt_tokens: str | None = None, with_ids: bool = False,
-         vocabulary: str | None = None, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+         vocabulary: str | None = None, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS,
+         remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked for, ids.
 
     The first ``prompt_tokens`` ids of a document (one where no column is named or it is null) bear no loss.
+    ``remembered`` is how many distinct runs a worker keeps; only its memory and time depend on it.
     """
     Packer(capacity, max_segments, max_loss)  # limits that cannot be kept are refused here
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -267,6 +270,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prompt_tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        encode.remembered = REMEMBERED if remembered is None else remembered
         packer = Packer(capacity, max_segments, max_loss)
         number = TaskContext.get().partitionId() << 33
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * with_ids
