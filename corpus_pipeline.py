@@ -53,7 +53,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=200_000)  # beside the idle workers of earlier stages
 
 
 STAGES = [
