@@ -62,6 +62,37 @@ def test_positions_and_contexts_of_any_text(spark, parts):
     assert [tuple(m) for m in row.m] == expected(content, [p], 20, 1)
 
 
+@pytest.mark.parametrize("pattern, words", [
+    (r"(\w+)\s+is\s+the\s+only\s+one", {"is", "the", "only", "one"}), (r"http://(?!localhost)", {"http://"}), (r"https?://x", {"http", "://x"}),
+    ("ab*c", {"a", "c"}), ("ab{0,2}", {"a"}), ("a|bc", set()), ("(a|b)cd", {"cd"}), ("[[b]c]d", set()), (r"\x41b", set()), (r"\(Sql\.", {"sql"}), ("[abc]+", set()),
+])
+def test_words_that_every_match_holds(pattern, words):
+    assert set(text.words_of(pattern)) == words
+
+
+def test_no_letter_that_a_pattern_takes_is_lost_when_folded(rows):
+    df = rows([(f"<{chr(c)}>",) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "c string")
+    lost = [F.count_if(F.rlike("c", F.lit(text.WORDS + x)) & ~F.contains(text.folded(F.col("c")), F.lit(x))) for x in string.ascii_lowercase]
+    assert set(df.agg(*lost).collect()[0]) == {0}
+
+
+def test_contexts_of_letters_beyond_ascii(rows):
+    content = "A\u017f\u212a Bob. ONLY \u00dcmit \u212aNOW\u017f it, M\u0131nd. \u0130"
+    assert contexts_of(rows, content, vocab.TRIBAL_PATTERNS, 100, 1, 5) == expected(content, vocab.TRIBAL_PATTERNS, 100, 1)
+
+
+@pytest.mark.parametrize("pattern, alone", [
+    (r"(?idU)ask\s+(\w+)", True), (r"a[^\]$]b", True), (r"\$", True), (r"\bask", False), ("ask$", False), ("(?<=x)ask", False), ("a++", False), ("ask(?! me)", False),
+])
+def test_matches_that_stand_alone(pattern, alone):
+    assert text.stands_alone(pattern) is alone
+
+
+def test_groups_of_matches_that_look_around(rows):
+    # The group of the match alone would be "ab": there the look-ahead holds at its end.
+    assert contexts_of(rows, "abc abd ab", [r"(a\w*?)(?=c| |$)"], 20, 1, 1) == expected("abc abd ab", [r"(a\w*?)(?=c| |$)"], 20, 1)
+
+
 def test_positions_across_blocks(rows):
     content = "ab" * 1000
     got = one(rows([(content,)], "c string").select(text.match_positions(F.col("c"), "b")))
