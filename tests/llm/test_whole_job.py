@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import public_tokenizers
+import pytest
 
 from auditframe.llm import piece_dropout, simhash_anchor, url_equivalence
 from auditframe.llm.queries import URL_RULES
@@ -28,6 +31,40 @@ def test_every_occurrence_draws_its_own_skips():
     assert model.encode(text, 0.3, 5, 7) == want
 
 
+def test_parts_share_the_rounds_of_their_agendas(monkeypatch):
+    """New words do not run an agenda each; with the time of one for every new word or skip the operator failed its budget."""
+    rng = random.Random(3)
+    model = piece_dropout.Pieces(public_tokenizers.path(piece_dropout.MODEL))
+    texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 16))) for _ in range(400)) for _ in range(5)]
+    want = [agenda_ids(model, t, 0.1, 1, k) for k, t in enumerate(texts)]
+    alone = []
+    for name in ("segment", "_short", "_long", "_agenda"):
+        monkeypatch.setattr(model, name, lambda *a, **b: alone.append(a) or (), raising=False)
+    got = [list(ids) for ids in model.encode_all(texts, 0.1, 1, [*range(5)])]
+    assert not alone and got == want
+
+
+def agenda_ids(model, text, dropout, seed, key):
+    """Ids by the agenda of each part alone."""
+    parts = [p for s in piece_dropout._STRETCH.findall(" " + text) for p in model._split(s)] if text else []
+    keys = piece_dropout._keys([piece_dropout.xxhash.xxh64_intdigest(f"{seed}/{key}")], [(0, 0, len(parts))])
+    return [i for p, k in zip(parts, keys) for i in model._long(p, int(dropout * 2**32), int(k), (), [])]
+
+
+@pytest.mark.parametrize(("block", "short", "together"), [(1, 32, 32), (50, 2, 1), (1000, 4, 3), (1 << 17, 32, 32), (1 << 17, 2, 1 << 30)])
+def test_blocks_and_rounds_give_what_the_agenda_gives(monkeypatch, block, short, together):
+    for name, value in (("BLOCK", block), ("SHORT", short), ("TOGETHER", together)):
+        monkeypatch.setattr(piece_dropout, name, value)
+    rng = random.Random(5)
+    letters = [*"abcXYZ019.,!-_' \n\t▁éŒ日ж\U0001f642\x00\x1c\U0010ffff", "  ", "the", "tion", " \n", "\r\n", "▁▁", "a" * 40]
+    texts = [None, "", " ", "\n", "a" * 1500 + " " + "x" * 70, *("".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 20, 200]))) for _ in range(60)), None]
+    model = piece_dropout.Pieces(public_tokenizers.path(piece_dropout.MODEL))
+    for dropout in (0.0, 0.1, 0.6):
+        got = [list(ids) for ids in model.encode_all(texts, dropout, 5, [*range(len(texts))])]
+        assert got == [agenda_ids(model, t, dropout, 5, k) for k, t in enumerate(texts)]
+        assert [model.decode(ids) for ids in got] == [t or "" for t in texts]
+
+
 def test_null_ids_are_told_apart_by_text(spark):
     word = "internationalization"
     docs = spark.createDataFrame([(None, f"{word} {i}") for i in range(60)] + [(1, word), (1, word)], "doc_id bigint, text string")
