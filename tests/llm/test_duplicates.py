@@ -13,6 +13,7 @@ from auditframe.llm import simhash_anchor, substring_debruijn
 from auditframe.llm.components import components
 from auditframe.llm.fingerprints import fingerprint
 from auditframe.llm.queries import LLM_QUERIES
+from auditframe.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +71,19 @@ def test_anchors_cover():
         assert {r for r, k in zip(rows.tolist(), keys.tolist()) if (r, k) in around} == set(range(len(a)))
 
 
+def test_replicas_are_not_broadcast(spark):
+    """Fingerprints that Spark would broadcast have 42 times as many replicas, which pass by the driver all the same."""
+    rng = random.Random(13)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(1000)]
+    fps += [f ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for f in fps[:300]]
+    found = simhash_anchor.links(materialize(spark.createDataFrame([(f,) for f in set(fps)], "fp bigint")))
+    close = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    assert len(close) >= 290 and {(r["a"], r["b"]) for r in found.distinct().collect()} == close
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def check_near(rows, texts):
     ids = sorted(texts)
     fps = {i: fingerprint(texts[i]) for i in ids}
