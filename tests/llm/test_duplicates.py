@@ -102,6 +102,18 @@ def test_near_duplicates(spark, odd, nothing):
     assert len(kept) == len(set(kept)) and 0 in kept and 1 not in kept and 4 not in kept
 
 
+def test_near_duplicates_without_large_broadcasts(spark):
+    """A broadcast of over 2 MB ends the query here; replicas of 4,000 fingerprints take 16."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randrange(1000)}" for _ in range(12))) for i in range(4000)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        got = simhash_anchor.near_duplicates(spark.createDataFrame(rows + rows, "doc_id bigint, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(r["doc_id"] for r in got) == sorted(2 * list(range(4000))) and all(r["component_id"] <= r["doc_id"] for r in got)
+
+
 def brute_repeats(rows):
     first, out = set(), {}
     for i, words in sorted((i, (t or "").encode().split()) for i, t in rows):
